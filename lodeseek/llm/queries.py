@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.elite import distinctive_terms, typical_terms
 from lodeseek.llm.fusion import best_by_every_score, fuse_ranks
+from lodeseek.llm.lookalike import consistent, same_looking_pairs
 from lodeseek.llm.mixing import mix
+from lodeseek.llm.neighbours import VectorIndex
 from lodeseek.llm.ngrams import marked_values
 from lodeseek.llm.packing import pack, too_large
 from lodeseek.llm.records import current_records
@@ -27,6 +29,20 @@ def p1_ranking(spark, sf):
     return fuse_ranks(table(spark, sf, "search_results")).withColumn("fused", F.round("fused", 9))
 
 
+def _note_fields(spark, sf):
+    """(note_id, field, value): content and basename of each note; note ids are unique."""
+    notes = table(spark, sf, "notes").select("note_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("content", "basename")])).alias("e"))
+    return notes.select("note_id", "e.field", "e.value")
+
+
+def p3_found(spark, sf):
+    return same_looking_pairs(_note_fields(spark, sf), "note_id", "field", "value")
+
+
+def p3_forms(spark, sf):
+    return consistent(_note_fields(spark, sf), ["note_id", "field"], "value", "form")
+
+
 def p4_found(spark, sf):
     return typical_terms(distinctive_terms(table(spark, sf, "lexical_docs"))).select("path", "term")
 
@@ -35,6 +51,15 @@ def p4_scores(spark, sf):
     return distinctive_terms(table(spark, sf, "lexical_docs"))
 
 
+def p5_found(spark, sf):
+    return VectorIndex(table(spark, sf, "note_vectors"), probes=6).similar_pairs(0.9).select("vec_id_a", "vec_id_b")
+
+
+def p5_nearest(spark, sf):
+    vectors = table(spark, sf, "note_vectors")
+    return VectorIndex(vectors, probes=12).nearest(vectors.filter("vec_id % 20 = 0"), 10)
+
+
 def p7_found(spark, sf):
     return marked_values(current_records(table(spark, sf, "lexical_docs"))).filter("mark is not null").select("field", "value", "mark")
 
@@ -77,9 +102,9 @@ v AS (SELECT 'term' AS field, term AS value, sum(tf)::BIGINT AS total, count(DIS
 UNION ALL SELECT 'tag', tag, count(*)::BIGINT, count(DISTINCT path)::BIGINT FROM g WHERE tag <> '' GROUP BY tag),
 m AS (SELECT field, value, total, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.3 * n THEN 'common' END AS mark FROM v, n)"""
 _RANKS = """WITH c AS (SELECT query_id, path,
- max(CASE WHEN lexical_score <> 'nan'::DOUBLE THEN lexical_score END) AS lexical_score,
- max(CASE WHEN semantic_score <> 'nan'::DOUBLE THEN semantic_score END) AS semantic_score,
- max(CASE WHEN score <> 'nan'::DOUBLE THEN score END) AS score FROM search_results WHERE query_id IS NOT NULL AND path IS NOT NULL GROUP BY ALL),
+ max(CASE WHEN lower(lexical_score::VARCHAR) <> 'nan' THEN lexical_score END) AS lexical_score,
+ max(CASE WHEN lower(semantic_score::VARCHAR) <> 'nan' THEN semantic_score END) AS semantic_score,
+ max(CASE WHEN lower(score::VARCHAR) <> 'nan' THEN score END) AS score FROM search_results WHERE query_id IS NOT NULL AND path IS NOT NULL GROUP BY ALL),
 k AS (SELECT query_id, path,
  CASE WHEN lexical_score IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY lexical_score DESC NULLS LAST) END AS lexical_score_rank,
  CASE WHEN semantic_score IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY semantic_score DESC NULLS LAST) END AS semantic_score_rank,
@@ -93,6 +118,10 @@ def oracle_sql():
         "p1_ranking": _RANKS + """, f AS (SELECT *, coalesce(1.0::DOUBLE / (60.0::DOUBLE + lexical_score_rank), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + semantic_score_rank), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + score_rank), 0) AS fused FROM k)
  SELECT query_id, path, lexical_score_rank, semantic_score_rank, score_rank, round(fused, 9) AS fused, rank() OVER (PARTITION BY query_id ORDER BY fused DESC) AS position FROM f""",
         "p4_found": f"WITH {_RECORDS}, {_TERMS}, d AS (SELECT term, count(*) AS df FROM t GROUP BY term) SELECT path, term FROM t JOIN d USING (term) WHERE df BETWEEN 2 AND 10 AND token_count > 0 AND tf * 20 >= token_count",
+        "p5_found": """WITH u AS (SELECT vec_id, max({'p': provider_id, 'v': vector}) AS s FROM note_vectors WHERE provider_id IS NOT NULL AND len(vector) > 0
+AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+w AS (SELECT vec_id, s.p AS p, s.v AS v, sqrt(list_inner_product(s.v, s.v)) AS n FROM u)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM w a JOIN w b ON a.p = b.p AND len(a.v) = len(b.v) AND a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) >= 0.9 * a.n * b.n""",
         "p7_found": _VALUES + " SELECT field, value, mark FROM m WHERE mark IS NOT NULL",
         "p7_counts": _VALUES + " SELECT * FROM m",
         "p8_found": f"WITH {_SIZES} SELECT DISTINCT limit_name, doc_id FROM s, pack_limits WHERE size > capacity",
