@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from lodeseek.llm.elite import distinctive_terms, typical_terms
 from lodeseek.llm.fusion import best_by_every_score, fuse_ranks
 from lodeseek.llm.lookalike import consistent, same_looking_pairs
+from lodeseek.llm.markup import clean_markup
 from lodeseek.llm.mixing import mix
 from lodeseek.llm.neighbours import VectorIndex
 from lodeseek.llm.ngrams import marked_values
 from lodeseek.llm.packing import pack, too_large
+from lodeseek.llm.quality import quality
 from lodeseek.llm.records import current_records
 from lodeseek.llm.sizes import word_count
 from lodeseek.runtime import materialize, table
@@ -29,6 +31,14 @@ def p1_ranking(spark, sf):
     return fuse_ranks(table(spark, sf, "search_results")).withColumn("fused", F.round("fused", 9))
 
 
+def p2_found(spark, sf):
+    return clean_markup(table(spark, sf, "notes"), ["note_id"]).select("note_id", F.explode("kinds").alias("markup"))
+
+
+def p2_clean(spark, sf):
+    return clean_markup(table(spark, sf, "notes"), ["note_id"])
+
+
 def _note_fields(spark, sf):
     """(note_id, field, value): content and basename of each note; note ids are unique."""
     notes = table(spark, sf, "notes").select("note_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("content", "basename")])).alias("e"))
@@ -88,6 +98,14 @@ def p9_mix(spark, sf):
     return mix(_sizes(spark, sf), table(spark, sf, "mix_targets"))[0]
 
 
+def p10_found(spark, sf):
+    return p10_statistics(spark, sf).filter(F.col("verdict") != "prose").select("doc_id", F.col("verdict").alias("kind"))
+
+
+def p10_statistics(spark, sf):
+    return quality(table(spark, sf, "documents"), table(spark, sf, "quality_labels"), table(spark, sf, "common_words"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
