@@ -27,7 +27,7 @@ STATISTICS = (
     "item_share", "cell_share", "repeat_share", "furniture_share", "garbled_share", "machine_share", "vocabulary",
 )
 #: Least spread of each statistic, so that one that never varies in prose still has a scale.
-_FLOOR = np.array([0.35, 0.025, 0.03, 0.03, 0.03, 0.04, 0.6, 0.8, 0.06, 0.06, 0.06, 0.05, 0.03, 0.05, 0.12])
+_FLOOR = np.array([0.35, 0.02, 0.03, 0.03, 0.03, 0.04, 0.6, 0.8, 0.06, 0.06, 0.06, 0.05, 0.03, 0.05, 0.12])
 #: Labelled documents the model is fitted on, at most about.
 SAMPLE = 40_000
 #: A text with this share of common words has enough of them; more says nothing.
@@ -156,7 +156,7 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, i
         repeat = max(repeat, sum((n - 1) * len(x) for x, n in Counter(sentences).items()) / (sum(map(len, sentences)) or 1))
     if len(words) >= 20 and len(words) > 60 * len(sentences):  # the same few words over and over without an end of a sentence
         grams = Counter(zip(words, words[1:], words[2:]))
-        repeat = max(repeat, 1 - len(grams) / (len(words) - 2))
+        repeat = max(repeat, (0.4 - len(grams) / (len(words) - 2)) / 0.4)
     plain = sum(map(str.isspace, text))
     symbols = len(text) - plain - letters - digits - sum(text.count(c) for c in ".,'’-!?、。:;\"«»“”„()")
     garbled = (2 * len(_MOJIBAKE.findall(text)) + 3 * len(_BROKEN.findall(text))) / dense
@@ -229,7 +229,7 @@ def fit_prose(labelled: pd.DataFrame, prior: int = 20) -> dict[str, tuple[np.nda
     order = np.argsort(far, kind="stable")
     errors = np.concatenate([[prose.sum()], prose.sum() - np.cumsum(prose[order]) + np.cumsum(~prose[order])])
     best = np.flatnonzero(errors == errors.min())
-    at = int(best[len(best) // 2])
+    at = int(best[len(best) // 4])
     cutoff = 0.5 * (far[order[at - 1]] + far[order[at]]) if 0 < at < len(far) else float(far.max()) + 1.0
     return {k: (c, i, float(cutoff)) for k, (c, i) in model.items()}
 
