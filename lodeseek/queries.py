@@ -2,23 +2,457 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodeseek.functions import text as T
+from lodeseek.functions.vectors import cosine, unit
+from lodeseek.operators import evaluate, index as ix
+from lodeseek.operators.embeddings import query_scores, usable_cache
 from lodeseek.operators.incremental import replay_runs
-from lodeseek.runtime import table
+from lodeseek.operators.reconcile import live_embeddings, reconcile, replay, stale_embeddings
+from lodeseek.operators.wordpiece import windows
+from lodeseek.plans import compile as plan
+from lodeseek.plans.query import parse_query
+from lodeseek.plans.search import ORDERS, batch_search, candidates, facets, fused, search
+from lodeseek.runtime import materialize, table
+from lodeseek.sources.generators import DRAFT, REVIEWED, ROUTINE, SPLIT, TOPICS, scale_notes
+
+NOW = 1_789_300_800_000
+IGNORED = ["Synced", "Old/2023"]
+SEARCH = 'oven stone "rye starter" -ferry'
+CONSTRAINED = 'tag:kitchen -path:synced +"oven stone" -cellar createdafter:2025-03-01'
+VECTOR = [1.0, -1.0] + [0.5] * 30 + [0.0] * 32
+_INDEXES: dict = {}
+
+
+def _docs(spark, sf):
+    """The indexed notes of a folder, stored once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = materialize(ix.indexed(table(spark, sf, "notes")), "docs")
+    return _INDEXES[key]
+
+
+def _index(spark, sf):
+    return ix.Index.of(_docs(spark, sf))
+
+
+def _semantic(spark, sf):
+    own = query_scores(usable_cache(table(spark, sf, "note_vectors")), VECTOR, "mini-a:64")
+    return own.groupBy("path").agg(F.max("score").alias("score"))
+
+
+def notes_view(spark, sf):
+    notes = ix.capped_content(table(spark, sf, "notes").filter(~ix.ignored(IGNORED)), 1)
+    return notes.select("path", "basename", T.folder_of(F.col("path")).alias("folder"), F.char_length("content").cast("bigint").alias("n_chars"))
+
+
+def tokenize_docs(spark, sf):
+    return _docs(spark, sf).select("path", "token_count", F.size("tokens_all").cast("bigint").alias("n_tokens"), F.array_join(F.slice("tokens_all", 1, 3), " ").alias("first"))
+
+
+def term_postings(spark, sf):
+    return ix.postings(_docs(spark, sf))
+
+
+def term_document_frequency(spark, sf):
+    return ix.document_frequency(_docs(spark, sf))
+
+
+def frequency_after_removal(spark, sf):
+    docs = _docs(spark, sf)
+    return ix.document_frequency(ix.removed(docs, docs.filter(ix.ignored(IGNORED))))
+
+
+def corpus_stats(spark, sf):
+    return ix.corpus_stats(_docs(spark, sf))
+
+
+def stored_valid(spark, sf):
+    return ix.valid_stored(table(spark, sf, "lexical_docs")).select("path", "mtime", "token_count")
+
+
+def stored_restored(spark, sf):
+    stored = ix.valid_stored(table(spark, sf, "lexical_docs"))
+    newest = stored.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("size")))).filter("_n = 1").drop("_n")
+    return ix.restored(newest).select("path", "folder", F.size("tf").cast("bigint").alias("n_terms"), "token_count")
+
+
+def _constraint(text):
+    return lambda spark, sf: _docs(spark, sf).filter(plan.hard_constraints(parse_query(text))).select("path")
+
+
+filter_path = _constraint("path:garden -path:beds")
+filter_file = _constraint('file:"rye starter" -file:early')
+filter_tag = _constraint("tag:kit -tag:ops")
+filter_ext = _constraint("ext:md -ext:markdown")
+filter_dates = _constraint("createdafter:2025-06-01 modifiedbefore:2026-02-01 createdbefore:2026-01-01 modifiedafter:2025-07-01")
+required_term = _constraint("+stone +gard")
+excluded_term = _constraint("-cat -md5 -gard")
+required_phrase = _constraint('+"oven stone"')
+excluded_phrase = _constraint('-"in the" -"и что"')
+mixed_constraints = _constraint(CONSTRAINED)
+
+
+def _scored(column):
+    return lambda spark, sf: _docs(spark, sf).select("path", F.round(column(), 6).alias("score"))
+
+
+def _body(term):
+    def run(spark, sf):
+        own = _index(spark, sf)
+        return own.docs.select("path", F.round(plan.body_score(term, own.frequencies([term])[term], own.n_docs, own.average), 6).alias("score"))
+
+    return run
+
+
+bm25_single_term = _body("stone")
+bm25_prefix_term = _body("stor")
+field_boosts = _scored(lambda: plan.field_boosts("stone"))
+fuzzy_title = _scored(lambda: T.fuzzy_score(F.col("norm_name"), "rye 00"))
+phrase_score = _scored(lambda: plan.phrase_score("oven stone"))
+recency_boost = _scored(lambda: plan.recency(NOW))
+
+
+def candidate_scores(spark, sf):
+    found = candidates(_index(spark, sf), parse_query(SEARCH), NOW)
+    return found.select("path", F.round("lexical_score", 6).alias("lexical_score"))
+
+
+def hybrid_fusion(spark, sf):
+    found = fused(candidates(_index(spark, sf), parse_query(SEARCH), NOW, _semantic(spark, sf)), 0.8)
+    return found.select("path", F.round("semantic_score", 6).alias("semantic_score"), F.round("score", 6).alias("score"))
+
+
+def facets_folder(spark, sf):
+    return facets(candidates(_index(spark, sf), parse_query(SEARCH), NOW)).filter("kind = 'folder'").select("value", "count")
+
+
+def facets_tag(spark, sf):
+    return facets(candidates(_index(spark, sf), parse_query(SEARCH), NOW)).filter("kind = 'tag'").select("value", "count")
+
+
+def topk_search(spark, sf):
+    return search(_index(spark, sf), SEARCH, now=NOW).results.select("path", "title", F.round("score", 6).alias("score"), "mtime")
+
+
+def filtered_search(spark, sf):
+    return search(_index(spark, sf), SEARCH, now=NOW, tag="kitchen", modified_since=1_760_000_000_000, limit=20).results.select("path", F.round("score", 6).alias("score"))
+
+
+def filter_only_search(spark, sf):
+    return search(_index(spark, sf), "tag:kitchen", now=NOW, sort="modified-asc").results.select("path", "lexical_score", "score", "mtime")
+
+
+def sort_modes(spark, sf):
+    found = fused(candidates(_index(spark, sf), parse_query(SEARCH), NOW)).select("path", "basename", "ctime", "mtime", F.round("score", 9).alias("score"))
+    out = None
+    for mode, order in ORDERS.items():
+        best = found.orderBy(*order(), F.desc("score"), F.desc("mtime"), F.collate("path", "UNICODE")).limit(10).select("path", F.lit(mode).alias("mode"))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def snippet_default(spark, sf):
+    return _docs(spark, sf).select("path", T.snippet(F.col("content"), F.col("norm_content"), ["oven stone", "because"]).alias("snippet"))
+
+
+def snippet_verbose(spark, sf):
+    return _docs(spark, sf).select("path", T.verbose_snippet(F.col("content"), F.col("norm_content"), ["oven stone", "because"], 40).alias("snippet"))
+
+
+def batch_ranking(spark, sf):
+    docs = _docs(spark, sf)
+    asked = table(spark, sf, "search_queries").select("query_id", T.tokens(T.fold(F.coalesce("query_text", F.lit("")))).alias("terms"))
+    return batch_search(ix.postings(docs), asked, ix.document_frequency(docs), ix.corpus_stats(docs)).withColumn("score", F.round("score", 6))
+
+
+def cosine_topk(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    first = e.filter("vec_id = 0").select(F.col("v").alias("q"))
+    return e.crossJoin(F.broadcast(first)).select("vec_id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(25)
+
+
+def vector_normalize(spark, sf):
+    v = table(spark, sf, "note_vectors").select("vec_id", unit(F.col("vector")).alias("u"))
+    return v.select("vec_id", F.size("u").cast("bigint").alias("width"), F.round(F.get("u", F.lit(0)), 9).alias("first"))
+
+
+def semantic_scores(spark, sf):
+    return _semantic(spark, sf).withColumn("score", F.round("score", 6))
+
+
+def _cache(spark, sf):
+    v = table(spark, sf, "note_vectors")
+    return v.groupBy("path").agg(F.max_by(F.struct("mtime", "size", "provider_id"), "vec_id").alias("c")).select("path", "c.*")
+
+
+def embedding_staleness(spark, sf):
+    return stale_embeddings(table(spark, sf, "notes").select("path", "mtime", "size"), _cache(spark, sf), "mini-a:64").select("path")
+
+
+def embedding_collection(spark, sf):
+    return live_embeddings(_cache(spark, sf), table(spark, sf, "notes")).select("path", "provider_id")
+
+
+def embedding_digest(spark, sf):
+    docs = _docs(spark, sf)
+    return docs.select("path", F.sha2(T.embedding_text(F.col("basename"), F.col("tags"), F.col("content")), 256).alias("digest"))
+
+
+def reconcile_plan(spark, sf):
+    seen = table(spark, sf, "file_scans").dropna(subset=["mtime", "size"])
+    now = seen.groupBy("path").agg(F.max_by(F.struct("mtime", "size"), F.struct("seen_at", "scan_id")).alias("s")).select("path", "s.*")
+    return reconcile(now, table(spark, sf, "notes"))
+
+
+def journal_replay(spark, sf):
+    e = table(spark, sf, "events")
+    log = e.select("user_id", "event_id", F.when(F.col("event_type") == "error", "remove").otherwise("upsert").alias("op"), "event_type", "value")
+    none = spark.createDataFrame([], "user_id bigint, event_type string, value double")
+    return replay(none, log, "user_id", ["event_type", "value"], "event_id")
+
+
+def _rankings(spark, sf):
+    r = table(spark, sf, "search_results").groupBy("query_id", "path").agg(F.max(F.when(~F.isnan("score"), F.col("score"))).alias("s")).filter("s IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "path"))
+    return r.withColumn("place", place), r.filter("s > 0").select("query_id", "path")
+
+
+def rank_metrics(spark, sf):
+    m = evaluate.rank_metrics(*_rankings(spark, sf))
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")], "hits", "relevant")
+
+
+def average_metrics(spark, sf):
+    m = evaluate.average_metrics(evaluate.rank_metrics(*_rankings(spark, sf)))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")], "hits", "relevant")
+
+
+def fixture_scores(spark, sf):
+    return evaluate.fixture_scores(table(spark, sf, "notes"), _semantic(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+def percentile_summary(spark, sf):
+    s = evaluate.summary(table(spark, sf, "events"), ["event_type"], "value")
+    return s.select("event_type", "n", "least", "most", F.round("mean", 6).alias("mean"), "median", "p95")
+
+
+def scale_corpus(spark, sf):
+    return scale_notes(spark, 10_000).select("path", "basename", "tags", "ctime", "mtime", "size", F.sha2("content", 256).alias("digest"))
+
+
+def chunk_windows(spark, sf):
+    docs = _docs(spark, sf).select("path", F.transform(T.tokens(F.col("norm_content")), lambda t: F.char_length(t).cast("bigint")).alias("ids"))
+    cut = docs.select("path", F.posexplode(windows(F.col("ids"), 62, 101, 102, 12)).alias("window", "ids"))
+    return cut.select("path", F.col("window").cast("bigint").alias("window"), F.size("ids").cast("bigint").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+def display_values(spark, sf):
+    n = table(spark, sf, "notes")
+    days = T.relative_date(F.col("mtime"), 1_767_000_000_000)
+    return n.select("path", T.safe_path(F.col("path")).alias("safe"), days.alias("changed"), T.percent(F.col("size") / 4096).alias("percent"), F.slice(F.col("tags"), 1, 3).alias("tags"))
 
 
 def p6_found(spark, sf):
     return replay_runs(table(spark, sf, "file_scans"), table(spark, sf, "index_runs"))
 
 
+_OWN = {"queries", "oracle_sql", "search", "facets", "candidates", "fused", "reconcile", "replay", "stale_embeddings", "live_embeddings", "windows", "batch_search", "cosine", "unit", "query_scores", "usable_cache", "replay_runs", "scale_notes", "materialize", "table", "parse_query"}
+
+
 def queries():
-    return {"p6_found": p6_found}
+    return {k: v for k, v in globals().items() if callable(v) and k[0] != "_" and k.islower() and k not in _OWN}
+
+
+# ---------------------------------------------------------------- SQL
+
+
+def _text(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _norm(x):
+    source, target, _ = T.fold_table()
+    for cp in range(0xFB00, 0xFB07):  # the ligatures, which become several letters
+        x = f"replace({x}, {_text(chr(cp))}, {_text(T.normalize_text(chr(cp)))})"
+    return f"lower(translate({x}, {_text(source)}, {_text(target)}))"
+
+
+_WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+')"
+_FOLDER = "CASE WHEN instr(path, '/') = 0 THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END"
+
+
+def _docs_sql():
+    tags = "list_transform(coalesce(tags, []), lambda t: regexp_replace(t, '^#', ''))"
+    return f"""n AS (SELECT path, basename, coalesce(content, '') AS content, coalesce(tags, []) AS tags, ctime, mtime, size, {_FOLDER} AS folder,
+ {_norm('basename')} AS norm_name, {_norm('path')} AS norm_path, regexp_replace({_norm('extension')}, '^[.]', '') AS norm_ext,
+ list_transform({tags}, lambda t: {_norm('t')}) AS norm_tags, {_norm("coalesce(content, '')")} AS norm_content FROM notes),
+docs AS (SELECT *, {_WORDS.format('norm_content')} AS body, {_WORDS.format("norm_name || ' ' || norm_path || ' ' || array_to_string(norm_tags, ' ')")} AS meta FROM n),
+s AS (SELECT count(*) AS n_docs, greatest(1, sum(len(body)) / count(*)) AS average FROM docs)"""
+
+
+def _sql(rest):
+    return f"WITH {_docs_sql()} {rest}"
+
+
+_ALL_TOKENS = "list_distinct(list_concat(body, meta))"
+
+
+def _has(term):
+    exact = f"list_contains({_ALL_TOKENS}, {_text(term)})"
+    return f"({exact} OR len(list_filter({_ALL_TOKENS}, lambda x: starts_with(x, {_text(term)}))) > 0)" if len(term) >= 3 else exact
+
+
+def _holds(phrase):
+    return f"contains(norm_name || chr(10) || norm_path || chr(10) || array_to_string(norm_tags, ' ') || chr(10) || norm_content, {_text(phrase)})"
+
+
+def _where(query):
+    q = parse_query(query)
+    field = {"path": "contains(norm_path, {})", "file": "contains(norm_name, {})", "ext": "contains(norm_ext, {})", "tag": "len(list_filter(norm_tags, lambda t: contains(t, {}))) > 0"}
+    tests = [("NOT " if f.excluded else "") + "(" + field[f.field].format(_text(f.value)) + ")" for f in q.filters]
+    tests += [f"{'ctime' if k[0] == 'c' else 'mtime'} {'>=' if k.endswith('after') else '<'} {v}" for k, v in q.dates.items()]
+    tests += [_holds(p) for p in q.required_phrases] + [_has(t) for t in q.required_terms]
+    tests += [f"NOT {_holds(p)}" for p in q.excluded_phrases] + [f"NOT {_has(t)}" for t in q.excluded_terms]
+    return " AND ".join(tests) or "true"
+
+
+def _fuzzy(value, q):
+    hit = f"(a.k < {len(q)} AND c = string_split({_text(q)}, '')[a.k + 1])"
+    run = f"(CASE WHEN {hit} THEN a.run + 1 WHEN a.k < {len(q)} THEN 0 ELSE a.run END)"
+    fold = f"list_reduce(string_split({value}, ''), lambda a, c: {{'k': a.k + {hit}::INT, 'run': {run}, 'best': greatest(a.best, {run}), 'first': CASE WHEN {hit} AND a.first < 0 THEN a.i ELSE a.first END, 'i': a.i + 1}}, {{'k': 0, 'run': 0, 'best': 0, 'first': -1, 'i': 0}})"
+    return f"(SELECT CASE WHEN length({value}) >= {len(q)} AND z.k = {len(q)} THEN {len(q)} / length({value}) * 0.45 + z.best / {len(q)} * 0.43 + CASE WHEN z.first = 0 THEN 0.12 ELSE 0 END ELSE 0 END FROM (SELECT {fold} AS z))"
+
+
+def _boost(t):
+    x = _text(t)
+    f = _fuzzy("norm_name", t)
+    return f"""(CASE WHEN norm_name = {x} THEN 22 WHEN starts_with(norm_name, {x}) THEN 13 WHEN contains(norm_name, {x}) THEN 9 ELSE CASE WHEN {f} >= 0.62 THEN 4 * {f} ELSE 0 END END
+ + CASE WHEN contains(norm_path, {x}) THEN 3.5 ELSE 0 END + CASE WHEN list_contains(norm_tags, {x}) THEN 8 WHEN len(list_filter(norm_tags, lambda g: contains(g, {x}))) > 0 THEN 4 ELSE 0 END)::DOUBLE"""
+
+
+def _body_sql(t):
+    x = _text(t)
+    exact = f"len(list_filter(body, lambda b: b = {x}))"
+    f = f"(CASE WHEN {exact} > 0 THEN {exact} ELSE 0.65 * {f'len(list_filter(body, lambda b: starts_with(b, {x})))' if len(t) >= 3 else 0} END)::DOUBLE"
+    df = f"(SELECT greatest(1, count(*)) FROM docs WHERE list_contains(body, {x}))"
+    idf = f"ln(1 + (n_docs - {df} + 0.5) / ({df} + 0.5))"
+    return f"(CASE WHEN {f} > 0 THEN {idf} * {f} * 2.35 / ({f} + 1.35 * (0.3 + 0.7 * len(body) / average)) * 3 ELSE 0 END)"
+
+
+def _phrase(p):
+    x = _text(p)
+    return f"(CASE WHEN contains(norm_name, {x}) THEN 20 WHEN contains(norm_path, {x}) THEN 12 WHEN len(list_filter(norm_tags, lambda g: contains(g, {x}))) > 0 THEN 10 WHEN contains(norm_content, {x}) THEN 8 ELSE 0 END)::DOUBLE"
+
+
+_RECENCY = f"(1 + 0.08 * exp(-greatest(0, ({NOW} - mtime) / 86400000) / 45))"
+
+
+def _scores(query, semantic, w):
+    q = parse_query(query)
+    total = " + ".join([_phrase(p) for p in q.phrases + q.required_phrases] + [f"{_boost(t)} + {_body_sql(t)}" for t in q.terms + q.required_terms])
+    join = "LEFT JOIN sem USING (path)" if semantic else ""
+    sem = "sem.score" if semantic else "NULL::DOUBLE"
+    return f"""c0 AS (SELECT docs.*, {total} AS raw, {sem} AS semantic FROM docs {join}, s WHERE {_where(query)}),
+c AS (SELECT *, raw * {_RECENCY} AS lexical FROM c0 WHERE raw <> 0 OR semantic IS NOT NULL), m AS (SELECT greatest(0, max(lexical)) AS top FROM c),
+f AS (SELECT *, CASE WHEN semantic IS NULL THEN coalesce(lexical / nullif(top, 0), 0) ELSE {w} * least(1, greatest(0, semantic)) + (1 - {w}) * coalesce(lexical / nullif(top, 0), 0) END AS score FROM c, m)"""
+
+
+def _ranked(query, rest, w=0.72, semantic=False):
+    head = f"sem AS ({_SEMANTIC}), " if semantic else ""
+    return f"WITH {head}{_docs_sql()}, {_scores(query, semantic, w)} {rest}"
+
+
+_VEC = "[" + ", ".join(f"{x}::DOUBLE" for x in VECTOR) + "]"
+_USABLE = "len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(vector, vector) > 0"
+_SEMANTIC = f"SELECT path, max(greatest(0, list_inner_product(vector, {_VEC}) / sqrt(list_inner_product(vector, vector)))) AS score FROM note_vectors WHERE provider_id = 'mini-a:64' AND len(vector) = 64 AND {_USABLE} GROUP BY path"
+_IGNORED = " OR ".join(f"path = '{f}' OR starts_with(path, '{f}/')" for f in IGNORED)
+_VALID = """path IS NOT NULL AND basename IS NOT NULL AND extension IS NOT NULL AND tags IS NOT NULL AND ctime >= 0 AND mtime >= 0 AND size >= 0 AND token_count >= 0 AND term_frequency IS NOT NULL
+ AND len(list_filter(tags, lambda t: t IS NULL)) = 0 AND len(list_filter(map_entries(term_frequency), lambda e: e.key = '' OR e.value IS NULL OR e.value <= 0)) = 0"""
+
+
+def _snippet_sql(context):
+    first = "least(coalesce(nullif(instr(norm_content, 'oven stone'), 0), 1000000000), coalesce(nullif(instr(norm_content, 'because'), 0), 1000000000))"
+    if context is None:
+        start, end = "greatest(0, greatest(hit, 0) - 90)", "least(length(content), greatest(hit, 0) + 210)"
+    else:
+        start, end = f"CASE WHEN hit < 0 THEN 0 ELSE greatest(0, hit - 90 - {context}) END", f"CASE WHEN hit < 0 THEN least(length(content), {210 + 2 * context}) ELSE least(length(content), hit + 210 + {context}) END"
+    space = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}\x0b]"
+    return _sql(f""", a AS (SELECT path, content, CASE WHEN {first} = 1000000000 THEN -1 ELSE {first} - 1 END AS hit FROM docs), b AS (SELECT path, content, {start} AS st, {end} AS en FROM a)
+SELECT path, (CASE WHEN st > 0 THEN '…' ELSE '' END) || trim(regexp_replace(regexp_replace(substring(content, st + 1, en - st), '^---(?s:.*?)---{space}*', ''), '{space}+', ' ', 'g')) || (CASE WHEN en < length(content) THEN '…' ELSE '' END) AS snippet FROM b""")
+
+
+def _scale_sql():
+    title, folder, tags, body = (f"[{', '.join(x)}]" for x in ([_text(t[0]) for t in TOPICS], [_text(t[1]) for t in TOPICS], ["[" + ", ".join(map(_text, t[2])) + "]" for t in TOPICS], [_text(t[3]) for t in TOPICS]))
+    return f"""WITH i AS (SELECT range AS i, {title}[range % 10 + 1] || ' ' || lpad((range + 1)::VARCHAR, 5, '0') AS basename, {folder}[range % 10 + 1] AS folder, {tags}[range % 10 + 1] AS tags, {body}[range % 10 + 1] AS body,
+epoch_ms(make_timestamp(2023 + range % 4, 1 + range % 12, 1 + range % 23, 12, 0, 0)) AS ctime FROM range(10000)),
+c AS (SELECT *, '# ' || basename || chr(10) || chr(10) || body || chr(10) || chr(10) || CASE WHEN i % 7 = 0 THEN {_text(DRAFT)} ELSE {_text(REVIEWED)} END || chr(10) || chr(10) || CASE WHEN i % 11 = 0 THEN {_text(SPLIT)} ELSE {_text(ROUTINE)} END || chr(10) || chr(10) || 'Synthetic scale document ' || (i + 1) || '.' AS content FROM i)
+SELECT folder || '/' || basename || '.md' AS path, basename, tags, ctime, ctime + (i % 120) * 86400000 AS mtime, length(content) AS size, sha256(content) AS digest FROM c"""
 
 
 def oracle_sql():
-    return {
+    order = {"relevance": "", "created-desc": "ctime DESC,", "created-asc": "ctime,", "modified-desc": "mtime DESC,", "modified-asc": "mtime,", "name-asc": "basename COLLATE en_us,"}
+    ranking = """r AS (SELECT query_id, path, max(CASE WHEN lower(score::VARCHAR) <> 'nan' THEN score END) AS s FROM search_results GROUP BY ALL HAVING s IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS place FROM r),
+g AS (SELECT query_id, count_if(s > 0 AND place <= 10) AS hits, count_if(s > 0) AS relevant, min(CASE WHEN s > 0 THEN place END) AS first FROM k GROUP BY query_id),
+m AS (SELECT query_id, hits / 10 AS precision, CASE WHEN relevant > 0 THEN hits / relevant ELSE 0 END AS recall, coalesce(1 / first, 0) AS reciprocal_rank, hits::BIGINT AS hits, relevant::BIGINT AS relevant FROM g)"""
+    where = {name: _sql(f"SELECT path FROM docs WHERE {_where(q)}") for name, q in {
+        "filter_path": "path:garden -path:beds", "filter_file": 'file:"rye starter" -file:early', "filter_tag": "tag:kit -tag:ops", "filter_ext": "ext:md -ext:markdown",
+        "filter_dates": "createdafter:2025-06-01 modifiedbefore:2026-02-01 createdbefore:2026-01-01 modifiedafter:2025-07-01", "required_term": "+stone +gard", "excluded_term": "-cat -md5 -gard",
+        "required_phrase": '+"oven stone"', "excluded_phrase": '-"in the" -"и что"', "mixed_constraints": CONSTRAINED}.items()}
+    score = {name: _sql(f"SELECT path, round({x}, 6) AS score FROM docs, s") for name, x in {
+        "bm25_single_term": _body_sql("stone"), "bm25_prefix_term": _body_sql("stor"), "field_boosts": _boost("stone"), "fuzzy_title": f"({_fuzzy('norm_name', 'rye 00')})::DOUBLE",
+        "phrase_score": _phrase("oven stone"), "recency_boost": _RECENCY}.items()}
+    terms = "t AS (SELECT path, len(body) AS token_count, unnest(body) AS term FROM docs)"
+    state = "c AS (SELECT path, arg_max({'mtime': mtime, 'size': size, 'provider_id': provider_id}, vec_id) AS c FROM note_vectors GROUP BY path)"
+    return where | score | {
+        "notes_view": f"SELECT path, basename, {_FOLDER} AS folder, length(CASE WHEN size <= 1024 THEN content ELSE '' END) AS n_chars FROM notes WHERE NOT ({_IGNORED})",
+        "tokenize_docs": _sql(f"SELECT path, len(body)::BIGINT AS token_count, len({_ALL_TOKENS})::BIGINT AS n_tokens, array_to_string(list_transform(list_sort([{{'p': list_position(list_concat(body, meta), x), 'x': x}} FOR x IN {_ALL_TOKENS}])[1:3], lambda e: e.x), ' ') AS first FROM docs"),
+        "term_postings": _sql(f", {terms} SELECT path, token_count, term, count(*) AS tf FROM t GROUP BY ALL"),
+        "term_document_frequency": _sql(f", {terms} SELECT term, count(DISTINCT path) AS df FROM t GROUP BY term"),
+        "frequency_after_removal": _sql(f", {terms} SELECT term, count(DISTINCT path) AS df FROM t WHERE NOT ({_IGNORED}) GROUP BY term"),
+        "corpus_stats": _sql("SELECT count(*) AS n_docs, sum(len(body))::BIGINT AS total_tokens FROM docs"),
+        "stored_valid": f"SELECT path, mtime, token_count FROM lexical_docs WHERE {_VALID}",
+        "stored_restored": f"SELECT path, {_FOLDER} AS folder, len(map_keys(term_frequency))::BIGINT AS n_terms, token_count FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC, size DESC) AS i FROM lexical_docs WHERE {_VALID}) WHERE i = 1",
+        "candidate_scores": _ranked(SEARCH, "SELECT path, round(lexical, 6) AS lexical_score FROM f"),
+        "hybrid_fusion": _ranked(SEARCH, "SELECT path, round(semantic, 6) AS semantic_score, round(score, 6) AS score FROM f", 0.8, True),
+        "facets_folder": _ranked(SEARCH, "SELECT folder AS value, count(*) AS count FROM f GROUP BY folder"),
+        "facets_tag": _ranked(SEARCH, "SELECT value, count(*) AS count FROM (SELECT unnest(norm_tags) AS value FROM f) GROUP BY value"),
+        "topk_search": _ranked(SEARCH, "SELECT path, basename AS title, round(score, 6) AS score, mtime FROM f ORDER BY f.score DESC, mtime DESC, path COLLATE en_us LIMIT 10"),
+        "filtered_search": _ranked(SEARCH, "SELECT path, round(score, 6) AS score FROM f WHERE list_contains(norm_tags, 'kitchen') AND mtime >= 1760000000000 ORDER BY f.score DESC, mtime DESC, path COLLATE en_us LIMIT 20"),
+        "filter_only_search": _sql(f"SELECT path, 1.0::DOUBLE AS lexical_score, 1.0::DOUBLE AS score, mtime FROM docs WHERE {_where('tag:kitchen')} ORDER BY mtime, path COLLATE en_us LIMIT 10"),
+        "sort_modes": _ranked(SEARCH, " UNION ALL ".join(f"(SELECT path, '{k}' AS mode FROM f ORDER BY {v} round(score, 9) DESC, mtime DESC, path COLLATE en_us LIMIT 10)" for k, v in order.items())),
+        "snippet_default": _snippet_sql(None),
+        "snippet_verbose": _snippet_sql(40),
+        "batch_ranking": _sql(f""", {terms}, p AS (SELECT path, token_count, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT query_id, unnest({_WORDS.format(_norm('query_text'))}) AS term FROM search_queries),
+x AS (SELECT query_id, path, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.35 / (tf + 1.35 * (0.3 + 0.7 * token_count / average)) * 3) AS score FROM q JOIN p USING (term) JOIN d USING (term), s GROUP BY ALL),
+z AS (SELECT query_id, path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS place FROM x) SELECT * FROM z WHERE place <= 10"""),
+        "cosine_topk": "SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY cosine DESC, vec_id LIMIT 25",
+        "vector_normalize": f"SELECT vec_id, CASE WHEN {_USABLE} THEN len(vector) END AS width, CASE WHEN {_USABLE} THEN round(vector[1] / sqrt(list_inner_product(vector, vector)), 9) END AS first FROM note_vectors",
+        "semantic_scores": f"SELECT path, round(score, 6) AS score FROM ({_SEMANTIC})",
+        "embedding_staleness": f"WITH {state} SELECT path FROM notes LEFT JOIN c USING (path) WHERE NOT coalesce(c.mtime IS NOT DISTINCT FROM notes.mtime AND (c.c.size IS NULL OR c.c.size IS NOT DISTINCT FROM notes.size) AND c.c.provider_id = 'mini-a:64', false)".replace("c.mtime IS", "c.c.mtime IS"),
+        "embedding_collection": f"WITH {state} SELECT path, c.c.provider_id AS provider_id FROM c WHERE path IN (SELECT path FROM notes)",
+        "embedding_digest": "SELECT path, sha256('Title: ' || basename || chr(10) || 'Tags: ' || array_to_string(coalesce(tags, []), ', ') || chr(10) || chr(10) || coalesce(content, '')) AS digest FROM notes",
+        "reconcile_plan": """WITH a AS (SELECT path, arg_max({'m': mtime, 's': size}, {'t': seen_at, 'n': scan_id}) AS v FROM file_scans WHERE mtime IS NOT NULL AND size IS NOT NULL GROUP BY path),
+b AS (SELECT path, {'m': mtime, 's': size} AS v FROM notes)
+SELECT path, coalesce(a.v, b.v).m AS mtime, coalesce(a.v, b.v).s AS size, CASE WHEN a.v IS NULL THEN 'removed' WHEN b.v IS NULL THEN 'new' WHEN a.v.m IS NOT DISTINCT FROM b.v.m AND a.v.s IS NOT DISTINCT FROM b.v.s THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b USING (path)""",
+        "journal_replay": "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i FROM events) WHERE i = 1 AND event_type <> 'error'",
+        "rank_metrics": f"WITH {ranking} SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(reciprocal_rank, 6) AS reciprocal_rank, hits, relevant FROM m",
+        "average_metrics": f"WITH {ranking} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, sum(hits)::BIGINT AS hits, sum(relevant)::BIGINT AS relevant FROM m",
+        "fixture_scores": f"WITH sem AS ({_SEMANTIC}) SELECT path, round(coalesce(sem.score, 0.05), 6) AS score FROM notes LEFT JOIN sem USING (path)",
+        "percentile_summary": "SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
+        "scale_corpus": _scale_sql(),
+        "chunk_windows": _sql(""", i AS (SELECT path, list_transform(body, lambda t: length(t)) AS ids FROM docs), w AS (SELECT path, ids, unnest(range(least(12, greatest(1, ceil(len(ids) / 62)::INT)))) AS k FROM i)
+SELECT path, k AS "window", (len(ids[k * 62 + 1 : k * 62 + 62]) + 2)::BIGINT AS n, (coalesce(list_sum(ids[k * 62 + 1 : k * 62 + 62]), 0) + 203)::BIGINT AS total FROM w"""),
+        "display_values": r"""WITH d AS (SELECT *, floor((1767000000000 - mtime) / 86400000)::BIGINT AS days FROM notes)
+SELECT path, NOT regexp_matches(path, '[\x00-\x1f\x7f\\]') AND len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..'))) = 0 AS safe,
+CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 30 THEN days || ' days ago' ELSE strftime(make_timestamp(mtime * 1000), '%Y-%m-%d') END AS changed, floor(size / 4096 * 100 + 0.5)::BIGINT AS percent, tags[1:3] AS tags FROM d""",
         "p6_found": """WITH k AS (SELECT run_id, started_at, row_number() OVER (ORDER BY started_at, run_id) AS i FROM index_runs WHERE status = 'ok' AND finished_at IS NOT NULL AND started_at IS NOT NULL),
 s AS (SELECT path, mtime, size, (SELECT min(i) FROM k WHERE started_at >= seen_at) AS i, seen_at, scan_id FROM file_scans WHERE mtime IS NOT NULL AND size IS NOT NULL AND path IS NOT NULL),
 l AS (SELECT path, i, arg_max({'m': mtime, 's': size}, {'t': seen_at, 'n': scan_id}) AS v FROM s WHERE i IS NOT NULL GROUP BY path, i),
 c AS (SELECT *, lag(v) OVER (PARTITION BY path ORDER BY i) AS p FROM l)
-SELECT run_id, path FROM c JOIN k USING (i) WHERE p IS NULL OR p <> v"""
+SELECT run_id, path FROM c JOIN k USING (i) WHERE p IS NULL OR p <> v""",
     }
