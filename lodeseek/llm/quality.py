@@ -106,7 +106,7 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, i
     if head.strip() and rest.strip() and rest[0] not in "\r\n" and len(rest) >= 0.3 * len(head) and len(_STOP.findall(head)) <= 1:
         text = rest  # a heading or a sentence right before the body tells nothing of the body
     lines = [line for line in text.splitlines() if line.strip()]
-    words = [w.lower() for w in _WORD.findall(text)]
+    words = _WORD.findall(text.lower())
     dense = sum(map(len, text.split())) or 1
     cjk = len(_CJK.findall(text))
     tokens = _TOKEN.findall(text)
@@ -164,7 +164,7 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, i
     if longest > 60 and cjk * 3 <= letters:
         machine = max(machine, sum(len(t) for t in tokens if len(t) > 60))
     return language, count, [
-        length, min(share, COMMON_ENOUGH), letters / dense, digits / dense, symbols / dense, sum(bool(_MIXED.search(t)) for t in tokens if "://" not in t) / max(len(tokens), 1),
+        length, min(share, COMMON_ENOUGH), letters / dense, digits / dense, symbols / dense, sum(1 for t in tokens if not (t.isalpha() or t[:-1].isalpha() and not t[-1].isdigit()) and "://" not in t and _MIXED.search(t)) / max(len(tokens), 1),
         math.log1p(min(LONG_LINE, (cjk / 2 if language == "ja" else len(tokens)) / max(len(lines), 1))), sum(bool(_ENDED.search(x)) for x in lines) / max(len(lines), 1),
         item / whole, _cells(lines) / max(len(lines), 1), repeat, furniture / whole, min(garbled, 1.0), machine / whole, vocabulary,
     ]
