@@ -43,10 +43,13 @@ def competition_rank(df: DataFrame, group: list[str], value: str, out: str) -> D
     inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy(F.desc(value)).rowsBetween(*before)), F.lit(0))
     placed = counts.withColumn("_in", inside)
     ranks = _join(placed, offsets, [*group, "_b"], "inner").withColumn(out, (F.lit(1) + F.col("_off") + F.col("_in")).cast("bigint")).select(*group, value, out)
-    return _join(df, ranks, [*group, value], "left")
+    # Missing values match nothing; a salt keeps them from meeting in one task.
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = F.when(valid, F.lit(0)).otherwise(F.pmod(F.xxhash64(*hashed), F.lit(64)) + 1).cast("int")
+    return _join(df.withColumn("_salt", salt), ranks.withColumn("_salt", F.lit(0)), [*group, value, "_salt"], "left").drop("_salt")
 
 
-def spread_number(df: DataFrame, group: list[str], key: list[str], out: str, buckets: int = 64) -> DataFrame:
+def spread_number(df: DataFrame, group: list[str], key: list[str], out: str, buckets: int = 1024) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... in an arbitrary but repeatable order.
 
     A group is cut into hashed buckets by ``key``; a row's number is the size of
