@@ -1,11 +1,11 @@
 """Mixing sources to target weights by pivotal rounding of copy numbers.
 
 Every document of a source gets the same expected number of copies. Its whole
-part is sure; the fractions are rounded by the pivotal method: two fractions
-meet, and mass moves at random from one to the other until one of them is 0 or
-1. Documents are paired within blocks in order of size, so that what one loses
-a document of nearly the same size wins; the one fraction that a block leaves
-over meets those of other blocks, level by level, until one per source is left.
+part is sure; the fractions are rounded by the pivotal method: two documents
+meet, and size moves at random from one to the other until the fraction of one
+of them is 0 or 1. Documents meet within blocks, the largest first, so that
+small ones are left to even out; the one fraction that a block leaves over meets
+those of other blocks, level by level, until one per source is left.
 """
 
 from __future__ import annotations
@@ -19,40 +19,49 @@ from lodeseek.runtime import materialize
 
 BLOCK = 20_000
 FAN_IN = 1_000
+_EPS = 1e-12
 _ROUNDED = "source string, blk bigint, doc_id bigint, size bigint, base bigint, part double, take bigint"
 
 
-def pivotal(parts: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
-    """Round the fractions one after another; returns 0/1 decisions and the index of the one left open (-1: none)."""
+def pivotal(parts: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
+    """Round the fractions one after another; returns 0/1 decisions and the index of the one left open (-1: none).
+
+    ``parts`` then holds the fraction that was left. What moves between two
+    documents is size, so the expected total size is kept exactly at every
+    step, and the directions are drawn so that each fraction keeps its expectation.
+    """
     draws = np.random.default_rng(seed).random(len(parts))
     take = np.zeros(len(parts), dtype=np.int64)
-    held, mass = -1, 0.0
-    for i, b in enumerate(parts.tolist()):
-        if b <= 0.0 or b >= 1.0:
-            take[i] = int(b >= 1.0)
+    held, p, s = -1, 0.0, 0.0
+    for i, (q, r) in enumerate(zip(parts.tolist(), sizes.tolist())):
+        if q <= 0.0 or q >= 1.0:
+            take[i] = int(q >= 1.0)
+        elif r <= 0:
+            take[i] = int(draws[i] < q)  # changes no size
         elif held < 0:
-            held, mass = i, b
-        elif mass + b < 1.0 - 1e-12:
-            held, mass = (i if draws[i] * (mass + b) < b else held), mass + b
+            held, p, s = i, q, r
         else:
-            rest = mass + b - 1.0
-            if draws[i] * (2.0 - mass - b) < 1.0 - b:
-                take[held] = 1
-                held = i
+            up, down = min((1.0 - p) * s, q * r), min(p * s, (1.0 - q) * r)
+            move = up if draws[i] * (up + down) < down else -down
+            p, q = p + move / s, q - move / r
+            if _EPS < p < 1.0 - _EPS:
+                take[i] = int(q > 0.5)
             else:
-                take[i] = 1
-            held, mass = (held, rest) if rest > 1e-12 else (-1, 0.0)
+                take[held] = int(p > 0.5)
+                held, p, s = (i, q, r) if _EPS < q < 1.0 - _EPS else (-1, 0.0, 0.0)
+                if held < 0:
+                    take[i] = int(q > 0.5)
     if held >= 0:
-        parts[held] = mass
+        parts[held] = p
     return take, held
 
 
 def _level(seed: int, last: bool):
     def round_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         own = np.random.SeedSequence([seed, *key[0].encode(), int(key[1]) & 0xFFFFFFFF]).generate_state(1)[0]
         parts = rows["part"].to_numpy(np.float64).copy()
-        take, held = pivotal(parts, own)
+        take, held = pivotal(parts, rows["size"].to_numpy(np.float64), own)
         decided = pd.array(take, dtype="Int64")
         if held >= 0:
             if last:

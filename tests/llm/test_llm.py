@@ -281,13 +281,15 @@ def test_packing(spark):
 
 
 def test_pivotal_keeps_sums_and_expectations():
-    parts = np.full(1000, 0.37)
-    means = np.zeros(1000)
-    for seed in range(300):
-        take, held = pivotal(own := parts.copy(), seed)
-        assert abs(take.sum() + (own[held] if held >= 0 else 0) - 370) < 1e-6
-        means += take
-    assert abs(means / 300 - 0.37).max() < 0.15
+    parts, sizes = np.full(500, 0.37), np.random.default_rng(4).pareto(1.2, 500) * 50 + 1
+    sizes[:5] = 0
+    means = np.zeros(500)
+    for seed in range(400):
+        take, held = pivotal(own := parts.copy(), sizes, seed)
+        left = own[held] * sizes[held] if held >= 0 else 0
+        assert (take * sizes).sum() + left == pytest.approx((parts * sizes).sum())
+        means += take + (np.arange(500) == held) * (own[held] if held >= 0 else 0)
+    assert abs(means / 400 - 0.37).max() < 0.12 and abs(means.mean() / 400 - 0.37) < 0.01
 
 
 def test_mixing(spark, monkeypatch):
@@ -306,7 +308,7 @@ def test_mixing(spark, monkeypatch):
     drawn = drawn.collect()
     assert all(0 < r.copies <= caps[r.source] for r in drawn)
     for s in ("big", "mid"):
-        assert report[s].reached_size == pytest.approx(report[s].target_size, rel=0.02)
+        assert report[s].reached_size == pytest.approx(report[s].target_size, rel=0.005)
     assert report["tiny"].reached_size == 4 * report["tiny"].size and report["none"].reached_size == 0
     assert sum(r.reached_share for r in report.values()) == pytest.approx(1)
     assert rows(mix(df, targets)[0]) == sorted(map(tuple, drawn), key=repr)
