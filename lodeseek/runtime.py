@@ -47,5 +47,15 @@ def _nullable(df: DataFrame, partition_by: list[str] | None):
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A small table comes in one or two files, and work in Python on its rows
+    would hold a single core; a large one has enough partitions and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
