@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.runtime import materialize
+from lodeseek.runtime import materialize, spread
 
 STATISTICS = (
     "word_length", "common_share", "letter_share", "digit_share", "symbol_share", "mixed_share", "line_words", "ended_share",
@@ -264,7 +264,7 @@ def quality(documents: DataFrame, labels: DataFrame, common_words: DataFrame) ->
             found = [measure(t, shared.value) for t in b["_text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "language": [f[0] for f in found], "words": [f[1] for f in found], "stats": [f[2] for f in found]})
 
-    rows = documents.select("doc_id", F.col("text").alias("_text")).mapInPandas(measured, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, language string, words bigint, stats array<double>")
+    rows = spread(documents.select("doc_id", F.col("text").alias("_text"))).mapInPandas(measured, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, language string, words bigint, stats array<double>")
     rows = materialize(rows, "quality")
     given = labels.select("doc_id", "label").dropna().groupBy("doc_id").agg(F.mode("label", True).alias("label"))
     sample = rows.filter("words > 0").join(given, "doc_id").select("label", "language", "stats", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
