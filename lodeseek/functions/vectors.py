@@ -16,7 +16,8 @@ def unit(vector: Column) -> Column:
     """The vector at length 1; null when it is null, empty, zero or not finite."""
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when((F.size(vector) > 0) & finite & (length > 0), F.transform(vector, lambda v: v / length))
+    divided = F.transform(F.array(length), lambda n: F.transform(vector, lambda v: v / n))  # the length is bound once, not per element
+    return F.when((F.size(vector) > 0) & finite & (length > 0), F.get(divided, F.lit(0)))
 
 
 def cosine(left: Column, right: Column) -> Column:

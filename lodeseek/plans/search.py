@@ -44,14 +44,15 @@ def candidates(index: Index, q: Query, now: int, semantic: DataFrame | None = No
     """
     dfs = index.frequencies(list(dict.fromkeys(q.terms + q.required_terms)))
     docs = index.docs.filter(hard_constraints(q))
+    # Scored where the documents lie; the join then moves finished scores.
+    docs = docs.withColumn("lexical_score", lexical_score(q, dfs, index.n_docs, index.average) if q.semantic_text else F.lit(1.0))
     if semantic is None:
         docs = docs.withColumn("semantic_score", F.lit(None).cast("double"))
     else:
         docs = docs.join(semantic.select("path", F.col("score").alias("semantic_score")), "path", "left")
     if not q.semantic_text:
-        return docs.withColumn("lexical_score", F.lit(1.0))
-    raw = docs.withColumn("lexical_score", lexical_score(q, dfs, index.n_docs, index.average))
-    return raw.filter((F.col("lexical_score") != 0) | F.col("semantic_score").isNotNull()).withColumn("lexical_score", F.col("lexical_score") * recency(now))
+        return docs
+    return docs.filter((F.col("lexical_score") != 0) | F.col("semantic_score").isNotNull()).withColumn("lexical_score", F.col("lexical_score") * recency(now))
 
 
 def fused(found: DataFrame, weight: float = 0.72) -> DataFrame:

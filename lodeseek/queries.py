@@ -366,8 +366,9 @@ def _ranked(query, rest, w=0.72, semantic=False):
 
 
 _VEC = "[" + ", ".join(f"{x}::DOUBLE" for x in VECTOR) + "]"
-_USABLE = "len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(vector, vector) > 0"
-_SEMANTIC = f"SELECT path, max(greatest(0, list_inner_product(vector, {_VEC}) / sqrt(list_inner_product(vector, vector)))) AS score FROM note_vectors WHERE provider_id = 'mini-a:64' AND len(vector) = 64 AND {_USABLE} GROUP BY path"
+_V = "list_transform(vector, lambda x: coalesce(x, 0))"
+_USABLE = "len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(list_transform(vector, lambda x: coalesce(x, 0)), list_transform(vector, lambda x: coalesce(x, 0))) > 0"
+_SEMANTIC = f"SELECT path, max(greatest(0, list_inner_product({_V}, CASE WHEN len(vector) = 64 THEN {_VEC} ELSE {_V} END) / sqrt(list_inner_product({_V}, {_V})))) AS score FROM note_vectors WHERE provider_id = 'mini-a:64' AND len(vector) = 64 AND {_USABLE} GROUP BY path"
 _IGNORED = " OR ".join(f"path = '{f}' OR starts_with(path, '{f}/')" for f in IGNORED)
 _VALID = """path IS NOT NULL AND basename IS NOT NULL AND extension IS NOT NULL AND tags IS NOT NULL AND ctime >= 0 AND mtime >= 0 AND size >= 0 AND token_count >= 0 AND term_frequency IS NOT NULL
  AND len(list_filter(tags, lambda t: t IS NULL)) = 0 AND len(list_filter(map_entries(term_frequency), lambda e: e.key = '' OR e.value IS NULL OR e.value <= 0)) = 0"""
@@ -431,7 +432,7 @@ q AS (SELECT query_id, unnest({_WORDS.format(_norm('query_text'))}) AS term FROM
 x AS (SELECT query_id, path, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.35 / (tf + 1.35 * (0.3 + 0.7 * token_count / average)) * 3) AS score FROM q JOIN p USING (term) JOIN d USING (term), s GROUP BY ALL),
 z AS (SELECT query_id, path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS place FROM x) SELECT * FROM z WHERE place <= 10"""),
         "cosine_topk": "SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY cosine DESC, vec_id LIMIT 25",
-        "vector_normalize": f"SELECT vec_id, CASE WHEN {_USABLE} THEN len(vector) END AS width, CASE WHEN {_USABLE} THEN round(vector[1] / sqrt(list_inner_product(vector, vector)), 9) END AS first FROM note_vectors",
+        "vector_normalize": f"SELECT vec_id, CASE WHEN {_USABLE} THEN len(vector) END AS width, CASE WHEN {_USABLE} THEN round(vector[1] / sqrt(list_inner_product({_V}, {_V})), 9) END AS first FROM note_vectors",
         "semantic_scores": f"SELECT path, round(score, 6) AS score FROM ({_SEMANTIC})",
         "embedding_staleness": f"WITH {state} SELECT path FROM notes LEFT JOIN c USING (path) WHERE NOT coalesce(c.mtime IS NOT DISTINCT FROM notes.mtime AND (c.c.size IS NULL OR c.c.size IS NOT DISTINCT FROM notes.size) AND c.c.provider_id = 'mini-a:64', false)".replace("c.mtime IS", "c.c.mtime IS"),
         "embedding_collection": f"WITH {state} SELECT path, c.c.provider_id AS provider_id FROM c WHERE path IN (SELECT path FROM notes)",
