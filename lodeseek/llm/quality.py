@@ -1,11 +1,12 @@
 """Per-document text statistics and a verdict that tells prose from lists, tables and junk.
 
-Every document is measured by the statistics in ``STATISTICS``. Prose has, per
-language, a robust mean and covariance of them; a document's squared
-Mahalanobis distance from its language's prose says how far it is from prose, and
-the distance is reported with each statistic's contribution to it. A document
-beyond the language's cutoff is no prose, and the statistics that set it
-apart name its kind.
+Every document is measured by the statistics in ``STATISTICS``, over its whole
+text, and once more over its body, the text without a heading or a sentence right
+before it (``body_`` and the name). Prose has, per language, a robust mean and
+covariance of the body's; a document's squared Mahalanobis distance from its
+language's prose says how far it is from prose, and the distance is reported with
+each statistic's contribution to it. A document beyond the language's cutoff is no
+prose, and the statistics that set it apart name its kind.
 """
 
 from __future__ import annotations
@@ -96,15 +97,16 @@ def _cells(lines: list[str]) -> int:
     return max(best, sum(g >= 1 for g in gaps)) if wide >= 3 or (wide >= 2 and wide >= 0.5 * len(lines)) else best
 
 
-def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, int, list[float]]:
-    """(language or '', number of words, the statistics) of one text.
+def body_of(text: str) -> str:
+    """``text`` without a first line of at most one sentence that has the body right under it, which tells nothing of the body."""
+    head, _, rest = text.partition("\n")
+    cut = head.strip() and rest.strip() and rest[0] not in "\r\n" and len(rest) >= 0.3 * len(head) and len(_STOP.findall(head)) <= 1
+    return rest if cut else text
 
-    A first line of at most one sentence with the body right under it is left out.
-    """
+
+def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, int, list[float]]:
+    """(language or '', number of words, the statistics) of one text."""
     text = text or ""
-    head, _, rest = text.partition("\n")
-    if head.strip() and rest.strip() and rest[0] not in "\r\n" and len(rest) >= 0.3 * len(head) and len(_STOP.findall(head)) <= 1:
-        text = rest  # a heading or a sentence right before the body tells nothing of the body
     lines = [line for line in text.splitlines() if line.strip()]
     words = _WORD.findall(text.lower())
     dense = sum(map(len, text.split())) or 1
@@ -241,10 +243,10 @@ def _distance(x: np.ndarray, model) -> tuple[float, np.ndarray]:
 
 
 def quality(documents: DataFrame, labels: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id, language, words, the statistics, distance, contributions, verdict) of every document.
+    """(doc_id, language, words, the statistics, the body's, distance, contributions, verdict) of every document.
 
     ``verdict`` is prose, list, table or junk; ``contributions`` maps each
-    statistic to its share in the squared distance (negative where it offsets others).
+    statistic to the share of the body's in the squared distance (negative where it offsets others).
     ``common_words`` (lang, word) must fit a broadcast; the prose model is
     fitted on at most about ``SAMPLE`` labelled documents, taken by a hash of the id.
 
@@ -261,32 +263,38 @@ def quality(documents: DataFrame, labels: DataFrame, common_words: DataFrame) ->
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [measure(t, shared.value) for t in b["_text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "language": [f[0] for f in found], "words": [f[1] for f in found], "stats": [f[2] for f in found]})
+            out = []
+            for doc, text in zip(b["doc_id"], b["_text"]):
+                body = body_of(text or "")
+                whole = measure(text, shared.value)
+                out.append((doc, *whole, *(whole if body == (text or "") else measure(body, shared.value))))
+            yield pd.DataFrame(out, columns=measures)
 
-    rows = spread(documents.select("doc_id", F.col("text").alias("_text"))).mapInPandas(measured, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, language string, words bigint, stats array<double>")
+    measures = ["doc_id", "language", "words", "stats", "body_language", "body_words", "body"]
+    types = [documents.schema["doc_id"].dataType.simpleString(), *["string", "bigint", "array<double>"] * 2]
+    rows = spread(documents.select("doc_id", F.col("text").alias("_text"))).mapInPandas(measured, ", ".join(f"{n} {t}" for n, t in zip(measures, types)))
     rows = materialize(rows, "quality")
     given = labels.select("doc_id", "label").dropna().groupBy("doc_id").agg(F.mode("label", True).alias("label"))
-    sample = rows.filter("words > 0").join(given, "doc_id").select("label", "language", "stats", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
+    sample = rows.filter("body_words > 0").join(given, "doc_id").select("label", F.col("body_language").alias("language"), F.col("body").alias("stats"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
     model = spark.sparkContext.broadcast(fit_prose(sample) if len(sample) else {})
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = model.value
         for b in batches:
             out = []
-            for doc, language, count, stats in b.itertuples(index=False):
-                x = np.asarray(stats, dtype=np.float64)
+            for doc, language, words, stats, own_language, count, body in b.itertuples(index=False):
+                x = np.asarray(body, dtype=np.float64)
                 far, parts, cutoff = 0.0, np.zeros(len(x)), math.inf
                 if known:
-                    own = known.get(language) or known[""]
+                    own = known.get(own_language) or known[""]
                     far, parts = _distance(x, own)
                     cutoff = own[2]
                 named = dict(zip(STATISTICS, x.tolist()))
                 verdict = kind_of(count, named) if far > cutoff or count == 0 else "prose"
                 share = parts / far if far > 0 else parts
-                out.append((doc, language or None, count, *x.tolist(), far, dict(zip(STATISTICS, share.tolist())), verdict))
+                out.append((doc, language or None, words, *stats, *x.tolist(), far, dict(zip(STATISTICS, share.tolist())), verdict))
             yield pd.DataFrame(out, columns=names)
 
-    names = ["doc_id", "language", "words", *STATISTICS, "distance", "contributions", "verdict"]
-    types = [rows.schema["doc_id"].dataType.simpleString(), "string", "bigint", *["double"] * len(STATISTICS), "double", "map<string,double>", "string"]
+    names = ["doc_id", "language", "words", *STATISTICS, *(f"body_{n}" for n in STATISTICS), "distance", "contributions", "verdict"]
+    types = [*types[:3], *["double"] * (2 * len(STATISTICS)), "double", "map<string,double>", "string"]
     return rows.mapInPandas(judged, ", ".join(f"{n} {t}" for n, t in zip(names, types)))

@@ -15,7 +15,7 @@ from lodeseek.llm.mixing import mix, pivotal
 from lodeseek.llm.neighbours import VectorIndex, scan_nearest, scan_range, unit
 from lodeseek.llm.ngrams import marked_values, suffix_counts
 from lodeseek.llm.packing import best_fit, pack, too_large
-from lodeseek.llm.quality import quality
+from lodeseek.llm.quality import STATISTICS, body_of, measure, quality
 from lodeseek.llm.records import current_records
 from lodeseek.llm.sizes import token_sizes, word_count
 from tests.parity import SF, check
@@ -337,3 +337,16 @@ def test_quality_on_labels(spark):
     assert none.count() == 0
     unlabelled = quality(extra, labels.limit(0), common.limit(0)).collect()
     assert {r.doc_id: r.verdict for r in unlabelled}[-5] == "prose"
+
+
+def test_statistics_are_of_the_whole_text(spark):
+    common = spark.createDataFrame([("en", w) for w in ("the", "and", "of", "it")], "lang string, word string")
+    texts = {1: "The first line of wrapped prose ends\nonly here, and it is long.", 2: "Only words 7\n*** ***", 3: "Head\n\nThe body of it.", 4: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in quality(df, spark.createDataFrame([], "doc_id bigint, label string"), common).collect()}
+    assert {i: r.words for i, r in got.items()} == {1: 13, 2: 2, 3: 5, 4: 0}
+    listed = {"en": frozenset(("the", "and", "of", "it"))}
+    for i, r in got.items():
+        assert [r[n] for n in STATISTICS] == pytest.approx(measure(texts[i], listed)[2])
+        assert [r[f"body_{n}"] for n in STATISTICS] == pytest.approx(measure(body_of(texts[i] or ""), listed)[2])
+    assert got[1].digit_share == 0 and got[2].digit_share > 0 == got[2].body_digit_share
