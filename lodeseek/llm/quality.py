@@ -7,6 +7,10 @@ covariance of the body's; a document's squared Mahalanobis distance from its
 language's prose says how far it is from prose, and the distance is reported with
 each statistic's contribution to it. A document beyond the language's cutoff is no
 prose, and the statistics that set it apart name its kind.
+
+The statistics are reported as measured. The distance is taken over features made
+of them: clipped where more says nothing, on a log scale for words a line, and for
+Japanese, which has no blanks between words, by its characters.
 """
 
 from __future__ import annotations
@@ -104,8 +108,12 @@ def body_of(text: str) -> str:
     return rest if cut else text
 
 
-def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, int, list[float]]:
-    """(language or '', number of words, the statistics) of one text."""
+def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, int, list[float], int, list[float]]:
+    """(language or '', number of words, the statistics, number of words or Japanese characters, the features) of one text.
+
+    A word is a run of letters in any language. ``garbled_share`` counts a broken sign
+    three times and a pair of wrongly decoded ones twice, so it may pass 1.
+    """
     text = text or ""
     lines = [line for line in text.splitlines() if line.strip()]
     words = _WORD.findall(text.lower())
@@ -114,19 +122,16 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, i
     tokens = _TOKEN.findall(text)
     letters = sum(map(str.isalpha, text))
     digits = sum(map(str.isdigit, text))
+    counts = Counter(words)
+    hits = {k: sum(counts[w] for w in v if w in counts) for k, v in common.items()}
     if cjk * 3 > letters:
-        language, share, count = "ja", 0.7 * len(_KANA.findall(text)) / max(cjk, 1), cjk  # kana stands for grammar
+        language = "ja"
     else:
-        counts = Counter(words)
-        hits = {k: sum(counts[w] for w in v if w in counts) for k, v in common.items()}
         best = max(hits, key=lambda k: (hits[k], k), default="")
-        count = len(words)
-        language, share = (best, hits[best] / count) if best and hits[best] and hits[best] >= 0.02 * count else ("", 0.0)
-    if language == "ja":
-        length, vocabulary = 4.5, 0.5
-    else:
-        length = sum(map(len, words)) / max(count, 1)
-        vocabulary = math.log1p(len(set(words))) / math.log1p(max(count, 1)) if count else 1.0
+        language = best if best and hits[best] and hits[best] >= 0.02 * len(words) else ""
+    share = hits.get(language, 0) / max(len(words), 1)
+    length = sum(map(len, words)) / max(len(words), 1)
+    vocabulary = math.log1p(len(counts)) / math.log1p(max(len(words), 1))
     lines = [line for line in lines if any(map(str.isalnum, line)) or not _RULE.match(line)]
     weights = [len(line.strip()) for line in lines]
     whole = sum(weights) or 1
@@ -165,15 +170,25 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, i
     longest = max((len(t) for t in tokens if any(map(str.isalnum, t))), default=0)
     if longest > 60 and cjk * 3 <= letters:
         machine = max(machine, sum(len(t) for t in tokens if len(t) > 60))
-    return language, count, [
-        length, min(share, COMMON_ENOUGH), letters / dense, digits / dense, symbols / dense, sum(1 for t in tokens if not (t.isalpha() or t[:-1].isalpha() and not t[-1].isdigit()) and "://" not in t and _MIXED.search(t)) / max(len(tokens), 1),
-        math.log1p(min(LONG_LINE, (cjk / 2 if language == "ja" else len(tokens)) / max(len(lines), 1))), sum(bool(_ENDED.search(x)) for x in lines) / max(len(lines), 1),
-        item / whole, _cells(lines) / max(len(lines), 1), repeat, furniture / whole, min(garbled, 1.0), machine / whole, vocabulary,
+    line_words = len(tokens) / max(len(lines), 1)
+    stats = [
+        length, share, letters / dense, digits / dense, symbols / dense, sum(1 for t in tokens if not (t.isalpha() or t[:-1].isalpha() and not t[-1].isdigit()) and "://" not in t and _MIXED.search(t)) / max(len(tokens), 1),
+        line_words, sum(bool(_ENDED.search(x)) for x in lines) / max(len(lines), 1),
+        item / whole, _cells(lines) / max(len(lines), 1), repeat, furniture / whole, garbled, machine / whole, vocabulary,
     ]
+    count = len(words)
+    if language == "ja":
+        count, length, vocabulary, line_words = cjk, 4.5, 0.5, cjk / 2 / max(len(lines), 1)
+        share = 0.7 * len(_KANA.findall(text)) / max(cjk, 1)  # kana stands for grammar
+    made = {
+        "word_length": length, "common_share": min(share, COMMON_ENOUGH), "line_words": math.log1p(min(LONG_LINE, line_words)),
+        "garbled_share": min(garbled, 1.0), "vocabulary": vocabulary if count else 1.0,
+    }
+    return language, len(words), stats, count, [made.get(n, v) for n, v in zip(STATISTICS, stats)]
 
 
 def kind_of(count: int, s: dict[str, float]) -> str:
-    """The kind of a document that is no prose."""
+    """The kind of a document that is no prose, by its features."""
     if count == 0 and s["cell_share"] < 0.5 and s["item_share"] < 0.5:
         return "junk"
     if max(s["garbled_share"] * 4, s["machine_share"], s["furniture_share"]) >= 0.4:
@@ -212,7 +227,7 @@ def fit_prose(labelled: pd.DataFrame, prior: int = 20) -> dict[str, tuple[np.nda
     ``prior`` documents' weight. The cutoff is the distance that divides the labels
     with the fewest errors; labels may be wrong.
     """
-    x = np.array(labelled["stats"].tolist(), dtype=np.float64).reshape(-1, len(STATISTICS))
+    x = np.array(labelled["features"].tolist(), dtype=np.float64).reshape(-1, len(STATISTICS))
     prose = (labelled["label"] == "prose").to_numpy()
     language = labelled["language"].to_numpy()
     if not prose.any():
@@ -246,7 +261,7 @@ def quality(documents: DataFrame, labels: DataFrame, common_words: DataFrame) ->
     """(doc_id, language, words, the statistics, the body's, distance, contributions, verdict) of every document.
 
     ``verdict`` is prose, list, table or junk; ``contributions`` maps each
-    statistic to the share of the body's in the squared distance (negative where it offsets others).
+    statistic to the share of the body's feature in the squared distance (negative where it offsets others).
     ``common_words`` (lang, word) must fit a broadcast; the prose model is
     fitted on at most about ``SAMPLE`` labelled documents, taken by a hash of the id.
 
@@ -267,23 +282,24 @@ def quality(documents: DataFrame, labels: DataFrame, common_words: DataFrame) ->
             for doc, text in zip(b["doc_id"], b["_text"]):
                 body = body_of(text or "")
                 whole = measure(text, shared.value)
-                out.append((doc, *whole, *(whole if body == (text or "") else measure(body, shared.value))))
+                own = whole if body == (text or "") else measure(body, shared.value)
+                out.append((doc, *whole[:3], own[0], *own[2:]))
             yield pd.DataFrame(out, columns=measures)
 
-    measures = ["doc_id", "language", "words", "stats", "body_language", "body_words", "body"]
-    types = [documents.schema["doc_id"].dataType.simpleString(), *["string", "bigint", "array<double>"] * 2]
+    measures = ["doc_id", "language", "words", "stats", "body_language", "body", "size", "features"]
+    types = [documents.schema["doc_id"].dataType.simpleString(), "string", "bigint", "array<double>", "string", "array<double>", "bigint", "array<double>"]
     rows = spread(documents.select("doc_id", F.col("text").alias("_text"))).mapInPandas(measured, ", ".join(f"{n} {t}" for n, t in zip(measures, types)))
     rows = materialize(rows, "quality")
     given = labels.select("doc_id", "label").dropna().groupBy("doc_id").agg(F.mode("label", True).alias("label"))
-    sample = rows.filter("body_words > 0").join(given, "doc_id").select("label", F.col("body_language").alias("language"), F.col("body").alias("stats"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
+    sample = rows.filter("size > 0").join(given, "doc_id").select("label", F.col("body_language").alias("language"), "features", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
     model = spark.sparkContext.broadcast(fit_prose(sample) if len(sample) else {})
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = model.value
         for b in batches:
             out = []
-            for doc, language, words, stats, own_language, count, body in b.itertuples(index=False):
-                x = np.asarray(body, dtype=np.float64)
+            for doc, language, words, stats, own_language, body, count, features in b.itertuples(index=False):
+                x = np.asarray(features, dtype=np.float64)
                 far, parts, cutoff = 0.0, np.zeros(len(x)), math.inf
                 if known:
                     own = known.get(own_language) or known[""]
@@ -292,7 +308,7 @@ def quality(documents: DataFrame, labels: DataFrame, common_words: DataFrame) ->
                 named = dict(zip(STATISTICS, x.tolist()))
                 verdict = kind_of(count, named) if far > cutoff or count == 0 else "prose"
                 share = parts / far if far > 0 else parts
-                out.append((doc, language or None, words, *stats, *x.tolist(), far, dict(zip(STATISTICS, share.tolist())), verdict))
+                out.append((doc, language or None, words, *stats, *body, far, dict(zip(STATISTICS, share.tolist())), verdict))
             yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "language", "words", *STATISTICS, *(f"body_{n}" for n in STATISTICS), "distance", "contributions", "verdict"]

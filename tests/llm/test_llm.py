@@ -350,3 +350,12 @@ def test_statistics_are_of_the_whole_text(spark):
         assert [r[n] for n in STATISTICS] == pytest.approx(measure(texts[i], listed)[2])
         assert [r[f"body_{n}"] for n in STATISTICS] == pytest.approx(measure(body_of(texts[i] or ""), listed)[2])
     assert got[1].digit_share == 0 and got[2].digit_share > 0 == got[2].body_digit_share
+
+
+def test_statistics_are_as_measured(spark):
+    common = spark.createDataFrame([("en", w) for w in ("the", "and", "of", "it")], "lang string, word string")
+    texts = [(1, "the end of it " * 30), (2, "雨の後で見る。\n\n棚を直した。"), (3, "")]
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, label string"), common).collect()}
+    assert (got[1].common_share, got[1].line_words, got[1].body_common_share) == (0.75, 120, 0.75)
+    assert (got[2].language, got[2].words, got[2].word_length, got[2].vocabulary) == ("ja", 2, 5.5, 1)
+    assert got[2].common_share == 0 and got[2].line_words == 1 and got[3].vocabulary == 0
