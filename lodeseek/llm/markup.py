@@ -7,6 +7,10 @@ structure: ``#`` headings, ``- `` and numbered list items, fenced code blocks,
 by the distribution of text over lines: text lengths are summed over a sliding
 window of lines, a surge of the sum opens a block, a dive to nothing closes it,
 and the lines between are kept.
+
+Signs of markup in other widths, blanks of other widths and invisible characters
+among them are recognised on a folded copy. The copy carries for each character
+what it stands for, so the clean text has the characters of the original.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.lookalike import mapping
+from lodeseek.llm.lookalike import LOOKALIKES, mapping
 from lodeseek.runtime import spread
 
 KINDS = ("html", "markdown", "wiki", "latex")
@@ -41,6 +45,14 @@ _ATTRIBUTE = r"""(?:\s+[\w:.-]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`]+))?)
 _BOTH = re.I | re.M
 _TAG = re.compile(rf"<(?:/{_NAME}\s*|{_NAME}(?:(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=`]+)){_ATTRIBUTE}*)?\s*/?)>|<!doctype\b[^<>]*>", _BOTH)
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|([a-z][a-z0-9]{1,31}));", re.I)
+_ANY_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+_INNER_TAG = re.compile(r"<[^<>]*>")
+_CODE_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_CELL_END = re.compile(r"\s*(?:\|\||!!)\s*")
+_ITEM_COMMAND = re.compile(r"^[ \t]*\\item\b[ \t]*", re.M)
+_ESCAPED = re.compile(r"\\([%&#_{}$])")
+_BLANKS, _GAP, _MADE = re.compile(r"[ \t]+"), re.compile(r"\n{3,}"), re.compile(f"[{HEAD}{ITEM}]")
+_BLOCK, _BLOCK_LINE, _INLINE = re.compile(r"\x01(\d+)\x01"), re.compile(r"\x01(\d+)\x01block"), re.compile(r"\x02(\d+)\x02")
 _CODE = re.compile(
     r"^(?P<fence>[ ]{0,3}(?P<mark>`{3,}|~{3,})[^\n`]*)$|(?P<pre><(?P<el>pre|code|script|style|textarea)\b[^<>]*>)|(?P<verb>\\begin\{(?P<env>verbatim\*?|lstlisting|minted|Verbatim)\})|(?P<wiki><(?P<wel>nowiki|source|syntaxhighlight)\b[^<>]*>)|(?P<rem><!--)",
     _BOTH,
@@ -83,6 +95,129 @@ _WITH_ARGUMENT = re.compile(r"~?\\([A-Za-z]+)\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}"
 _SILENT = {"cite", "citep", "citet", "ref", "eqref", "label", "includegraphics", "usepackage", "documentclass", "pageref", "input", "bibliography"}
 
 
+class Folded(str):
+    """A folded text with what each of its characters stands for; parts of it keep that."""
+
+    origin: list[str]
+
+    def __new__(cls, text: str, origin: list[str]):
+        self = super().__new__(cls, text)
+        self.origin = origin
+        return self
+
+    def __getitem__(self, key):
+        part = str.__getitem__(self, key)
+        return Folded(part, self.origin[key]) if isinstance(key, slice) else part
+
+    def __add__(self, other):
+        return join("", [self, other])
+
+    def __radd__(self, other):
+        return join("", [other, self])
+
+    def _stripped(self, left: int, right: int):
+        return self[left : max(left, right)]
+
+    def strip(self, chars=None):
+        return self._stripped(len(self) - len(str.lstrip(self, chars)), len(str.rstrip(self, chars)))
+
+    def lstrip(self, chars=None):
+        return self._stripped(len(self) - len(str.lstrip(self, chars)), len(self))
+
+    def rstrip(self, chars=None):
+        return self._stripped(0, len(str.rstrip(self, chars)))
+
+    def split(self, sep):
+        parts, at = [], 0
+        for part in str.split(self, sep):
+            parts.append(self[at : at + len(part)])
+            at += len(part) + len(sep)
+        return parts
+
+    def rpartition(self, sep):
+        at = self.rfind(sep)
+        return (self[:at], sep, self[at + len(sep) :]) if at >= 0 else ("", "", self)
+
+
+def join(sep: str, parts) -> str:
+    parts = list(parts)
+    text = sep.join(parts)
+    if not any(isinstance(x, Folded) for x in parts):
+        return text
+    origin: list[str] = []
+    for i, x in enumerate(parts):
+        origin.extend(sep if i else "")
+        origin.extend(x.origin if isinstance(x, Folded) else x)
+    return Folded(text, origin)
+
+
+class _Match:
+    """A match whose groups keep what they stand for."""
+
+    def __init__(self, m: re.Match, text: Folded):
+        self.m, self.text = m, text
+
+    def __getitem__(self, group):
+        start, end = self.m.span(group)
+        return None if start < 0 else self.text[start:end]
+
+
+def sub(pattern: re.Pattern, make, text: str) -> str:
+    """``pattern.sub(make, text)`` that keeps what the characters of a folded text stand for."""
+    if not isinstance(text, Folded):
+        return pattern.sub(make, text)
+    parts, at = [], 0
+    for m in pattern.finditer(text):
+        parts += [text[at : m.start()], make(_Match(m, text))]
+        at = m.end()
+    return join("", [*parts, text[at:]]) if parts else text
+
+
+_FOLD: dict[int, str] = {}
+
+
+def fold(text: str) -> str:
+    """``text`` with width forms, blanks and invisible characters folded; letters that only look alike stay.
+
+    An invisible character goes with the one before it, or with the one after it where
+    the one before may be a sign of markup.
+    """
+    if text.isascii():
+        return text
+    if not _FOLD:
+        alike = {pair[0] for pair in LOOKALIKES.split()}
+        _FOLD.update({cp: "".join(map(chr, to)) for cp, to in mapping().items() if len(to) < 2 and chr(cp) not in alike})
+    folded = text.translate(_FOLD)
+    if folded == text:
+        return text
+    origin: list[str] = []
+    signs, waiting = [], ""
+    for ch in text:
+        to = _FOLD.get(ord(ch), ch)
+        if to:
+            signs.append(to)
+            if waiting and to == "\n" and origin and signs[-2] != "\n":
+                origin[-1] += waiting
+                waiting = ""
+            origin.append(waiting + ch)
+            waiting = ""
+        elif waiting or not signs or (signs[-1].isascii() and not signs[-1].isalnum()):
+            waiting += ch
+        else:
+            origin[-1] += ch
+    if waiting and origin:
+        origin[-1] += waiting
+    return Folded(folded, origin)
+
+
+def unfold(text: str) -> str:
+    return "".join(text.origin) if isinstance(text, Folded) else text
+
+
+def _unescape(text: str) -> str:
+    return sub(_ANY_REFERENCE, lambda m: html.unescape(m[0]), text)
+
+
 def _set_aside_code(text: str) -> tuple[str, list[str], set[str]]:
     """Replace code blocks by marked lines; also drops comments, scripts and styles."""
     kinds: set[str] = set()
@@ -119,21 +254,22 @@ def _set_aside_code(text: str) -> tuple[str, list[str], set[str]]:
         if m["rem"] or (m["el"] or "").lower() in ("script", "style"):
             out.append(" ")
         elif inline:
-            out.append(html.unescape(re.sub(r"<[^<>]*>", "", body)))
+            out.append(_unescape(sub(_INNER_TAG, lambda m: "", body)))
         else:
             if m["pre"]:
-                body = html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", body))
+                body = _unescape(sub(_CODE_TAG, lambda m: "", body))
             kept.append("```\n" + body.strip("\n") + "\n```")
             out.append(f"\n\x01{len(kept) - 1}\x01\n")
         at = end.end() if end else len(text)
     out.append(text[at:])
-    return "".join(out), kept, kinds
+    return join("", out), kept, kinds
 
 
 def _set_aside_math(text: str, kept: list[str], kinds: set[str]) -> str:
     def keep(formula: str, block: bool) -> str:
         kinds.add("latex")
-        kept.append(f"$${formula.strip()}$$" if block else f"${formula.strip()}$")
+        sign = "$$" if block else "$"
+        kept.append(sign + formula.strip() + sign)
         return f"\n\x01{len(kept) - 1}\x01\n" if block else f"\x02{len(kept) - 1}\x02"
 
     def formula(m: re.Match) -> str:
@@ -142,8 +278,8 @@ def _set_aside_math(text: str, kept: list[str], kinds: set[str]) -> str:
                 return keep(m[group], block)
         return keep(m[4], False) if _MATHEMATICAL.search(m[4]) else m[0]
 
-    text = _MATH_ENV.sub(lambda m: keep(m[2], True), text) if r"\begin{" in text else text
-    return _MATH.sub(formula, text) if "$" in text or "\\" in text else text
+    text = sub(_MATH_ENV, lambda m: keep(m[2], True), text) if r"\begin{" in text else text
+    return sub(_MATH, formula, text) if "$" in text or "\\" in text else text
 
 
 def _html(text: str, kinds: set[str]) -> str:
@@ -170,7 +306,7 @@ def _html(text: str, kinds: set[str]) -> str:
         kinds.add("html")
         return m[0]  # read at the end, so that no sign it stands for is taken for markup
 
-    return _REFERENCE.sub(reference, _TAG.sub(tag, text))
+    return sub(_REFERENCE, reference, sub(_TAG, tag, text))
 
 
 def _wiki(text: str, kinds: set[str]) -> str:
@@ -187,8 +323,8 @@ def _wiki(text: str, kinds: set[str]) -> str:
             line = line.strip()
             if line[:2] in ("|}", "|-", "|+"):
                 continue
-            lines.append(re.sub(r"\s*(?:\|\||!!)\s*", " | ", line.lstrip("!|").strip()))
-        return "\n".join(lines)
+            lines.append(sub(_CELL_END, lambda m: " | ", line.lstrip("!|").strip()))
+        return join("\n", lines)
 
     def link(m: re.Match) -> str:
         if re.match(r"\s*category\s*:", m[1], re.I):
@@ -198,14 +334,14 @@ def _wiki(text: str, kinds: set[str]) -> str:
         return m[2] or m[1].strip()
 
     if "{|" in text:
-        text = _BRACE_TABLE.sub(mark(rows), text)
+        text = sub(_BRACE_TABLE, mark(rows), text)
     if "{{" in text:
-        text = _TEMPLATE.sub(mark(lambda m: ""), text)
+        text = sub(_TEMPLATE, mark(lambda m: ""), text)
     if "[" in text:
-        text = _OUTER_LINK.sub(mark(lambda m: m[2] or ""), _WIKI_LINK.sub(mark(link), text))
+        text = sub(_OUTER_LINK, mark(lambda m: m[2] or ""), sub(_WIKI_LINK, mark(link), text))
     if "=" in text:
-        text = _WIKI_HEAD.sub(mark(lambda m: HEAD * len(m[1]) + " " + m[2].strip()) if "==" in text else (lambda m: m[0]), text)
-    return _WIKI_QUOTE.sub(mark(lambda m: m[2]), text) if "''" in text else text
+        text = sub(_WIKI_HEAD, mark(lambda m: HEAD * len(m[1]) + " " + m[2].strip()) if "==" in text else (lambda m: m[0]), text)
+    return sub(_WIKI_QUOTE, mark(lambda m: m[2]), text) if "''" in text else text
 
 
 def _latex(text: str, kinds: set[str]) -> str:
@@ -215,14 +351,15 @@ def _latex(text: str, kinds: set[str]) -> str:
         kinds.add("latex")
     else:
         return text
-    text = _SECTION.sub(lambda m: "\n" + HEAD * (1 + m[1].count("sub")) + " " + m[2].strip() + "\n", text)
-    text = _ENV.sub("\n", text)
+    text = sub(_SECTION, lambda m: "\n" + HEAD * (1 + m[1].count("sub")) + " " + m[2].strip() + "\n", text)
+    text = sub(_ENV, lambda m: "\n", text)
     for _ in range(8):  # arguments inside arguments
-        text, n = _WITH_ARGUMENT.subn(lambda m: "" if m[1] in _SILENT else m[2], text)
-        if not n:
+        before = text
+        text = sub(_WITH_ARGUMENT, lambda m: "" if m[1] in _SILENT else m[2], text)
+        if text == before:
             break
-    text = re.sub(r"^[ \t]*\\item\b[ \t]*", ITEM + " ", text, flags=re.M)
-    return re.sub(r"\\([%&#_{}$])", r"\1", _BARE.sub("", text))
+    text = sub(_ITEM_COMMAND, lambda m: ITEM + " ", text)
+    return sub(_ESCAPED, lambda m: m[1], sub(_BARE, lambda m: "", text))
 
 
 def _table_rows(text: str, kinds: set[str]) -> str:
@@ -233,13 +370,13 @@ def _table_rows(text: str, kinds: set[str]) -> str:
         if "|" in line and "-" in line and i and "|" in lines[i - 1] and _DELIMITER.match(line):
             kinds.add("markdown")
             inside = True
-            out[-1] = " | ".join(x.strip() for x in out[-1].strip().strip("|").split("|"))
+            out[-1] = join(" | ", (x.strip() for x in out[-1].strip().strip("|").split("|")))
         elif inside and "|" in line:
-            out.append(" | ".join(x.strip() for x in line.strip().strip("|").split("|")))
+            out.append(join(" | ", (x.strip() for x in line.strip().strip("|").split("|"))))
         else:
             inside = False
             out.append(line)
-    return "\n".join(out)
+    return join("\n", out)
 
 
 def _underlined(text: str, kinds: set[str]) -> str:
@@ -251,7 +388,7 @@ def _underlined(text: str, kinds: set[str]) -> str:
             out[-1] = ("# " if rule[1][0] == "=" else "## ") + out[-1].strip()
         else:
             out.append(line)
-    return "\n".join(out)
+    return join("\n", out)
 
 
 def _markdown(text: str, kinds: set[str]) -> str:
@@ -263,21 +400,21 @@ def _markdown(text: str, kinds: set[str]) -> str:
         return replace
 
     if "`" in text:
-        text = _SPAN.sub(mark(lambda m: m[2]), text)
-    text = _ATX.sub(mark(lambda m: m[1] + " " + m[2]), text) if "#" in text else text
+        text = sub(_SPAN, mark(lambda m: m[2]), text)
+    text = sub(_ATX, mark(lambda m: str(m[1]) + " " + m[2]), text) if "#" in text else text
     text = _table_rows(text, kinds) if "|" in text else text
     text = _underlined(text, kinds) if "===" in text or "---" in text else text
-    text = _LIST.sub(mark(lambda m: m[1] + ("- " if m[2] in "-*+" else m[2] + " ")), text)
-    text = _QUOTE.sub(mark(lambda m: ""), text) if ">" in text else text
+    text = sub(_LIST, mark(lambda m: str(m[1]) + ("- " if m[2] in "-*+" else str(m[2]) + " ")), text)
+    text = sub(_QUOTE, mark(lambda m: ""), text) if ">" in text else text
     if "[" in text:
-        text = _NOTE.sub(mark(lambda m: ""), _NOTE_TEXT.sub(mark(lambda m: ""), text))
-        text = _LINK.sub(mark(lambda m: m[1]), _IMAGE.sub(mark(lambda m: m[1]), text))
-        text = _REFLINK.sub(mark(lambda m: m[1]), _DEFINITION.sub(mark(lambda m: ""), text))
+        text = sub(_NOTE, mark(lambda m: ""), sub(_NOTE_TEXT, mark(lambda m: ""), text))
+        text = sub(_LINK, mark(lambda m: m[1]), sub(_IMAGE, mark(lambda m: m[1]), text))
+        text = sub(_REFLINK, mark(lambda m: m[1]), sub(_DEFINITION, mark(lambda m: ""), text))
     if "<" in text:
-        text = _AUTOLINK.sub(mark(lambda m: m[1]), text)
-    text = _STRIKE.sub(mark(lambda m: m[1]), text) if "~~" in text else text
-    text = _STAR.sub(mark(lambda m: m[2]), text) if "*" in text else text
-    return _LINE.sub(mark(lambda m: m[2]), text) if "_" in text else text
+        text = sub(_AUTOLINK, mark(lambda m: m[1]), text)
+    text = sub(_STRIKE, mark(lambda m: m[1]), text) if "~~" in text else text
+    text = sub(_STAR, mark(lambda m: m[2]), text) if "*" in text else text
+    return sub(_LINE, mark(lambda m: m[2]), text) if "_" in text else text
 
 
 def line_blocks(lines: list[str], window: int = WINDOW, surge: int = SURGE) -> list[str]:
@@ -296,20 +433,11 @@ def line_blocks(lines: list[str], window: int = WINDOW, surge: int = SURGE) -> l
     return kept
 
 
-_FOLD: dict[int, str] = {}
-
-
 def analyse(content: str | None) -> tuple[list[str], str | None]:
     """The kinds of markup in ``content`` and its clean text."""
     if not content:
         return [], content
-    if not _FOLD:
-        _FOLD.update({cp: "".join(map(chr, to)) for cp, to in mapping().items() if len(to) < 2})
-    text = content.replace("\r\n", "\n").replace("\r", "\n").translate(dict.fromkeys(range(1, 5)))
-    if not text.isascii():
-        folded = text.translate(_FOLD)  # signs of markup in other widths, hidden characters among them
-    else:
-        folded = text
+    folded = fold(content.replace("\r\n", "\n").replace("\r", "\n").translate(dict.fromkeys(range(1, 5))))
     kinds: set[str] = set()
     front = _FRONT.match(folded)
     if front and _FRONT_KEY.search(front[0]):
@@ -319,14 +447,14 @@ def analyse(content: str | None) -> tuple[list[str], str | None]:
     kinds |= own
     text = _set_aside_math(text, kept, kinds)
     text = _markdown(_latex(_wiki(_html(text, kinds), kinds), kinds), kinds)
-    text = _REFERENCE.sub(lambda m: html.unescape(m[0]), text) if "html" in kinds else text
-    text = text.replace(HEAD, "#").replace(ITEM, "-")
-    text = re.sub(r"\x02(\d+)\x02", lambda m: kept[int(m[1])], text)
-    lines = [re.sub(r"[ \t]+", " ", x).rstrip() if not x[:1].isspace() else x.rstrip() for x in text.split("\n")]
-    marked = [re.sub(r"\x01(\d+)\x01", lambda m: "\x01" + m[1] + "\x01block", x) for x in lines]
-    clean = re.sub(r"\n{3,}", "\n\n", "\n".join(line_blocks(marked))).strip()
-    clean = re.sub(r"\x01(\d+)\x01block", lambda m: kept[int(m[1])], clean)
-    return [k for k in KINDS if k in kinds], clean
+    text = sub(_REFERENCE, lambda m: html.unescape(m[0]), text) if "html" in kinds else text
+    text = sub(_MADE, lambda m: "#" if m[0] == HEAD else "-", text)
+    text = sub(_INLINE, lambda m: kept[int(m[1])], text)
+    lines = [sub(_BLANKS, lambda m: m[0] if m[0] == " " else " ", x).rstrip() if not x[:1].isspace() else x.rstrip() for x in text.split("\n")]
+    marked = [sub(_BLOCK, lambda m: "\x01" + m[1] + "\x01block", x) for x in lines]
+    clean = sub(_GAP, lambda m: "\n\n", join("\n", line_blocks(marked))).strip()
+    clean = sub(_BLOCK_LINE, lambda m: kept[int(m[1])], clean)
+    return [k for k in KINDS if k in kinds], unfold(clean)
 
 
 def clean_markup(documents: DataFrame, key: list[str], content: str = "content") -> DataFrame:

@@ -10,7 +10,7 @@ from lodeseek.llm import queries as llm
 from lodeseek.llm.elite import distinctive_terms, fit_two_poisson, typical_terms
 from lodeseek.llm.fusion import best_by_every_score, fuse_ranks
 from lodeseek.llm.lookalike import consistent, mapping, same_looking_pairs
-from lodeseek.llm.markup import analyse, clean_markup, line_blocks
+from lodeseek.llm.markup import Folded, analyse, clean_markup, fold, line_blocks, unfold
 from lodeseek.llm.mixing import mix, pivotal
 from lodeseek.llm.neighbours import VectorIndex, scan_nearest, scan_range, unit
 from lodeseek.llm.ngrams import marked_values, suffix_counts
@@ -98,6 +98,26 @@ def test_clean_text():
     assert analyse("plain text") == ([], "plain text")
 
 
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("# Масса\nКот и **Москва**: $х_1$ и `сор`, Αθήνα", "# Масса\nКот и Москва: $х_1$ и `сор`, Αθήνα".replace("`", "")),
+        ("```\nх = \uff11\u00a0\u200d\n```\n\\emph{ТЕСТ}", "```\nх = \uff11\u00a0\u200d\n```\n\nТЕСТ"),
+        ("\u200b#\u00a0\uff28ead\n\u0645\u06cc\u200c\u062e **\u200fa\u00a0b** \U0001f469\u200d\U0001f4bb 1\ufe0f\u20e3 end.\u2060\nx", "# \uff28ead\n\u0645\u06cc\u200c\u062e \u200fa\u00a0b \U0001f469\u200d\U0001f4bb 1\ufe0f\u20e3 end.\u2060\nx"),
+        ("\uff0a\uff0a\uff42\uff0a\uff0a [[\uff30|\uff54]]\n| \uff41 | b\u00a0c |\n|---|---|\n| 1 | \uff12 |", "\uff42 \uff54\n\uff41 | b\u00a0c\n1 | \uff12"),
+        ("<b>\uff41</b>&amp;<pre>&lt;\uff42</pre>\n{|\n! \uff43 !! d\n|}\n== \uff44 ==\nе\n--\n---", None),
+    ],
+)
+def test_clean_text_keeps_the_characters(text, clean):
+    if clean is not None:
+        assert analyse(text)[1] == clean
+    folded = Folded(text, list(text))  # each character stands for itself
+    assert unfold(folded) == text and unfold(fold(text)) == text
+    for plain in (text, fold(text)):
+        assert analyse(plain)[0] == analyse(text)[0]
+        assert str(fold(analyse(text)[1])) == analyse(str(fold(text)))[1]
+
+
 def test_line_blocks_drop_residue():
     assert [x for x in line_blocks(["|", "--", "", "", "", "Real words here", "more of them", "", "", "", "]]", "}"]) if x] == ["Real words here", "more of them"]
 
