@@ -5,8 +5,10 @@ markup. Then each kind of markup is stripped to a plain form that keeps
 structure: ``#`` headings, ``- `` and numbered list items, fenced code blocks,
 ``$`` formulas and `` | `` between cells. What the stripping leaves behind is sifted
 by the distribution of text over lines: text lengths are summed over a sliding
-window of lines, a surge of the sum opens a block, a dive to nothing closes it,
-and the lines between are kept.
+window of lines, any line with content opens a block, a dive of the sum to nothing
+closes it, and the lines between are kept without residue of markup. Residue is a
+line of signs of markup only, unless it is a row of a table or an item, or stands so
+in the source and is no markup there.
 
 Signs of markup in other widths, blanks of other widths and invisible characters
 among them are recognised on a folded copy. The copy carries for each character
@@ -28,9 +30,15 @@ from lodeseek.llm.lookalike import LOOKALIKES, mapping
 from lodeseek.runtime import spread
 
 KINDS = ("html", "markdown", "wiki", "latex")
-WINDOW, SURGE = 3, 3
-# Marks of headings and items that other markup has made, so that they are not taken for Markdown.
-HEAD, ITEM = "\x03", "\x04"
+WINDOW = 3
+# Marks of headings and items that other markup has made, so that they are not taken for Markdown, and of cells.
+HEAD, ITEM, CELL = "\x03", "\x04", "\x05"
+# A line of nothing but these may be residue.
+_SIGNS = re.compile(r"[\s|{}\[\]()<>=*_~`#^&;:!\\$/+-]+")
+# A line that is markup even where it stands so in the source: rules, bullets, delimiters, openers and closers left alone.
+_TOKEN = re.compile(r"([*_=~`#>|\\-])(?:\s*\1)*|[-:|+\s]+|\|[-+}]+|\{\||\{{2,}|\}{2,}|\[{2,}|\]{2,}|\${2}|<!--+|--+>")
+_BRACKETS = re.compile(r"[{}\[\]\s]+")
+_ITEM_OF_SIGNS = re.compile(r"-[ \t]+[+=<>~^&:/!]+")
 
 # Names of HTML elements.
 _ELEMENTS = (
@@ -51,7 +59,7 @@ _CODE_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _CELL_END = re.compile(r"\s*(?:\|\||!!)\s*")
 _ITEM_COMMAND = re.compile(r"^[ \t]*\\item\b[ \t]*", re.M)
 _ESCAPED = re.compile(r"\\([%&#_{}$])")
-_BLANKS, _GAP, _MADE = re.compile(r"[ \t]+"), re.compile(r"\n{3,}"), re.compile(f"[{HEAD}{ITEM}]")
+_BLANKS, _GAP, _MADE, _CELL = re.compile(r"[ \t]+"), re.compile(r"\n{3,}"), re.compile(f"[{HEAD}{ITEM}]"), re.compile(rf"[ \t]*{CELL}[ \t]*$|{CELL}", re.M)
 _BLOCK, _BLOCK_LINE, _INLINE = re.compile(r"\x01(\d+)\x01"), re.compile(r"\x01(\d+)\x01block"), re.compile(r"\x02(\d+)\x02")
 _CODE = re.compile(
     r"^(?P<fence>[ ]{0,3}(?P<mark>`{3,}|~{3,})[^\n`]*)$|(?P<pre><(?P<el>pre|code|script|style|textarea)\b[^<>]*>)|(?P<verb>\\begin\{(?P<env>verbatim\*?|lstlisting|minted|Verbatim)\})|(?P<wiki><(?P<wel>nowiki|source|syntaxhighlight)\b[^<>]*>)|(?P<rem><!--)",
@@ -295,7 +303,7 @@ def _html(text: str, kinds: set[str]) -> str:
         if name == "li":
             return "" if ends else f"\n{ITEM} "
         if name in ("td", "th"):
-            return "" if ends else " | "
+            return "" if ends else f" |{CELL} "
         if name in ("br", "p", "div", "tr", "table", "ul", "ol", "section", "article", "blockquote", "hr", "header", "footer", "main", "nav", "aside", "dl", "dt", "dd", "pre"):
             return "\n"
         return ""
@@ -323,7 +331,8 @@ def _wiki(text: str, kinds: set[str]) -> str:
             line = line.strip()
             if line[:2] in ("|}", "|-", "|+"):
                 continue
-            lines.append(sub(_CELL_END, lambda m: " | ", line.lstrip("!|").strip()))
+            row = sub(_CELL_END, lambda m: " | ", line.lstrip("!|").strip())
+            lines.append(row + CELL if row else row)
         return join("\n", lines)
 
     def link(m: re.Match) -> str:
@@ -370,9 +379,9 @@ def _table_rows(text: str, kinds: set[str]) -> str:
         if "|" in line and "-" in line and i and "|" in lines[i - 1] and _DELIMITER.match(line):
             kinds.add("markdown")
             inside = True
-            out[-1] = join(" | ", (x.strip() for x in out[-1].strip().strip("|").split("|")))
+            out[-1] = join(" | ", (x.strip() for x in out[-1].strip().strip("|").split("|"))) + CELL
         elif inside and "|" in line:
-            out.append(join(" | ", (x.strip() for x in line.strip().strip("|").split("|"))))
+            out.append(join(" | ", (x.strip() for x in line.strip().strip("|").split("|"))) + CELL)
         else:
             inside = False
             out.append(line)
@@ -417,13 +426,25 @@ def _markdown(text: str, kinds: set[str]) -> str:
     return sub(_LINE, mark(lambda m: m[2]), text) if "_" in text else text
 
 
-def line_blocks(lines: list[str], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines between surges and dives of the text length over ``window`` lines."""
-    length = [sum(map(str.isalnum, line)) for line in lines]
+def _content(line: str, given: set[str]) -> int:
+    """Number of characters of content in a stripped line; 0 for residue. ``given`` are lines of signs that are text."""
+    if length := sum(map(str.isalnum, line)):
+        return length
+    own = line.strip()
+    if CELL in own:  # a row has content where any of its cells has
+        own = own.replace("|", "").replace(CELL, "").strip()
+    elif _SIGNS.fullmatch(own) and own not in given and not _ITEM_OF_SIGNS.fullmatch(own):
+        return 0
+    return len(own)
+
+
+def line_blocks(lines: list[str], window: int = WINDOW, given: set[str] = frozenset()) -> list[str]:
+    """The lines with content, and the blank ones up to where the text length over ``window`` lines dives to nothing."""
+    length = [_content(line, given) for line in lines]
     total = [sum(length[i : i + window]) for i in range(len(lines))]
     kept, inside = [], False
     for i, line in enumerate(lines):
-        if not inside and total[i] >= surge and length[i]:
+        if not inside and length[i]:
             inside = True
         elif inside and total[i] == 0:
             inside = False
@@ -437,7 +458,7 @@ def analyse(content: str | None) -> tuple[list[str], str | None]:
     """The kinds of markup in ``content`` and its clean text."""
     if not content:
         return [], content
-    folded = fold(content.replace("\r\n", "\n").replace("\r", "\n").translate(dict.fromkeys(range(1, 5))))
+    folded = fold(content.replace("\r\n", "\n").replace("\r", "\n").translate(dict.fromkeys(range(1, 6))))
     kinds: set[str] = set()
     front = _FRONT.match(folded)
     if front and _FRONT_KEY.search(front[0]):
@@ -451,8 +472,13 @@ def analyse(content: str | None) -> tuple[list[str], str | None]:
     text = sub(_MADE, lambda m: "#" if m[0] == HEAD else "-", text)
     text = sub(_INLINE, lambda m: kept[int(m[1])], text)
     lines = [sub(_BLANKS, lambda m: m[0] if m[0] == " " else " ", x).rstrip() if not x[:1].isspace() else x.rstrip() for x in text.split("\n")]
+    given: set[str] = set()
+    if any(map(_SIGNS.fullmatch, lines)):
+        own = {x for x in map(str.strip, str(folded).split("\n")) if _SIGNS.fullmatch(x) and not _TOKEN.fullmatch(x)}
+        given = {x for x in own if not ("latex" in kinds and _BRACKETS.fullmatch(x))}  # closers of commands
     marked = [sub(_BLOCK, lambda m: "\x01" + m[1] + "\x01block", x) for x in lines]
-    clean = sub(_GAP, lambda m: "\n\n", join("\n", line_blocks(marked))).strip()
+    clean = sub(_GAP, lambda m: "\n\n", join("\n", line_blocks(marked, given=given))).strip()
+    clean = sub(_CELL, lambda m: "", clean)
     clean = sub(_BLOCK_LINE, lambda m: kept[int(m[1])], clean)
     return [k for k in KINDS if k in kinds], unfold(clean)
 

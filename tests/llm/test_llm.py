@@ -122,6 +122,19 @@ def test_line_blocks_drop_residue():
     assert [x for x in line_blocks(["|", "--", "", "", "", "Real words here", "more of them", "", "", "", "]]", "}"]) if x] == ["Real words here", "more of them"]
 
 
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("ok.", "ok."), ("Hi", "Hi"), ("# A\n\n\ntext", "# A\n\ntext"), ("5", "5"), ("- \U0001f389\n- x", "- \U0001f389\n- x"), ("one\n...\ntwo", "one\n...\ntwo"), ("?", "?"),
+        ("| a | b |\n|---|---|\n| \u2713 | \u2717 |\n| - | - |\n| -- | |\n|  |  |", "a | b\n\u2713 | \u2717\n- | -\n-- |"), ("{|\n! a !! b\n|-\n| -- || --\n|}", "a | b\n-- | --"), ("<table><tr><td>-</td><td>-</td></tr><tr><td></td></tr></table>", "| - | -"),
+        ("if (x) {\n  y();\n}\n->\n!!!", "if (x) {\n  y();\n}\n->\n!!!"), ("a\n\n---\n\n***\n\n}}\n|\n\nb", "a\n\nb"), ("\\textbf{a {b} c\n}\nd", None), ("---\n***", ""),
+    ],
+)
+def test_short_and_sign_lines_stay(text, clean):
+    got = analyse(text)[1]
+    assert "}" not in got.split("\n") if clean is None else got == clean
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (2, "# a", "k"), (None, "x" * 200_000 + " **y z**", "k")], "note_id bigint, content string, kinds string")
     got = {(r.note_id, tuple(r.kinds)) for r in clean_markup(df, ["note_id"]).collect()}
