@@ -1,14 +1,16 @@
-"""Most similar vectors by an adaptive dimension scan inside the probed lists of an inverted file.
+"""Most similar vectors by an adaptive dimension scan inside the lists of an inverted file that can hold them.
 
 Vectors are brought to unit length and turned by one random rotation per width,
 so that any block of columns is a fair sample of a distance. Centroids are
-fitted on a bounded sample; every vector is put into its nearest list and
-searched for in the lists nearest to it. Inside a list, candidates are compared
+fitted on a bounded sample; every vector is put into its nearest list. A list's
+radius is the greatest angle between its centroid and a member, so a vector has
+neighbours within an angle only in the lists whose centroid lies within that angle
+and the radius, and all of those are searched. Inside a list, candidates are compared
 over one block of columns after another: with d of D columns seen, the partial
 squared distance scaled by D / d is tested against the bound widened by
 1 + EPSILON / sqrt(d), and a candidate that fails the test is abandoned. What
 survives all columns has its exact distance, so a reported similarity is exact
-and only a missed pair can be wrong.
+and only a pair abandoned wrongly is missed.
 
 Lists are cut into blocks of rows, and every pair of a query block and a data
 block is one group, so a list that holds most vectors is spread over many
@@ -127,9 +129,10 @@ class VectorIndex:
 
     Vectors count as copies when two 64-bit hashes of their elements agree. Groups
     of provider and width must be few, as each has centroids on the driver.
+    ``probes`` lists are searched for the bound of ``nearest``.
     """
 
-    def __init__(self, vectors: DataFrame, probes: int):
+    def __init__(self, vectors: DataFrame, probes: int = 12):
         spark = vectors.sparkSession
         self.members = materialize(usable_vectors(vectors), "vectors")
         same = ["provider_id", "width", "h1", "h2"]
@@ -153,9 +156,36 @@ class VectorIndex:
                     turned = unit(np.array(own["vector"].tolist(), dtype=np.float64)) @ rotation(int(w))
                     near = turned @ shared.value[p, int(w)].T
                     lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"provider_id": p, "width": int(w), "rep": own["rep"].to_numpy(), "home": lists[:, 0], "lists": list(lists), "v": [row.tobytes() for row in turned]})
+                    angle = np.arccos(np.clip(near.max(axis=1), -1, 1))
+                    yield pd.DataFrame({"provider_id": p, "width": int(w), "rep": own["rep"].to_numpy(), "home": lists[:, 0], "angle": angle, "lists": list(lists), "v": [row.tobytes() for row in turned]})
 
-        self.placed = materialize(reps.select("provider_id", "width", "rep", "vector").mapInPandas(assign, "provider_id string, width int, rep long, home int, lists array<int>, v binary"), "placed")
+        self.placed = materialize(reps.select("provider_id", "width", "rep", "vector").mapInPandas(assign, "provider_id string, width int, rep long, home int, angle double, lists array<int>, v binary"), "placed")
+        radii = {k: np.full(len(c), -np.inf) for k, c in centroids.items()}  # a list without members holds nothing
+        for r in self.placed.groupBy("provider_id", "width", "home").agg(F.max("angle").alias("radius")).collect():
+            radii[r.provider_id, r.width][r.home] = r.radius
+        self.bounds = spark.sparkContext.broadcast({k: (c, radii[k]) for k, c in centroids.items()})
+
+    def _reaching(self, queries: DataFrame, forward: bool) -> DataFrame:
+        """``queries`` with the lists that can hold a vector within ``reach`` (an angle) of them.
+
+        ``forward`` leaves out the lists before the own one, whose members find the pair;
+        otherwise those in ``lists`` are left out, as they are searched already.
+        """
+        shared = self.bounds
+
+        def reach(batches):
+            for b in batches:
+                for (p, w), own in b.groupby(["provider_id", "width"], sort=False):
+                    centroids, radii = shared.value[p, int(w)]
+                    turned = np.frombuffer(b"".join(own["v"]), dtype=np.float64).reshape(len(own), -1)
+                    near = np.arccos(np.clip(turned @ centroids.T, -1, 1)) <= radii + own["reach"].to_numpy()[:, None] + 1e-6
+                    if forward:
+                        near &= np.arange(len(centroids)) >= own["home"].to_numpy()[:, None]
+                    else:
+                        np.put_along_axis(near, np.stack(own["lists"].to_list()), False, axis=1)
+                    yield pd.DataFrame({"provider_id": p, "width": int(w), "rep": own["rep"].to_numpy(), "lists": [np.flatnonzero(x) for x in near], "v": own["v"].to_numpy()})
+
+        return queries.select("provider_id", "width", "rep", "home", "lists", "reach", "v").mapInPandas(reach, "provider_id string, width int, rep long, lists array<int>, v binary")
 
     def _scan(self, queries: DataFrame, scan, schema: str) -> DataFrame:
         """Run ``scan(query ids, queries, data ids, data)`` on every block pair of every probed list."""
@@ -182,8 +212,7 @@ class VectorIndex:
     def similar_pairs(self, least: float = 0.9) -> DataFrame:
         """(vec_id_a, vec_id_b, cosine) of all pairs with at least ``least``, the smaller id first.
 
-        The bound holds for the distinct vectors found in each other's probed
-        lists; exact copies have cosine 1.
+        All lists that can hold such a vector are searched; exact copies have cosine 1.
         """
 
         def scan(qn, q, xn, x):
@@ -192,7 +221,8 @@ class VectorIndex:
             keep = a != b
             return np.minimum(a, b)[keep], np.maximum(a, b)[keep], cosine[keep]
 
-        found = self._scan(self.placed, scan, "ra long, rb long, cosine double").groupBy("ra", "rb").agg(F.max("cosine").alias("cosine"))
+        reach = float(np.arccos(np.clip(least, -1, 1)))
+        found = self._scan(self._reaching(self.placed.withColumn("reach", F.lit(reach)), True), scan, "ra long, rb long, cosine double").groupBy("ra", "rb").agg(F.max("cosine").alias("cosine"))
         classes = materialize(self.classes, "classes")
         a, b = (classes.select(F.col("rep").alias(f"r{x}"), F.col("vec_id").alias(f"i{x}")) for x in "ab")
         across = found.join(a, "ra").join(b, "rb").select("ia", "ib", "cosine")
@@ -202,7 +232,9 @@ class VectorIndex:
     def nearest(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(vec_id, neighbour, cosine, place): the k most similar other vectors for each ``vec_id`` of ``queries``.
 
-        Ties go to the smaller id. Ids that are unknown or not usable have no rows.
+        The first lists searched give the bound, the angle of the last place; then all
+        other lists are searched that can hold a nearer vector. Ties go to the smaller
+        id. Ids that are unknown or not usable have no rows.
         """
         classes = materialize(self.classes, "classes")
         asked = classes.join(queries.select("vec_id").distinct(), "vec_id")
@@ -212,7 +244,12 @@ class VectorIndex:
             a, b, cosine = scan_nearest(q, x, k + 1)
             return qn[a], xn[b], cosine
 
-        near = self._scan(reps, scan, "rep long, other long, cosine double")
+        kind = "rep long, other long, cosine double"
+        first = materialize(self._scan(reps, scan, kind), "first")
+        last = first.groupBy("rep").agg(F.sort_array(F.collect_list("cosine"), False).alias("_c")).select("rep", F.get("_c", F.lit(k)).alias("_c"))
+        reach = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.coalesce("_c", F.lit(-1.0)))))
+        rest = materialize(self._reaching(reps.join(last, "rep", "left").withColumn("reach", reach), False), "rest")
+        near = first.unionByName(self._scan(rest, scan, kind))
         near = near.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).filter(F.col("_n") <= k + 1).drop("_n")
         few = classes.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).filter(F.col("_n") <= k + 1).select(F.col("rep").alias("other"), F.col("vec_id").alias("neighbour"))
         rows = asked.join(near, "rep").join(few, "other").filter(F.col("vec_id") != F.col("neighbour"))

@@ -62,7 +62,7 @@ def p4_scores(spark, sf):
 
 
 def p5_found(spark, sf):
-    return VectorIndex(table(spark, sf, "note_vectors"), probes=4).similar_pairs(0.9).select("vec_id_a", "vec_id_b")
+    return VectorIndex(table(spark, sf, "note_vectors")).similar_pairs(0.9).select("vec_id_a", "vec_id_b")
 
 
 def p5_nearest(spark, sf):

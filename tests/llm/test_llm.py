@@ -263,6 +263,18 @@ def test_vector_pairs_and_neighbours(spark):
     assert VectorIndex(df.limit(0), 4).similar_pairs().count() == 0
 
 
+def test_no_list_that_can_hold_a_neighbour_is_left_out(spark):
+    v = unit(np.random.default_rng(6).normal(size=(4000, 6)))  # no clusters at all
+    df = spark.createDataFrame([(i, "p", "one", 1, 1, r.tolist()) for i, r in enumerate(v)], VECTORS)
+    exact = v @ v.T
+    a, b = np.nonzero(np.triu(exact >= 0.9, 1))
+    pairs = VectorIndex(df, 1).similar_pairs(0.9).select("vec_id_a", "vec_id_b").toPandas()
+    assert set(map(tuple, pairs.to_numpy())) == set(zip(a, b)) and len(pairs) == len(a)
+    near = VectorIndex(df, 1).nearest(df.filter("vec_id % 20 = 1"), 5).collect()
+    np.fill_diagonal(exact, -9)
+    assert len(near) == 5 * 200 and all(r.cosine == pytest.approx(np.sort(exact[r.vec_id])[-r.place]) for r in near)
+
+
 # ---------------------------------------------------------------- packing and mixing
 
 
