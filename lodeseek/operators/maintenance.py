@@ -15,8 +15,9 @@ from lodeseek.sources.store import IndexStore, Settings
 
 
 def eligible(notes: DataFrame, settings: Settings) -> DataFrame:
-    """Notes outside the ignored folders, bodies above the cap emptied."""
-    return capped_content(notes.filter(~ignored(list(settings.ignored_folders))), settings.max_file_size_kb)
+    """Notes outside the ignored folders, bodies above the cap emptied; where the size is null, the body is measured."""
+    sized = notes.withColumn("size", F.coalesce("size", F.octet_length("content").cast("bigint")))
+    return capped_content(sized.filter(~ignored(list(settings.ignored_folders))), settings.max_file_size_kb)
 
 
 def refresh(store: IndexStore, notes: DataFrame, settings: Settings, seq: int) -> DataFrame:

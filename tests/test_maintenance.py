@@ -42,6 +42,16 @@ def test_scalars(spark):
     assert [r.b for r in sizes] == ["1.5 MB", "12 KB"]
 
 
+def test_refresh_measures_a_body_without_a_size(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/n")
+    rows = [("a.md", "one two", None), ("b.md", "x " * 600, None), ("c.md", "one", 5000)]
+    df = spark.createDataFrame([(p, p[:-3], "md", c, [], 1, 1, s) for p, c, s in rows], NOTE)
+    refresh(store, df, Settings(max_file_size_kb=1), 0)
+    got = {r.path: r.token_count for r in store.load(Settings(max_file_size_kb=1).signature()).collect()}
+    assert got["a.md"] == 2 and got["b.md"] == got["c.md"] == 0
+    assert {r.status for r in refresh(store, df, Settings(max_file_size_kb=1), 1).collect()} == {"unchanged"}
+
+
 def test_refresh(spark, tmp_path):
     store, settings = IndexStore(spark, f"file://{tmp_path}/s"), Settings(ignored_folders=("skip",))
     status = lambda df: {r.path: r.status for r in df.collect()}
