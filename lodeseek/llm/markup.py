@@ -66,7 +66,7 @@ _CODE = re.compile(
     _BOTH,
 )
 _MATH_ENV = re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(.*?)\\end\{\1\}", re.S)
-_MATH = re.compile(r"\$\$(?!\$)([^$]+)\$\$|\\\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*?)\\\]|\\\(((?:[^\\\n]|\\[^()])*)\\\)|(?<![\w\\$])\$(?![\s$])([^$\n]{0,400}?[^\s\\$])\$(?![\w$])", re.S)
+_MATH = re.compile(r"\$\$(?!\$)([^$]+)\$\$|\\\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*?)\\\]|\\\(((?:[^\\\n]|\\[^()])*)\\\)|(?<![\w\\$])\$(?![\s$])([^$\n]*?[^\s\\$])\$(?![\w$])", re.S)
 _MATHEMATICAL = re.compile(r"[\\^_=<>+{}]|^[A-Za-z](?:\([A-Za-z]\)|'{1,2})?$|^[A-Za-z] ?[-*/] ?[A-Za-z0-9]$")
 _FRONT = re.compile(r"\A\s*---[ \t]*\n(?:.*\n)*?(?:---|\.\.\.)[ \t]*(?:\n|\Z)")
 _FRONT_KEY = re.compile(r"^[\w -]+:", re.M)
@@ -99,7 +99,7 @@ _ENV = re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\[\]\n]*\])?")
 _COMMAND = re.compile(r"(?<![\w:\\])\\([A-Za-z]+)\*?(?:\[[^\[\]\n]*\])?\{")
 _BARE = re.compile(r"(?<![\w:\\/])\\([A-Za-z]{2,})\b(?![\\/{])")
 _SECTION = re.compile(r"\\((?:sub)*section|chapter|part|(?:sub)?paragraph)\*?\{([^{}]*)\}")
-_WITH_ARGUMENT = re.compile(r"~?\\([A-Za-z]+)\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}")
+_BRACE = re.compile(r"~?\\([A-Za-z]+)\*?(?:\[[^\[\]\n]*\])?\{|[{}]")
 _SILENT = {"cite", "citep", "citet", "ref", "eqref", "label", "includegraphics", "usepackage", "documentclass", "pageref", "input", "bibliography"}
 
 
@@ -353,6 +353,30 @@ def _wiki(text: str, kinds: set[str]) -> str:
     return sub(_WIKI_QUOTE, mark(lambda m: m[2]), text) if "''" in text else text
 
 
+def _arguments(text: str) -> str:
+    """``text`` with every command and its argument replaced by the argument, to any depth; a silent one by nothing.
+
+    A command whose argument holds a brace of its own is left as it is.
+    """
+    out: list[str] = []
+    opened: list[list] = []  # command or None, where its opener is in ``out``, whether its argument is free of braces
+    at = 0
+    for m in _BRACE.finditer(text):
+        out += [text[at : m.start()], text[m.start() : m.end()]]
+        at = m.end()
+        if m[0] != "}":
+            opened.append([m[1], len(out) - 1, True])
+        elif opened:
+            command, start, free = opened.pop()
+            if command and free:
+                out[start] = out[-1] = ""
+                if command in _SILENT:
+                    del out[start:]
+            elif opened:
+                opened[-1][2] = False
+    return join("", [*out, text[at:]])
+
+
 def _latex(text: str, kinds: set[str]) -> str:
     if "\\" not in text:
         return text
@@ -362,11 +386,9 @@ def _latex(text: str, kinds: set[str]) -> str:
         return text
     text = sub(_SECTION, lambda m: "\n" + HEAD * (1 + m[1].count("sub")) + " " + m[2].strip() + "\n", text)
     text = sub(_ENV, lambda m: "\n", text)
-    for _ in range(8):  # arguments inside arguments
-        before = text
-        text = sub(_WITH_ARGUMENT, lambda m: "" if m[1] in _SILENT else m[2], text)
-        if text == before:
-            break
+    before = ""
+    while text != before:  # again only where an optional argument held a command
+        before, text = text, _arguments(text)
     text = sub(_ITEM_COMMAND, lambda m: ITEM + " ", text)
     return sub(_ESCAPED, lambda m: m[1], sub(_BARE, lambda m: "", text))
 

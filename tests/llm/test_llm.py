@@ -135,6 +135,13 @@ def test_short_and_sign_lines_stay(text, clean):
     assert "}" not in got.split("\n") if clean is None else got == clean
 
 
+def test_formulas_and_commands_of_any_size():
+    formula = "$" + " + ".join(f"a_{i}*b_{i}" for i in range(200)) + "$"
+    assert analyse(f"So {formula} holds") == (["latex"], f"So {formula} holds")
+    assert analyse("\\emph{" * 5000 + "x\\cite{k}" + "}" * 5000 + " y")[1] == "x y"
+    assert analyse("\\a[\\b[p]{q}]{z} \\emph{u {v} w} \\emph{t}")[1] == "z \\emph{u {v} w} t"
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (2, "# a", "k"), (None, "x" * 200_000 + " **y z**", "k")], "note_id bigint, content string, kinds string")
     got = {(r.note_id, tuple(r.kinds)) for r in clean_markup(df, ["note_id"]).collect()}
