@@ -109,6 +109,11 @@ def tag_sequences() -> Column:
     return F.transform(tags, lambda t: F.struct(F.array(t).alias("values"), F.lit(1).cast("bigint").alias("weight")))
 
 
+def tag_lists() -> Column:
+    """The tags of a record in their order as one sequence, in the form of ``tag_sequences``."""
+    return F.array(F.struct(F.transform(tag_sequences(), lambda s: s["values"][0]).alias("values"), F.lit(1).cast("bigint").alias("weight")))
+
+
 def marked_values(records: DataFrame, rare: int = 2, common: float = 0.3) -> DataFrame:
     """(field, value, total, records, mark) of every term and tag of the records.
 

@@ -10,7 +10,7 @@ from lodeseek.llm.lookalike import consistent, same_looking_pairs
 from lodeseek.llm.markup import clean_markup
 from lodeseek.llm.mixing import mix
 from lodeseek.llm.neighbours import VectorIndex
-from lodeseek.llm.ngrams import marked_values
+from lodeseek.llm.ngrams import marked_values, suffix_counts, tag_lists
 from lodeseek.llm.packing import pack, too_large
 from lodeseek.llm.quality import quality
 from lodeseek.llm.records import current_records
@@ -78,6 +78,10 @@ def p7_counts(spark, sf):
     return marked_values(current_records(table(spark, sf, "lexical_docs")))
 
 
+def p7_ngrams(spark, sf):
+    return suffix_counts(current_records(table(spark, sf, "lexical_docs")), tag_lists(), 3)
+
+
 def p8_found(spark, sf):
     return too_large(pack(_sizes(spark, sf), table(spark, sf, "pack_limits")))
 

@@ -209,6 +209,21 @@ def test_suffix_counts_against_brute_force(spark, sigma):
     assert len(got) == len(totals)
 
 
+def test_ngrams_of_tags_against_brute_force(spark):
+    totals, records = Counter(), defaultdict(set)
+    for i, r in enumerate(current_records(spark.read.parquet(f"{SF}/lexical_docs.parquet")).select("tags").collect()):
+        tags = [None if t is None else t.lower().removeprefix("#") for t in r.tags or []]
+        tags = [t for t in tags if t]
+        for at in range(len(tags)):
+            for n in range(1, min(3, len(tags) - at) + 1):
+                gram = tuple(tags[at : at + n])
+                totals[gram] += 1
+                records[gram].add(i)
+    got = llm.queries()["p7_ngrams"](spark, SF).collect()
+    assert {tuple(r.ngram): (r.total, r.records) for r in got} == {g: (n, len(records[g])) for g, n in totals.items()}
+    assert max(map(len, totals)) > 1
+
+
 def test_term_scores(spark):
     got = {(r.path, r.term): r for r in distinctive_terms(spark.createDataFrame(RECORDS, DOCS)).collect()}
     assert set(got) == {("a", "the"), ("a", "rare"), ("c", "the"), ("c", "rare"), ("d", "the")}
