@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +58,12 @@ class HttpProvider:
         return vectors
 
 
-def embedded(texts: DataFrame, provider: EmbeddingProvider, batch: int = 8, purpose: str = "document") -> DataFrame:
-    """(path, vector): unit vectors of (path, text), ``batch`` texts a call, on the executors."""
+def embedded(texts: DataFrame, provider: EmbeddingProvider, batch: int = 8, purpose: str = "document", progress: Accumulator | None = None) -> DataFrame:
+    """(path, vector): unit vectors of (path, text), ``batch`` texts a call, on the executors.
+
+    ``progress`` is an accumulator to which each call adds its number of texts. The
+    job is cancelled by its group, see ``lifecycle.superseding``.
+    """
     size = max(1, batch)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,17 +73,19 @@ def embedded(texts: DataFrame, provider: EmbeddingProvider, batch: int = 8, purp
                 vectors = provider.embed(part["text"].tolist(), purpose)
                 if len(vectors) != len(part):
                     raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                if progress is not None:
+                    progress.add(len(part))
                 yield pd.DataFrame({"path": part["path"], "vector": vectors})
 
     made = texts.select("path", "text").mapInPandas(run, "path string, vector array<double>").withColumn("vector", unit(F.col("vector")))
     return made.withColumn("vector", F.when(F.col("vector").isNotNull(), F.col("vector")).otherwise(F.raise_error(F.lit("a provider gave an unusable vector")).cast("array<double>")))
 
 
-def updated_cache(docs: DataFrame, cached: DataFrame, provider: EmbeddingProvider, batch: int = 8) -> DataFrame:
+def updated_cache(docs: DataFrame, cached: DataFrame, provider: EmbeddingProvider, batch: int = 8, progress: Accumulator | None = None) -> DataFrame:
     """The cache after embedding what is stale and dropping what is gone; a fresh row without a size gets the document's."""
     stale = stale_embeddings(docs, cached, provider.id)
     text = stale.select("path", embedding_text(F.col("basename"), F.col("tags"), F.col("content")).alias("text"))
-    made = embedded(text, provider, batch).join(docs.select("path", "mtime", "size"), "path").withColumn("provider_id", F.lit(provider.id))
+    made = embedded(text, provider, batch, progress=progress).join(docs.select("path", "mtime", "size"), "path").withColumn("provider_id", F.lit(provider.id))
     kept = live_embeddings(cached, docs).join(stale.select("path"), "path", "left_anti")
     kept = kept.join(docs.select("path", F.col("size").alias("_size")), "path").withColumn("size", F.coalesce("size", "_size")).drop("_size")
     columns = ["path", "provider_id", "mtime", "size", "vector"]
@@ -100,12 +107,14 @@ def query_scores(cache: DataFrame, query: list[float], provider: str) -> DataFra
 def pooled_chunks(chunks: DataFrame) -> DataFrame:
     """(path, vector): mean of each path's unit chunk vectors, at length 1; ``chunks`` has (path, vector).
 
-    Sums are kept per element and combined before the shuffle.
+    Sums are kept per element and combined before the shuffle. A chunk without a
+    usable vector, and a mean of length 0, are errors.
     """
-    parts = chunks.withColumn("vector", unit(F.col("vector"))).select("path", F.posexplode("vector").alias("i", "v"))
+    must = lambda v, why: F.coalesce(v, F.raise_error(F.lit(why)).cast("array<double>"))
+    parts = chunks.withColumn("vector", must(unit(F.col("vector")), "a chunk has no usable vector")).select("path", F.posexplode("vector").alias("i", "v"))
     sums = parts.groupBy("path", "i").agg(F.sum("v").alias("v"))
     whole = sums.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_v"))
-    return whole.select("path", unit(F.transform("_v", lambda x: x["v"])).alias("vector"))
+    return whole.select("path", must(unit(F.transform("_v", lambda x: x["v"])), "the chunks of a path cancel out").alias("vector"))
 
 
 def first_token_vectors(hidden: np.ndarray, width: int) -> np.ndarray:

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.operators.ranks import competition_rank
+
 
 def rank_metrics(ranking: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, precision, recall, reciprocal_rank, hits, relevant) per judged query.
@@ -47,9 +49,27 @@ def floor_rank(sorted_values: Column, fraction: float) -> Column:
     return F.get(sorted_values, at.cast("int"))
 
 
-def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, extremes, mean, median and 95th percentile (nearest rank) of ``value`` per group."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), nearest_rank(value, 0.5).alias("median"), nearest_rank(value, 0.95).alias("p95"))
+def summary(df: DataFrame, by: list[str], value: str, rule: str = "nearest") -> DataFrame:
+    """Count, extremes, mean, median and 95th percentile of ``value`` per group.
+
+    ``rule`` is 'nearest' (nearest rank) or 'floor' (the value at index
+    floor(n * fraction), as for the timings of a session). Both are exact and
+    count equal values together, so a group is never sorted as one array.
+    """
+    stats = [F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean")]
+    if rule == "nearest":
+        return df.groupBy(*by).agg(*stats, nearest_rank(value, 0.5).alias("median"), nearest_rank(value, 0.95).alias("p95"))
+    rows = df.groupBy(*by).agg(*stats)
+    ranked = competition_rank(df.filter(F.col(value).isNotNull()).select(*by, value), by, value, "_above").groupBy(*by, value).agg(F.max("_above").alias("_above"), F.count(F.lit(1)).alias("_same"))
+    keys = [rows[c].eqNullSafe(ranked[c]) for c in by]
+    both = rows.join(ranked.select(*[F.col(c) for c in by], F.col(value).alias("_x"), "_above", "_same"), keys, "left").select(*[rows[c] for c in by], "n", "least", "most", "mean", "_x", "_above", "_same")
+    first = F.col("n") - F.col("_above") - F.col("_same") + 1  # index of the value's first copy in ascending order
+
+    def at(fraction: float) -> Column:
+        index = F.least(F.floor(F.col("n") * fraction), F.col("n") - 1)
+        return F.max(F.when((first <= index) & (index < first + F.col("_same")), F.col("_x")))
+
+    return both.groupBy(*by, "n", "least", "most", "mean").agg(at(0.5).alias("median"), at(0.95).alias("p95"))
 
 
 def digest(value) -> str:

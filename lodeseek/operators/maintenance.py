@@ -11,6 +11,7 @@ from lodeseek.operators.index import capped_content, ignored, indexed, stored_fo
 from lodeseek.operators.reconcile import reconcile
 from lodeseek.operators.wordpiece import WordPiece, token_ids, windows
 from lodeseek.plans.query import Query, tokenize
+from lodeseek.runtime import materialize
 from lodeseek.sources.store import IndexStore, Settings
 
 
@@ -36,8 +37,7 @@ def refresh(store: IndexStore, notes: DataFrame, settings: Settings, seq: int) -
         changed = current.join(plan.filter("status IN ('new', 'changed')").select("path"), "path", "left_semi")
         kept = cached.join(plan.filter("status = 'unchanged'").select("path"), "path", "left_semi")
         state = kept.select("path", "basename", "extension", "tags", "ctime", "mtime", "size", "term_frequency", "token_count").unionByName(stored_form(indexed(changed)))
-    plan = plan.persist()
-    plan.count()
+    plan = materialize(plan, "plan")  # taken before the snapshot it was made from is replaced
     store.compact(state, settings.signature(), seq)
     return plan
 
@@ -64,10 +64,11 @@ def with_bodies(docs: DataFrame, bodies: DataFrame, paths: DataFrame) -> DataFra
     return docs.join(wanted, "path", "left").withColumn("norm_content", F.coalesce("_body", "norm_content")).drop("_body")
 
 
-def chunked_embeddings(docs: DataFrame, model: WordPiece, provider: EmbeddingProvider, most_chunks: int = 12, batch: int = 8) -> DataFrame:
+def chunked_embeddings(docs: DataFrame, model: WordPiece, provider: EmbeddingProvider, most_chunks: int | None = 12, batch: int = 8) -> DataFrame:
     """(path, vector): documents cut into windows of the model's length, each embedded, pooled per document.
 
     Windows are rows of their own, so one long document does not hold up a task.
+    The first ``most_chunks`` windows are embedded, with None all of them.
     The provider gets the ids of a window as text, separated by blanks.
     """
     texts = docs.select("path", embedding_text(F.col("basename"), F.col("tags"), F.col("content")).alias("text"))

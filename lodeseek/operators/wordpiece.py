@@ -83,9 +83,9 @@ def token_ids(df: DataFrame, model: WordPiece, text: str, out: str = "ids") -> D
     return df.withColumn(out, run(text))
 
 
-def windows(ids: Column, width: int, first: int, last: int, most: int) -> Column:
-    """array<array<bigint>>: windows of ``width`` ids side by side, at most ``most``, each between ``first`` and ``last``; one empty window without ids."""
-    starts = F.when(F.size(ids) > 0, F.slice(F.sequence(F.lit(1), F.size(ids), F.lit(width)), 1, most)).otherwise(F.array(F.lit(1)))
+def windows(ids: Column, width: int, first: int, last: int, most: int | None) -> Column:
+    """array<array<bigint>>: windows of ``width`` ids side by side, at most ``most`` (all with None), each between ``first`` and ``last``; one empty window without ids."""
+    starts = F.when(F.size(ids) > 0, F.slice(F.sequence(F.lit(1), F.size(ids), F.lit(width)), 1, most or 2**31 - 1)).otherwise(F.array(F.lit(1)))
     return F.transform(starts, lambda at: F.concat(F.array(F.lit(first).cast("bigint")), F.slice(ids, at, width), F.array(F.lit(last).cast("bigint"))))
 
 

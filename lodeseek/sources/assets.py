@@ -8,6 +8,8 @@ import os
 import re
 import shutil
 import tempfile
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +17,14 @@ MOST_FILE, MOST_TOTAL = 256 * 10**6, 512 * 10**6
 _MARKER = "installed.json"
 
 
+# Characters of a cache key, which starts with one of the first 36.
+_KEY = "abcdefghijklmnopqrstuvwxyz0123456789._-"
+
+
+def _plain(key: str) -> bool:
+    return bool(key) and key[0] in _KEY[:36] and set(key) <= set(_KEY)
+
+
 @dataclass(frozen=True)
 class Asset:
     path: str
@@ -38,7 +48,7 @@ class Manifest:
         out = []
         if not re.fullmatch(r"[0-9a-f]{40}", self.revision):
             out.append("the revision is no 40-digit hash")
-        if not re.fullmatch(r"[a-z0-9][a-z0-9._-]*", self.cache_key):
+        if not _plain(self.cache_key):
             out.append("the cache key is no plain name")
         if len({a.path for a in self.assets}) < len(self.assets) or not self.assets:
             out.append("paths are missing or repeated")
@@ -62,6 +72,7 @@ class AssetStore:
 
     def __init__(self, root: str):
         self.root = root
+        self._locks: dict[str, threading.Lock] = {}
 
     def folder(self, m: Manifest) -> str:
         return os.path.join(self.root, m.cache_key)
@@ -88,9 +99,14 @@ class AssetStore:
         """Fetch everything into a staging folder, check it, and rename it into place; nothing stays after a failure."""
         if m.problems():
             raise ValueError("; ".join(m.problems()))
+        with self._locks.setdefault(m.cache_key, threading.Lock()):  # calls at the same time share one install
+            return self._install(m, fetch)
+
+    def _install(self, m: Manifest, fetch: Callable[[Asset], bytes]) -> str:
         if self.status(m, True) == "ready":
             return self.folder(m)
         os.makedirs(self.root, exist_ok=True)
+        self.sweep()
         staging = tempfile.mkdtemp(prefix=".staging-", dir=self.root)
         try:
             for a in m.assets:
@@ -102,12 +118,31 @@ class AssetStore:
                     f.write(data)
             with open(os.path.join(staging, _MARKER), "w") as f:
                 json.dump({"revision": m.revision}, f)
-            shutil.rmtree(self.folder(m), ignore_errors=True)
-            os.rename(staging, self.folder(m))
+            old = staging + "-old"
+            if os.path.isdir(self.folder(m)):  # set aside, so that it comes back if the new one cannot take its place
+                os.rename(self.folder(m), old)
+            try:
+                os.rename(staging, self.folder(m))
+            except OSError:
+                if os.path.isdir(old):
+                    os.rename(old, self.folder(m))
+                raise
+            shutil.rmtree(old, ignore_errors=True)
         finally:
             shutil.rmtree(staging, ignore_errors=True)
         return self.folder(m)
 
+    def sweep(self, older_s: float = 3600.0) -> None:
+        """Delete staging folders that dead installs have left."""
+        for name in os.listdir(self.root) if os.path.isdir(self.root) else []:
+            path = os.path.join(self.root, name)
+            if name.startswith(".staging-") and time.time() - os.path.getmtime(path) > older_s:
+                shutil.rmtree(path, ignore_errors=True)
+
+    def size(self, m: Manifest) -> int:
+        """Bytes of all files in an installed folder, at any depth."""
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(self.folder(m)) for f in files)
+
     def read(self, m: Manifest, path: str) -> bytes:
         """An installed file's bytes, if they are those of the manifest."""
         asset = next(a for a in m.assets if a.path == path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.operators.index import NOTE, valid_stored
 from lodeseek.operators.reconcile import replay
+from lodeseek.storage import Folder
 
 VERSION = 1
 COMPACT_OPS, COMPACT_IDLE_S = 500, 30
@@ -48,17 +49,17 @@ class IndexStore:
     A snapshot is a folder that is renamed into place when it is whole; it names the
     last operation it holds. Readers take the newest snapshot whose version and settings fit,
     and the operations after it. Log lines are JSON; a damaged one is skipped wherever it stands.
+    Each append is a segment named by its last operation; a segment that every kept
+    snapshot holds already is dropped when a new snapshot is published.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/log"))
+        self.spark, self.folder = spark, Folder(spark, root)
+        self.root = self.folder.root
+        self.segments = Folder(spark, f"{self.root}/log")
 
     def _snapshots(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("snapshot="))
+        return self.folder.numbers("snapshot")
 
     def _meta(self, number: int) -> dict | None:
         try:
@@ -68,15 +69,25 @@ class IndexStore:
 
     def log(self) -> DataFrame:
         """Valid operations of the log."""
-        raw = self.spark.read.schema("value string").text(f"{self.root}/log")
+        raw = self.spark.read.schema("value string").option("recursiveFileLookup", "true").text(f"{self.root}/log")
         ops = raw.select(F.from_json("value", LOG, {"mode": "PERMISSIVE"}).alias("o")).select("o.*")
         documents = ops.filter("op = 'upsert'").select("seq", "op", "document.*")
         removals = ops.filter("op = 'remove' AND path IS NOT NULL AND seq IS NOT NULL").select("seq", "op", "path", *[F.lit(None).alias(c) for c in PAYLOAD])
         return valid_stored(documents).filter("seq IS NOT NULL").unionByName(removals)
 
     def append(self, operations: DataFrame) -> None:
-        """Add operations (seq, op, path, document) to the log; seq must grow."""
-        operations.select(F.to_json(F.struct("seq", "op", "path", "document"))).write.mode("append").text(f"{self.root}/log")
+        """Add operations (seq, op, path, document) to the log as one segment; seq must grow."""
+        staging = self.segments.staging()
+        operations.select(F.to_json(F.struct("seq", "op", "path", "document"))).write.text(self.segments.at(staging))
+        lines = self.spark.read.schema("value string").text(self.segments.at(staging))
+        last = lines.agg(F.max(F.get_json_object("value", "$.seq").cast("bigint"))).first()[0]
+        if last is None:
+            self.segments.delete(staging)
+        else:
+            self.segments.publish(staging, f"upto={last}-{uuid.uuid4().hex}")
+
+    def _upto(self) -> dict[str, int]:
+        return {n: int(n.split("=")[1].split("-")[0]) for n in self.segments.names() if n.startswith("upto=")}
 
     def load(self, signature: str) -> DataFrame | None:
         """The stored documents after replay, or None when no snapshot fits the version and settings."""
@@ -93,14 +104,29 @@ class IndexStore:
         return self.log().filter(F.col("seq") > (meta["seq"] if meta else -1)).count()
 
     def compact(self, documents: DataFrame, signature: str, seq: int) -> int:
-        """Publish ``documents``, the state after operation ``seq``, as a new snapshot, then drop older ones."""
+        """Publish ``documents``, the state after operation ``seq``, as a new snapshot, then drop older ones and their log.
+
+        The last but one snapshot stays for readers that have begun, and with it the operations after it.
+        """
+        self.folder.sweep()
         number = max(self._snapshots(), default=0) + 1
-        staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
-        documents.select("path", *PAYLOAD).write.parquet(f"{staging}/documents")
+        staging = self.folder.staging()
+        documents.select("path", *PAYLOAD).write.parquet(self.folder.at(f"{staging}/documents"))
         meta = json.dumps({"version": VERSION, "settingsSignature": signature, "seq": seq, "at": int(time.time() * 1000)})
-        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{staging}/meta")
-        if not self._fs.rename(self._path(staging), self._path(f"{self.root}/snapshot={number}")):
-            raise RuntimeError(f"snapshot {number} exists already")
-        for old in self._snapshots()[:-2]:  # the last but one stays for readers that have begun
-            self._fs.delete(self._path(f"{self.root}/snapshot={old}"), True)
+        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(self.folder.at(f"{staging}/meta"))
+        self.folder.publish(staging, f"snapshot={number}")
+        for old in self._snapshots()[:-2]:
+            self.folder.delete(f"snapshot={old}")
+        held = min((m["seq"] if (m := self._meta(n)) else -1) for n in self._snapshots())
+        for name, last in self._upto().items():
+            if last <= held:
+                self.segments.delete(name)
         return number
+
+    def maintain(self, signature: str, idle_s: float = 0.0, first_build: bool = False, changed: int = 0) -> int | None:
+        """Compact if the policy says so; returns the new snapshot's number."""
+        if not should_compact(self.operations(), idle_s, first_build, changed):
+            return None
+        last = max(self._upto().values(), default=-1)  # operations appended from here on stay in the log
+        state = self.load(signature)
+        return None if state is None else self.compact(state, signature, last)

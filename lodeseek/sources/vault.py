@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _front(text: Column) -> Column:
+    """The lines between a first line ``---`` and the next one; empty without them."""
+    starts = F.startswith(text, F.lit("---\n"))
+    end = F.when(starts, F.position(F.lit("\n---"), text, F.lit(4))).otherwise(0)
+    return F.when(end > 0, F.substring(text, F.lit(5), end - 4)).otherwise(F.lit(""))
+
+
+def listed_tags(front: Column) -> Column:
+    """Tags of front matter: ``tags: [a, b]``, ``tags: a, b`` or a block list of ``- a`` lines."""
+    inline = F.split(F.regexp_replace(F.regexp_extract(front, r"(?m)^tags:[ \t]*(\S.*)$", 1), r"[\[\]]", ""), ",")
+    block = F.regexp_extract_all(F.regexp_extract(front, r"(?m)^tags:[ \t]*\n((?:[ \t]*-[ \t]+.*(?:\n|$))+)", 1), F.lit(r"(?m)^[ \t]*-[ \t]+(.*)$"), F.lit(1))
+    return F.filter(F.transform(F.concat(inline, block), lambda t: F.regexp_replace(F.trim(t), "^[\"']|[\"']$", "")), lambda t: t != "")
+
+
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
     """Notes of all Markdown files under ``root``.
 
@@ -15,10 +29,12 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = root.removeprefix("file://").rstrip("/") + "/"
     text = F.decode("content", "UTF-8")
-    relative = F.element_at(F.split(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), base, 2), -1)
-    front = F.regexp_extract(text, r"^---\n(?s)(.*?)\n---", 1)
-    listed = F.filter(F.transform(F.split(F.regexp_extract(front, r"(?m)^tags:\s*\[([^\]]*)\]", 1), ","), lambda t: F.trim(t)), lambda t: t != "")
-    inline = F.regexp_extract_all(F.regexp_replace(text, r"^---\n(?s).*?\n---", ""), F.lit(r"(?:^|\s)#([\p{L}\p{N}_/-]*[\p{L}_][\p{L}\p{N}_/-]*)"), F.lit(1))
+    whole = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    relative = F.substring(whole, F.position(F.lit(base), whole) + len(base), F.char_length(whole))
+    front = _front(text)
+    listed = listed_tags(front)
+    own = F.when(front != "", F.substring(text, F.char_length(front) + 9, F.char_length(text))).otherwise(text)
+    inline = F.regexp_extract_all(own, F.lit(r"(?:^|\s)#([\p{L}\p{N}_/-]*[\p{L}_][\p{L}\p{N}_/-]*)"), F.lit(1))
     millis = F.unix_millis("modificationTime")
     return files.select(
         relative.alias("path"), F.regexp_extract(relative, r"([^/]*)\.md$", 1).alias("basename"), F.lit("md").alias("extension"), text.alias("content"),

@@ -45,11 +45,19 @@ def log_batch(store: IndexStore, events: DataFrame) -> None:
         last.unpersist()
 
 
-def follow(store: IndexStore, changes: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep ``store``'s log up with the stream.
+def follow(store: IndexStore, changes: DataFrame, checkpoint: str, once: bool = False, signature: str | None = None) -> StreamingQuery:
+    """Keep ``store``'s log up with the stream; with the settings' ``signature`` the log is compacted as the policy says.
+
+    A trigger collects the changes of 250 ms, of which the newest per path counts.
 
     A batch that is run again after a failure appends operations with the same
     numbers and contents, and replay takes one of them, so the state is the same.
     """
-    writer = changes.writeStream.foreachBatch(lambda batch, _: log_batch(store, batch)).option("checkpointLocation", checkpoint)
+
+    def batch(events: DataFrame, _: int) -> None:
+        log_batch(store, events)
+        if signature is not None:
+            store.maintain(signature)
+
+    writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="250 milliseconds")).start()
