@@ -10,7 +10,6 @@ published and does nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeseek.runtime import fresh_dir, materialize
+from lodeseek.storage import Folder
 
 
 class VersionedTarget:
@@ -30,22 +30,17 @@ class VersionedTarget:
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], version: list[str], compact_every: int = 16):
-        self.spark, self.root, self.key, self.version, self.compact_every = spark, root.rstrip("/"), key, version, compact_every
+        self.spark, self.key, self.version, self.compact_every = spark, key, version, compact_every
         self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields] + [T.StructField("run_id", T.LongType()), T.StructField("seq", T.LongType())])
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-
-    def _numbers(self, kind: str) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith(kind + "="))
+        self.folder = Folder(spark, root)
+        self.root = self.folder.root
 
     def versions(self) -> list[int]:
-        return self._numbers("change")
+        return self.folder.numbers("change")
 
     def published(self, run_id: int) -> bool:
         """Whether a version of this run exists (a marker in the version's folder names its run)."""
-        return any(self._fs.exists(self._path(f"{self.root}/change={n}/_RUN-{run_id}")) for n in self.versions())
+        return bool(self.folder.matching(f"change=*/_RUN-{run_id}"))
 
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
@@ -58,43 +53,51 @@ class VersionedTarget:
 
     def current(self) -> DataFrame:
         """The newest published row per key."""
-        base = max(self._numbers("base"), default=0)
+        base = max(self.folder.numbers("base"), default=0)
         paths = [f"{self.root}/base={base}"] * (base > 0) + [f"{self.root}/change={n}" for n in self.versions() if n > base]
         rest = [c for c in self.schema.names if c not in self.key]
         return self._read(paths).groupBy(*self.key).agg(F.max_by(F.struct(*rest), "seq").alias("_s")).select(*self.key, *[F.col(f"_s.{c}") for c in rest])
 
     def pending(self, source: DataFrame) -> DataFrame:
-        """Source rows whose key is new or whose version differs from the target's."""
+        """Source rows whose key is new or whose version differs from the target's.
+
+        The anti-join hashes the key alone, as the target's newest rows are
+        spread by it already; versions are compared in the join.
+        """
         whole = F.lit(True)
         for c in [*self.key, *self.version]:
             whole = whole & F.col(c).isNotNull()
-        return source.filter(whole).join(self.current().select(*self.key, *self.version), [*self.key, *self.version], "left_anti")
+        known = self.current().select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(self.key)], F.struct(*self.version).alias("_v"))
+        same = F.lit(True)
+        for i, c in enumerate(self.key):
+            same = same & (F.col(c) == F.col(f"_k{i}"))
+        own = F.struct(*self.version)
+        return source.filter(whole).join(known, same & (own <= F.col("_v")) & (own >= F.col("_v")), "left_anti")
 
     def run(self, source: DataFrame, run_id: int, process: Callable[[DataFrame], DataFrame] | None = None) -> int | None:
         """Process what is pending in ``source`` (one row per key) and publish it.
 
         Returns the version's number, or None when the run is published already.
+        Of two runs that start from the same version one publishes; the other
+        raises ``Taken`` and has to start again, as its anti-join did not see the first.
         """
         if self.published(run_id):
             return None
+        self.folder.sweep()
         seq = max(self.versions(), default=0) + 1
-        staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
+        staging = self.folder.staging()
         rows = self.pending(source)
         rows = process(rows) if process else rows
         rows = rows.withColumns({"run_id": F.lit(run_id).cast("bigint"), "seq": F.lit(seq).cast("bigint")}).select(*self.schema.names)
-        rows.write.parquet(staging)
-        self._fs.create(self._path(f"{staging}/_RUN-{run_id}"), False).close()
-        self._publish(staging, f"{self.root}/change={seq}")
+        rows.write.parquet(self.folder.at(staging))
+        self.folder.touch(f"{staging}/_RUN-{run_id}")
+        self.folder.publish(staging, f"change={seq}")
         if seq % self.compact_every == 0:
-            staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
-            self.current().select(*self.schema.names).write.parquet(staging)
-            self._publish(staging, f"{self.root}/base={seq}")
+            staging = self.folder.staging()
+            self.current().select(*self.schema.names).write.parquet(self.folder.at(staging))
+            self.folder.publish(staging, f"base={seq}")
         return seq
 
-    def _publish(self, staging: str, final: str) -> None:
-        if self._fs.exists(self._path(final)) or not self._fs.rename(self._path(staging), self._path(final)):
-            raise RuntimeError(f"{final} exists already: another run has published it")
-
 
 def newest_per_slice(rows: DataFrame, bounds: list, key: str, version: list[str], order: list[str]) -> DataFrame:
     """The last row per key of each slice of time between two runs.

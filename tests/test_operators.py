@@ -85,7 +85,7 @@ def test_incremental_runs_survive_failures(spark):
     assert again.run(source(("a", 2, 1), ("b", 1, 1), ("c", 1, 1)), 4) == 3
     assert sorted((x.run_id, x.path) for x in again.changes().collect()) == [(1, "a"), (1, "b"), (3, "a"), (3, "c")]
     assert sorted((x.path, x.mtime) for x in again.current().collect()) == [("a", 2), ("b", 1), ("c", 1)]
-    assert again._numbers("base") == [2]
+    assert again.folder.numbers("base") == [2]
 
 
 def test_two_runs_cannot_publish_one_version(spark):
