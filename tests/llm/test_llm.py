@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.llm import queries as llm
-from lodeseek.llm.elite import distinctive_terms, fit_two_poisson, typical_terms
+from lodeseek.llm.elite import ROUNDS, distinctive_terms, fit_two_poisson, typical_terms
 from lodeseek.llm.fusion import best_by_every_score, fuse_ranks
 from lodeseek.llm.lookalike import consistent, mapping, same_looking_pairs
 from lodeseek.llm.markup import Folded, analyse, clean_markup, fold, line_blocks, unfold
@@ -238,11 +238,37 @@ def test_two_poisson_recovers_a_mixture():
     rng = np.random.default_rng(1)
     counts = np.bincount(np.where(rng.random(50_000) < 0.2, rng.poisson(6.0, 50_000), rng.poisson(0.4, 50_000)))
     x = np.arange(1, len(counts))
-    share, low, high, p = fit_two_poisson(np.zeros(len(x), int), x.astype(float), counts[1:].astype(float), np.array([float(counts[0])]), 200)
+    share, low, high, p, ended, two = fit_two_poisson(np.zeros(len(x), int), x.astype(float), counts[1:].astype(float), np.array([float(counts[0])]))
+    assert ended[0] and two[0]
     assert share[0] == pytest.approx(0.2, abs=0.01) and low[0] == pytest.approx(0.4, abs=0.03) and high[0] == pytest.approx(6, abs=0.1)
     assert p[0] < 0.1 and p[6] > 0.95 and (np.diff(p) >= -1e-12).all()
 
 
+def test_two_poisson_has_ended():
+    rng = np.random.default_rng(7)
+    seg, x, n, zeros = [], [], [], []
+    for term in range(300):
+        records, rate = 5000, 10 ** rng.uniform(-3.5, 0.7)
+        counts = np.bincount(np.where(rng.random(records) < rng.uniform(0, 0.6), rng.poisson(rate * rng.uniform(1, 9), records), rng.poisson(rate, records)), minlength=2)
+        if counts[1:].any():
+            at = np.flatnonzero(counts[1:]) + 1
+            seg += [len(zeros)] * len(at)
+            x, n = x + at.tolist(), n + counts[at].tolist()
+            zeros.append(counts[0])
+    args = np.array(seg), np.array(x, float), np.array(n, float), np.array(zeros, float)
+    once, twice = fit_two_poisson(*args), fit_two_poisson(*args, 2 * ROUNDS)
+    told = once[4] | once[5]
+    assert told.mean() > 0.95 and abs(once[3] - twice[3])[told[args[0]]].max() <= 0.01
+    assert not (once[5] & ~once[4]).any()  # only where one component does as well can the fit be left open
+
+
+def test_a_term_found_everywhere_scores_low_by_the_mixture(spark):
+    scored = distinctive_terms(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/lexical_docs.parquet"))
+    got = scored.groupBy((F.col("df") > 0.3 * F.col("records")).alias("common"), F.col("df").between(2, 10).alias("rare")).agg(F.max("score").alias("most"), F.median("score").alias("half")).collect()
+    common, rare = next(r for r in got if r.common), next(r for r in got if r.rare)
+    assert common.most < rare.half
+
+
 # ---------------------------------------------------------------- neighbours
 
 VECTORS = "vec_id bigint, path string, provider_id string, mtime bigint, size bigint, vector array<double>"
@@ -411,7 +437,7 @@ def test_statistics_are_of_the_whole_text(spark):
     texts = {1: "The first line of wrapped prose ends\nonly here, and it is long.", 2: "Only words 7\n*** ***", 3: "Head\n\nThe body of it.", 4: None}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     got = {r.doc_id: r for r in quality(df, spark.createDataFrame([], "doc_id bigint, label string"), common).collect()}
-    assert {i: r.words for i, r in got.items()} == {1: 13, 2: 2, 3: 5, 4: 0}
+    assert {i: r.words for i, r in got.items()} == {1: 13, 2: 3, 3: 5, 4: 0}
     listed = {"en": frozenset(("the", "and", "of", "it"))}
     for i, r in got.items():
         assert [r[n] for n in STATISTICS] == pytest.approx(measure(texts[i], listed)[2])
