@@ -414,7 +414,7 @@ def test_mixing(spark, monkeypatch):
 
 
 def test_quality_on_labels(spark):
-    sf = SF.replace("0.001", "0.01")
+    sf = SF.replace("0.001", "0.1")  # kinds are told by their labelled documents, of which smaller tables have a handful
     d = spark.read.parquet(f"{sf}/documents.parquet")
     labels, common = spark.read.parquet(f"{sf}/quality_labels.parquet"), spark.read.parquet(f"{sf}/common_words.parquet")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n "), (-4, "x " * 60_000), (-5, "a\n\n- b")], "doc_id bigint, text string")
