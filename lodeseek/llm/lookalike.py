@@ -6,13 +6,14 @@ letters), their combining marks are put into canonical order, recomposed, and
 the strings are rebuilt. Rows are partitioned by text before they are exploded,
 so code points never cross the network.
 
-The mapping is made by rule from the Unicode database of Python; it has fewer
-rows than Unicode has code points, which bounds the broadcast.
+The mapping is made by rule from Unicode's data: decompositions from Python's
+database, letters of the same shape from the confusables that come with Spark's
+collation library. It has fewer rows than Unicode has code points, which bounds the broadcast.
 
 Folded: canonical decompositions, full-width and half-width forms, blanks of
 any width, ligatures and other signs that stand for several letters, invisible
-format characters, variation selectors, CR and CR LF line ends, and letters of
-other scripts with the shape of a Latin letter. Kept apart, as a reader sees
+format characters, variation selectors, CR and CR LF line ends, Roman numerals, and
+letters of any script with the shape of a Latin letter of their case. Kept apart, as a reader sees
 them: case, accents, punctuation, raised and lowered digits, styled letters.
 """
 
@@ -25,25 +26,49 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeseek.runtime import materialize
+from lodeseek.operators.skew import hot_keys, salted_join
+from lodeseek.runtime import materialize, shuffle_partitions
 
-SALT = 16
+# Letters of the same shape as a Latin one that the rule below does not give, or gives otherwise.
+LOOKALIKES = "ҺH ԚQ ӏl"
 
-# Letters of other scripts and the Latin letter of the same shape.
-LOOKALIKES = (
-    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ѴV ҮY ҺH ԌG ԚQ ԜW "
-    "аa еe ѕs іi јj оo рp сc уy хx ѵv һh ԁd ԛq ԝw ӏl "
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX "
-    "νv οo"
-)
+Alike = tuple[tuple[int, int], ...]
+
+
+@lru_cache(maxsize=1)
+def _from_unicode(skeletons) -> Alike:
+    """Cased letters without a decomposition that share the skeleton of exactly one Latin letter of their case.
+
+    Skeletons are those of Unicode's confusables, asked for all letters in one text.
+    """
+    latin = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
+    letters = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) in ("Lu", "Ll") and not unicodedata.decomposition(c)]
+    shapes = skeletons("\n".join(latin + letters)).split("\n")
+    by_shape: dict[tuple, list[str]] = {}
+    for c, shape in zip(latin, shapes):
+        by_shape.setdefault((shape, c.isupper()), []).append(c)
+    found = {c: same[0] for c, shape in zip(letters, shapes[len(latin) :]) if len(same := by_shape.get((shape, c.isupper()), [])) == 1}
+    found.update(LOOKALIKES.split())
+    return tuple(sorted((ord(a), ord(b)) for a, b in found.items()))
 
-_L, _V, _T = range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)
+
+def lookalikes(spark: SparkSession) -> Alike:
+    """(letter, Latin letter of the same shape), from the confusables data that comes with Spark's collation library."""
+    return _from_unicode(_skeletons(spark))
 
 
 @lru_cache(maxsize=1)
-def mapping() -> dict[int, tuple[int, ...]]:
-    """Code point -> the code points it becomes, for every code point that changes."""
-    alike = {ord(pair[0]): ord(pair[1]) for pair in LOOKALIKES.split()}
+def _skeletons(spark: SparkSession):
+    return spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton
+
+
+_L, _V, _T = range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)
+
+
+@lru_cache(maxsize=2)
+def mapping(alike: Alike = ()) -> dict[int, tuple[int, ...]]:
+    """Code point -> the code points it becomes, for every code point that changes; ``alike`` adds letters of the same shape."""
+    shapes = dict(alike)
     tagged = {"<wide>", "<narrow>", "<noBreak>"}
     raw: dict[int, tuple[int, ...]] = {}
     for cp in range(sys.maxunicode + 1):
@@ -55,13 +80,14 @@ def mapping() -> dict[int, tuple[int, ...]]:
             raw[cp] = ()
         elif category == "Zs":
             raw[cp] = (0x20,)
-        elif cp in alike:
-            raw[cp] = (alike[cp],)
+        elif cp in shapes:
+            raw[cp] = (shapes[cp],)
         elif parts := unicodedata.decomposition(ch).split():
             tag = parts.pop(0) if parts[0][0] == "<" else ""
             to = tuple(int(x, 16) for x in parts)
             letters = tag == "<compat>" and len(to) > 1 and all(unicodedata.category(chr(x))[0] == "L" for x in to)
-            if not tag or tag in tagged or letters or (tag == "<compat>" and 0x2F00 <= cp <= 0x2FDF):
+            single = tag == "<compat>" and len(to) == 1 and (category in ("Nl", "Lo") or cp == 0xB5)  # Roman numerals, letters used as signs
+            if not tag or tag in tagged or letters or single or (tag == "<compat>" and 0x2F00 <= cp <= 0x2FDF):
                 raw[cp] = to
         elif 0xAC00 <= cp <= 0xD7A3:
             raw[cp] = tuple(map(ord, unicodedata.normalize("NFD", ch)))
@@ -73,24 +99,25 @@ def mapping() -> dict[int, tuple[int, ...]]:
 
 
 @lru_cache(maxsize=1)
-def compositions() -> dict[str, str]:
-    """Starter and mark -> their composite, without the ones Unicode excludes."""
-    pairs = {}
+def compositions() -> dict[str, tuple[str, str]]:
+    """Mark -> (starters it composes with, their composites), without the ones Unicode excludes."""
+    pairs: dict[str, tuple[str, str]] = {}
     for cp in range(sys.maxunicode + 1):
         parts = unicodedata.decomposition(chr(cp)).split()
         if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", chr(cp)) == chr(cp):
-            pairs[chr(int(parts[0], 16)) + chr(int(parts[1], 16))] = chr(cp)
+            starters, made = pairs.get(mark := chr(int(parts[1], 16)), ("", ""))
+            pairs[mark] = starters + chr(int(parts[0], 16)), made + chr(cp)
     return pairs
 
 
-@lru_cache(maxsize=1)
-def touched() -> str:
+@lru_cache(maxsize=2)
+def touched(alike: Alike = ()) -> str:
     """All characters whose presence can change a text.
 
     A precomposed letter that decomposes and recomposes to itself is none of
     them: it can change only before a mark, and marks are in the list.
     """
-    known = mapping()
+    known = mapping(alike)
 
     def stable(cp: int) -> bool:
         to = "".join(map(chr, known[cp]))
@@ -102,7 +129,7 @@ def touched() -> str:
 
 def _table(spark: SparkSession) -> DataFrame:
     """(_ch, _to array<struct<c, k>>): the mapping, and each combining mark by itself; k is the combining class."""
-    rows = dict(mapping())
+    rows = dict(mapping(lookalikes(spark)))
     for cp in range(sys.maxunicode + 1):
         if unicodedata.combining(chr(cp)) and cp not in rows:
             rows[cp] = (cp,)
@@ -112,7 +139,6 @@ def _table(spark: SparkSession) -> DataFrame:
 
 def _compose(units: Column) -> Column:
     """The string of one cluster: array<struct<k, .., c>> of a starter and its marks in canonical order."""
-    pairs = F.map_from_arrays(F.array(*[F.lit(x) for x in compositions()]), F.array(*[F.lit(x) for x in compositions().values()]))
     start = F.struct(units[0]["c"].alias("s"), F.lit("").alias("rest"), F.lit(0).alias("last"))
     char = lambda cp: F.decode(F.unhex(F.lpad(F.hex(cp), 4, "0")), "UTF-16BE")
 
@@ -123,7 +149,10 @@ def _compose(units: Column) -> Column:
             a.between(0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & b.between(_T[0], _T[-1]), char(a + (b - (_T[0] - 1)))
         )
         free = (state["rest"] == "") | ((state["last"] < mark["k"]) & (state["last"] > 0))
-        made = F.when(free, F.coalesce(syllable, F.try_element_at(pairs, F.concat(s, c))))
+        composed = F.lit(None).cast("string")
+        for own, (starters, composites) in compositions().items():  # a hashed look-up of the starter behind a test of the mark
+            composed = F.when(c == own, F.nullif(F.translate(s, starters, composites), s)).otherwise(composed)
+        made = F.when(free, F.coalesce(syllable, composed))
         return F.struct(
             F.coalesce(made, s).alias("s"),
             F.when(made.isNull(), F.concat(state["rest"], c)).otherwise(state["rest"]).alias("rest"),
@@ -142,12 +171,13 @@ def consistent(texts: DataFrame, key: list[str], text: str, out: str) -> DataFra
     text is rebuilt in the task that holds it, whatever its length.
     """
     rows = texts.select(*key, text)
-    hard = F.coalesce(F.translate(text, touched(), "") != F.col(text), F.lit(False))
+    spark = texts.sparkSession
+    hard = F.coalesce(F.translate(text, touched(lookalikes(spark)), "") != F.col(text), F.lit(False))
     plain = rows.filter(~hard).withColumn(out, F.col(text))
-    exploded = rows.filter(hard).repartition(*key)
+    exploded = rows.filter(hard).repartition(shuffle_partitions(spark), *key)  # many times as large once it is exploded
     chars = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "")
     points = exploded.select(*key, F.posexplode(chars).alias("_pos", "_ch")).filter("_ch <> ''")
-    mapped = points.join(F.broadcast(_table(texts.sparkSession)), "_ch", "left")
+    mapped = points.join(F.broadcast(_table(spark)), "_ch", "left")
     to = F.coalesce("_to", F.array(F.struct(F.col("_ch").alias("c"), F.lit(0).alias("k"))))
     units = mapped.select(*key, "_pos", F.posexplode(to).alias("_sub", "_u")).select(*key, "_pos", "_sub", F.col("_u.c").alias("c"), F.col("_u.k").alias("k"))
     order = Window.partitionBy(*key).orderBy("_pos", "_sub")
@@ -161,24 +191,40 @@ def consistent(texts: DataFrame, key: list[str], text: str, out: str) -> DataFra
     return plain.unionByName(exploded.join(built, key, "left").select(*key, text, joined.alias(out)))
 
 
-def same_looking_pairs(texts: DataFrame, item: str, field: str, value: str) -> DataFrame:
-    """Pairs of items (a < b) whose value of a field looks the same but is not the same sequence of characters.
+def same_looking_classes(texts: DataFrame, item: str, field: str, value: str) -> DataFrame:
+    """(item, field, class, spelling) of the items whose value looks like another one that differs in characters.
 
     ``texts`` has one row per (item, field). Null and empty values never count.
-    Values are compared by two 128-bit hashes, of the form and of the characters; the
-    different spellings of a form are paired once and then filled with their
-    items, salted by item, so a spelling that most items share is not one task's.
+    A class is all values of a field that look the same, a spelling all of the
+    class with the same characters; both are 128-bit hashes. Two items of a class
+    are a pair of ``same_looking_pairs`` when their spellings differ.
     """
+    items, several, _ = _classes(texts, item, field, value)
+    return items.join(several, ["_f", "_form"], "left_semi").select(F.col("_id").alias(item), F.col("_f").alias(field), F.col("_form").alias("class"), F.col("_raw").alias("spelling"))
+
+
+def _classes(texts: DataFrame, item: str, field: str, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     filled = texts.filter(F.col(value).isNotNull() & (F.col(value) != "") & F.col(item).isNotNull()).select(F.col(item).alias("_id"), F.col(field).alias("_f"), F.col(value).alias("_v"))
     formed = consistent(filled, ["_id", "_f"], "_v", "_c").filter("_c <> ''")
     items = materialize(formed.select("_id", "_f", F.md5("_c").alias("_form"), F.md5("_v").alias("_raw")), "forms")
     spellings = items.groupBy("_f", "_form", "_raw").agg(F.count(F.lit(1)).alias("_n"))
     several = spellings.groupBy("_f", "_form").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("_f", "_form")
+    return items, several, spellings
+
+
+def same_looking_pairs(texts: DataFrame, item: str, field: str, value: str) -> DataFrame:
+    """Pairs of items (a < b) whose value of a field looks the same but is not the same sequence of characters.
+
+    ``texts`` has one row per (item, field). Null and empty values never count.
+    The different spellings of a form are paired once and then filled with their
+    items; a spelling that very many items share is cut by item, so it is not one task's.
+    """
+    items, several, spellings = _classes(texts, item, field, value)
     spellings = spellings.join(several, ["_f", "_form"], "left_semi")
     a, b = (spellings.select("_f", "_form", F.col("_raw").alias(f"_raw_{x}")) for x in "ab")
     pairs = a.join(b, ["_f", "_form"]).filter("_raw_a < _raw_b")
     for x in "ab":
-        members = items.join(several, ["_f", "_form"], "left_semi").select("_f", "_form", F.col("_raw").alias(f"_raw_{x}"), F.col("_id").alias(f"_id_{x}"), F.pmod(F.xxhash64("_id"), F.lit(SALT)).alias("_salt"))
-        salted = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
-        pairs = salted.join(members, ["_f", "_form", f"_raw_{x}", "_salt"]).drop("_salt")
+        key = ["_f", "_form", f"_raw_{x}"]
+        members = items.join(several, ["_f", "_form"], "left_semi").select("_f", "_form", F.col("_raw").alias(f"_raw_{x}"), F.col("_id").alias(f"_id_{x}"))
+        pairs = salted_join(members, pairs, key, hot_keys(spellings.withColumnRenamed("_raw", f"_raw_{x}"), key, "_n"), [f"_id_{x}"])
     return pairs.select(F.least("_id_a", "_id_b").alias(f"{item}_a"), F.greatest("_id_a", "_id_b").alias(f"{item}_b"), F.col("_f").alias(field))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.elite import distinctive_terms, typical_terms
 from lodeseek.llm.fusion import best_by_every_score, fuse_ranks
-from lodeseek.llm.lookalike import consistent, same_looking_pairs
+from lodeseek.llm.lookalike import consistent, same_looking_classes, same_looking_pairs
 from lodeseek.llm.markup import clean_markup
 from lodeseek.llm.mixing import mix
 from lodeseek.llm.neighbours import VectorIndex
@@ -53,6 +53,10 @@ def p3_forms(spark, sf):
     return consistent(_note_fields(spark, sf), ["note_id", "field"], "value", "form")
 
 
+def p3_classes(spark, sf):
+    return same_looking_classes(_note_fields(spark, sf), "note_id", "field", "value")
+
+
 def p4_found(spark, sf):
     return typical_terms(distinctive_terms(table(spark, sf, "lexical_docs"))).select("path", "term")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodeseek.llm import queries as llm
 from lodeseek.llm.elite import ROUNDS, distinctive_terms, fit_two_poisson, typical_terms
 from lodeseek.llm.fusion import best_by_every_score, fuse_ranks
-from lodeseek.llm.lookalike import consistent, mapping, same_looking_pairs
+from lodeseek.llm.lookalike import consistent, lookalikes, mapping, same_looking_classes, same_looking_pairs
 from lodeseek.llm.markup import Folded, analyse, clean_markup, fold, line_blocks, unfold
 from lodeseek.llm.mixing import mix, pivotal
 from lodeseek.llm.neighbours import VectorIndex, scan_nearest, scan_range, unit
@@ -152,9 +152,10 @@ def test_markup_table(spark):
 # ---------------------------------------------------------------- look-alikes
 
 
-def form(text):
+def form(spark, text):
+    table = mapping(lookalikes(spark))
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    return unicodedata.normalize("NFC", "".join("".join(map(chr, mapping()[ord(c)])) if ord(c) in mapping() else c for c in text))
+    return unicodedata.normalize("NFC", "".join("".join(map(chr, table[ord(c)])) if ord(c) in table else c for c in text))
 
 
 def test_consistent_forms(spark):
@@ -163,7 +164,7 @@ def test_consistent_forms(spark):
     texts += ["".join(RNG.choice(alphabet) for _ in range(RNG.randrange(1, 30))) for _ in range(400)]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(-1, None, "k")], "id bigint, text string, _ch string")
     for r in consistent(df, ["id"], "text", "out").collect():
-        assert r.out == (None if r.text is None else form(r.text)), ascii(r.text)
+        assert r.out == (None if r.text is None else form(spark, r.text)), ascii(r.text)
     assert consistent(df.limit(0), ["id"], "text", "out").count() == 0
 
 
@@ -172,6 +173,26 @@ def test_same_looking_pairs(spark):
     df = spark.createDataFrame(v, "id bigint, field string, value string")
     assert rows(same_looking_pairs(df, "id", "field", "value")) == [(1, 2, "f"), (1, 5, "f"), (2, 3, "f"), (2, 5, "f"), (3, 5, "f")]
     assert same_looking_pairs(df.limit(0), "id", "field", "value").count() == 0
+    classes = same_looking_classes(df, "id", "field", "value").collect()
+    assert {(a.id, b.id, a.field) for a in classes for b in classes if a.id < b.id and a["class"] == b["class"] and a.spelling != b.spelling} == set(map(tuple, same_looking_pairs(df, "id", "field", "value").collect()))
+
+
+def test_a_spelling_of_most_items_is_cut(spark, monkeypatch):
+    from lodeseek.operators import skew
+
+    monkeypatch.setattr(skew, "LOAD", 10)
+    df = spark.createDataFrame([(i, "f", "N\u043ete" if i % 50 == 0 else "Note") for i in range(300)], "id bigint, field string, value string")
+    got = sorted(map(tuple, same_looking_pairs(df, "id", "field", "value").select("id_a", "id_b").collect()))
+    assert got == sorted((min(i, j), max(i, j)) for i in range(0, 300, 50) for j in range(300) if j % 50)
+
+
+def test_shapes_of_letters(spark):
+    pairs = {chr(a): chr(b) for a, b in lookalikes(spark)}
+    assert len(pairs) > 150 and all(len(mapping(lookalikes(spark))[ord(a)]) == 1 for a in pairs)
+    assert all(pairs[a] == b for a, b in zip("аеорсАВѕνοαρικօսցɑɡıᎪҺԚӏІ", "aeopcABsvoapikougagiAHQlI") if a in pairs) and len(set("αριօսցɑɡıᎪ") & set(pairs)) == 10
+    assert not set(pairs) & set("éüßяжЖШΩπ日")
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(("ⅠⅡⅤ", "µm", "x²", "ſ", "ﬁ"))], "id bigint, text string")
+    assert [r.out for r in consistent(data, ["id"], "text", "out").orderBy("id").collect()] == ["IIIV", "μm", "x²", "ſ", "fi"]
 
 
 # ---------------------------------------------------------------- term scores and counts
