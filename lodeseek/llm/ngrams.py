@@ -1,11 +1,13 @@
 """Frequencies of values and n-grams by suffix sorting.
 
 Every record emits the suffixes of its sequences, cut to ``sigma`` values.
-Suffixes are combined, routed by their first value (a first value with much
-behind it is split by its second one), sorted in reverse lexicographic order
-and reduced by a stack that holds one counter per prefix length: a longer
-suffix comes before its own prefixes, so when the sort leaves a prefix, its
-counts are complete.
+Suffixes are combined and routed by ranges of their first value, and where very
+many suffixes begin alike, of the values behind it: ranges are drawn so that each
+has about as many suffixes, so no first value or pair is one task's. Each range is
+sorted in reverse lexicographic order and reduced by a stack that holds one counter
+per prefix length: a longer suffix comes before its own prefixes, so when the sort
+leaves a prefix, its counts are complete. Only a prefix that a border of ranges
+cuts has its counts in two or more parts, which are added up.
 
 Record sets are kept as counts: a suffix carries how far it agrees with the
 suffix before it in the same record's own sorted list. Prefixes longer than
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPLITS = 32
+from lodeseek.runtime import shuffle_partitions
 
 
 def suffix_counts(records: DataFrame, sequences: Column, sigma: int = 1, min_total: int = 1) -> DataFrame:
@@ -47,12 +49,10 @@ def suffix_counts(records: DataFrame, sequences: Column, sigma: int = 1, min_tot
     pairs = F.arrays_zip(F.col("_s").alias("c"), F.slice(before, F.lit(1), F.size("_s")).alias("p"))
     rows = own.select(F.explode(pairs).alias("_e")).select(F.col("_e.c.v").alias("suffix"), F.col("_e.c.w").alias("w"), F.col("_e.p.v").alias("_p"))
     fresh = [F.sum(((F.size("suffix") >= k) & ~F.coalesce(F.slice("suffix", 1, k) == F.slice("_p", 1, k), F.lit(False))).cast("bigint")).alias(f"f{k}") for k in range(1, sigma + 1)]
-    head = F.col("suffix")[0].alias("head")
-    split = F.pmod(F.xxhash64(F.get("suffix", F.lit(1))), F.lit(SPLITS)).alias("split") if sigma > 1 else F.lit(0).alias("split")
-    combined = rows.groupBy(head, split, "suffix").agg(F.sum("w").alias("w"), *fresh)
-    routed = combined.repartition("head", "split").sortWithinPartitions(F.desc("suffix"))
+    combined = rows.groupBy("suffix").agg(F.sum("w").alias("w"), *fresh)
+    routed = combined.repartitionByRange(shuffle_partitions(records.sparkSession), "suffix").sortWithinPartitions(F.desc("suffix"))
     counted = routed.select("suffix", "w", F.array(*[f"f{k}" for k in range(1, sigma + 1)]).alias("f")).mapInPandas(_stack(sigma), "ngram array<string>, total bigint, records bigint")
-    if sigma > 1:  # a split first value reports its single value once per split
+    if sigma > 1:
         counted = counted.groupBy("ngram").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
     return counted.filter(F.col("total") >= min_total)
 
