@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct values a bucket may hold before it is cut into cells, and cells it is cut into.
+CELL_VALUES, CELLS = 100_000, 16_384
+
 
 def order_bucket(value: Column) -> Column:
     """A coarse key that never decreases with ``value`` (binary exponent and ten further bits)."""
@@ -24,7 +27,9 @@ def competition_rank(df: DataFrame, group: list[str], value: str, out: str) -> D
     Rows are first reduced to distinct values with their counts, values fall
     into order-preserving buckets, and a value's rank is the size of the greater
     buckets plus its place inside its own bucket, so even a group that holds
-    most of the rows is spread over many tasks.
+    most of the rows is spread over many tasks. A bucket with very many distinct
+    values (scores with a large offset lie in few) is cut once more, into equal
+    cells between its own least and greatest value.
     """
     valid = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     counts = (
@@ -33,16 +38,21 @@ def competition_rank(df: DataFrame, group: list[str], value: str, out: str) -> D
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", order_bucket(F.col(value).cast("double")))
     )
+    number = F.col(value).cast("double")
+    buckets = counts.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_d"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
+    crowded = buckets.filter((F.col("_d") > CELL_VALUES) & (F.col("_hi") > F.col("_lo"))).drop("_d")  # at most all values / CELL_VALUES
+    cell = F.floor((number - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS)
+    counts = _join(counts, F.broadcast(crowded), [*group, "_b"], "left").withColumn("_c", F.coalesce(cell, F.lit(0)).cast("bigint")).drop("_lo", "_hi")
     before = Window.unboundedPreceding, -1
     offsets = (
-        counts.groupBy(*group, "_b")
+        counts.groupBy(*group, "_b", "_c")
         .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_off", F.coalesce(F.sum("_bn").over(Window.partitionBy(*group).orderBy(F.desc("_b")).rowsBetween(*before)), F.lit(0)))
+        .withColumn("_off", F.coalesce(F.sum("_bn").over(Window.partitionBy(*group).orderBy(F.desc("_b"), F.desc("_c")).rowsBetween(*before)), F.lit(0)))
         .drop("_bn")
     )
-    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy(F.desc(value)).rowsBetween(*before)), F.lit(0))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*group, "_b", "_c").orderBy(F.desc(value)).rowsBetween(*before)), F.lit(0))
     placed = counts.withColumn("_in", inside)
-    ranks = _join(placed, offsets, [*group, "_b"], "inner").withColumn(out, (F.lit(1) + F.col("_off") + F.col("_in")).cast("bigint")).select(*group, value, out)
+    ranks = _join(placed, offsets, [*group, "_b", "_c"], "inner").withColumn(out, (F.lit(1) + F.col("_off") + F.col("_in")).cast("bigint")).select(*group, value, out)
     # Missing values match nothing; a salt keeps them from meeting in one task.
     hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     salt = F.when(valid, F.lit(0)).otherwise(F.pmod(F.xxhash64(*hashed), F.lit(64)) + 1).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     Tags are the front matter's list and the inline ``#tags``; files have no
     creation time here, so ctime is mtime.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(re.sub(r"([\[\]{}*?\\])", r"\\\1", root))
     base = root.removeprefix("file://").rstrip("/") + "/"
     text = F.decode("content", "UTF-8")
     whole = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))

@@ -87,14 +87,22 @@ class Folder:
             raise
         return True
 
+    def _age(self, name: str) -> float:
+        """Seconds since a file was written; 0 where it is just gone."""
+        try:
+            return time.time() - self.fs.getFileStatus(self._path(self.at(name))).getModificationTime() / 1000
+        except Exception as e:  # noqa: BLE001 - the JVM's exception for a file that is gone
+            if "FileNotFound" in str(e):
+                return 0.0
+            raise
+
     def publish(self, staging: str, final: str) -> None:
         """Rename ``staging`` to ``final`` or raise ``Taken``."""
         claim = f"_claim-{final}"
         if not self._create(claim):
-            held = self.fs.getFileStatus(self._path(self.at(claim))).getModificationTime() if self.exists(claim) else None
-            if held is not None and time.time() * 1000 - held > LEASE_S * 1000:
+            if self._age(claim) > LEASE_S:
                 self.delete(claim)
-            if held is None or self.exists(claim) or not self._create(claim):
+            if self.exists(claim) or not self._create(claim):
                 raise Taken(f"{final} is being published by another writer")
         try:
             if self.exists(final):

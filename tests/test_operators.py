@@ -1,19 +1,21 @@
 import datetime
 import json
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.operators.embeddings import HashingProvider, HttpProvider, embedded, first_token_vectors, pooled_chunks, query_scores, updated_cache, usable_cache
-from lodeseek.operators.evaluate import average_metrics, floor_rank, rank_metrics
+from lodeseek.operators.evaluate import average_metrics, floor_rank, rank_metrics, summary
 from lodeseek.operators.incremental import VersionedTarget, replay_runs
 from lodeseek.operators.ranks import competition_rank, spread_number
 from lodeseek.operators.reconcile import reconcile, replay, stale_embeddings
 from lodeseek.operators.wordpiece import WordPiece, basic_tokens, padded, token_ids, windows
-from lodeseek.runtime import fresh_dir
+from lodeseek.runtime import fresh_dir, scratch
 from lodeseek.sources.store import IndexStore, Settings, should_compact
 from lodeseek.sources.vault import read_corpus, read_vault
+from lodeseek.storage import Folder, Taken
 from lodeseek.streaming.changes import EVENT, follow, read_changes
 
 
@@ -39,6 +41,21 @@ def test_competition_rank_of_many(spark):
         assert all(r.r == np.searchsorted(-s, -r.v) + 1 for r in got if r.g == g)
 
 
+def test_competition_rank_cuts_crowded_buckets(spark, monkeypatch):
+    from lodeseek.operators import ranks
+
+    monkeypatch.setattr(ranks, "CELL_VALUES", 50)
+    monkeypatch.setattr(ranks, "CELLS", 16)
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), (F.pmod(F.hash("id"), F.lit(3000)) / 7.0 * F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1e-3) + 1e6).alias("v"))
+    by = {}
+    got = competition_rank(df, ["g"], "v", "r").collect()
+    for r in got:
+        by.setdefault(r.g, []).append(r.v)
+    for g, v in by.items():
+        s = -np.sort(-np.array(v))
+        assert all(r.r == np.searchsorted(-s, -r.v) + 1 for r in got if r.g == g)
+
+
 def test_spread_number(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").alias("g"))
     got = spread_number(df, ["g"], ["id"], "n", 16).collect()
@@ -101,6 +118,59 @@ def test_two_runs_cannot_publish_one_version(spark):
     assert [x.run_id for x in first.changes().collect()] == [7]
 
 
+def test_publication_is_exclusive(spark, monkeypatch):
+    """A writer that comes between another's look and its rename, and many at the same time."""
+    folder, other = Folder(spark, root := fresh_dir(spark, "t")), Folder(spark, root)
+    late = []
+
+    def looked(name):
+        if not late:
+            late.append(name)
+            staged(other, "second")
+            with pytest.raises(Taken):
+                other.publish("second", "change=1")
+        return False
+
+    def staged(f, name):
+        f.fs.mkdirs(f._path(f.at(name)))
+        f.touch(f"{name}/{name}")
+
+    staged(folder, "first")
+    monkeypatch.setattr(folder, "exists", looked)
+    folder.publish("first", "change=1")
+    assert folder.numbers("change") == [1] and folder.names("change=1") == ["first"] and "_claim-change=1" not in folder.names()
+    won = []
+
+    def race(i):
+        own = Folder(spark, root)
+        staged(own, f"s{i}")
+        try:
+            own.publish(f"s{i}", "change=2")
+            won.append(i)
+        except Taken:
+            pass
+
+    threads = [threading.Thread(target=race, args=(i,)) for i in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == 1 and folder.names("change=2") == [f"s{won[0]}"]
+
+
+def test_a_dead_claim_ends_and_dead_staging_goes(spark, monkeypatch):
+    from lodeseek import storage
+
+    folder = Folder(spark, fresh_dir(spark, "t"))
+    folder.touch("_claim-change=1")
+    folder.fs.mkdirs(folder._path(folder.at("_staging-x")))
+    with pytest.raises(Taken):
+        folder.publish("_staging-x", "change=1")
+    assert folder.sweep() == []
+    monkeypatch.setattr(storage, "LEASE_S", -1)
+    folder.publish("_staging-x", "change=1")
+    folder.fs.mkdirs(folder._path(folder.at("_staging-y")))
+    assert folder.numbers("change") == [1] and folder.sweep(-1) == ["_staging-y"]
+
+
 def test_reconcile_and_replay(spark):
     f = "path string, mtime bigint, size bigint"
     plan = reconcile(spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("n", None, 1)], f), spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("z", 1, 1)], f))
@@ -136,6 +206,83 @@ def test_embeddings(spark):
         first_token_vectors(np.zeros((2, 3, 5)), 4)
 
 
+    with pytest.raises(Exception, match="no usable vector"):
+        pooled_chunks(spark.createDataFrame([("a", [2.0, 0.0]), ("a", [0.0, 0.0])], "path string, vector array<double>")).collect()
+    calls = spark.sparkContext.accumulator(0)
+    assert updated_cache(docs, cached, p, 2, progress=calls).count() == 3 and calls.value >= 2
+
+
+def test_models(spark):
+    from lodeseek.operators.models import LazyProvider, TokenModel, check_interface, check_size, mean_vector, provider_id
+
+    assert provider_id("r" * 40, "rt@1", 384) == f"on-device:{'r' * 40}:rt@1:cls-384:l2-normalized:query-prefix-v1:chunks-12:cache-v1"
+    with pytest.raises(ValueError, match="token_type_ids, last_hidden_state"):
+        check_interface(["input_ids", "attention_mask"], ["x"])
+    with pytest.raises(ValueError, match="2 bytes"):
+        check_size(b"ab", 3)
+    seen = []
+
+    def infer(inputs):
+        seen.append(inputs["input_ids"].shape)
+        ids = inputs["input_ids"]
+        return np.stack([np.full((ids.shape[1], 4), float(row.sum())) + np.arange(4) for row in ids])
+
+    tokenizer = WordPiece(VOCAB, max_length=4)
+    made = []
+    provider = LazyProvider(lambda: (made.append(1), TokenModel(tokenizer, infer, 4, "t"))[1], "t", 4)
+    assert not provider.ready and provider.embed([]) == []
+    vectors = provider.embed(["cafe " * 40, "", "un"])
+    assert provider.ready and len(made) == 1 and len(provider.latencies) == 1 and sum(s[0] for s in seen) == 12 + 1 + 1 and max(s[0] for s in seen) == 8
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-12 for v in vectors) and len(provider.embed(["x"], "query")) == 1 and provider.requests == 2
+    provider.cancel()
+    with pytest.raises(RuntimeError, match="cancelled"):
+        provider.embed(["x"])
+    provider.resume()
+    provider.dispose()
+    assert not provider.ready and len(provider.embed(["un"])) == 1 and len(made) == 2
+    for bad in ([], [np.zeros(4)], [np.ones(4), -np.ones(4)], [np.ones(3)], [np.full(4, np.nan)]):
+        with pytest.raises(ValueError):
+            mean_vector(bad, 4)
+
+
+def test_lifecycle(spark, tmp_path):
+    from lodeseek.operators.lifecycle import ScoreCache, Status, StatusFeed, removed_everywhere, superseding
+
+    heard, feed = [], StatusFeed()
+    end = feed.subscribe(heard.append)
+    feed.set(phase="lexical", total=3)
+    feed.set(phase="lexical")
+    end()
+    feed.set(phase="ready")
+    assert heard == [Status(), Status("lexical", total=3)] and feed.status.phase == "ready"
+    with pytest.raises(ValueError):
+        feed.set(phase="done")
+    cache, made = ScoreCache(2), []
+    ask = lambda text: cache.get("p", text, lambda: (made.append(text), spark.range(1))[1])
+    [ask(t) for t in ("a", "b", "a", "c", "a")]
+    assert made == ["a", "b", "c", "a"] and len(cache) == 2
+    with superseding(spark, "index") as first:
+        assert first()
+        with superseding(spark, "index") as second:
+            assert second() and not first()
+    store = IndexStore(spark, f"file://{tmp_path}/s")
+    docs = spark.createDataFrame([("a",), ("b",)], "path string")
+    left = removed_everywhere(spark.createDataFrame([("a",), ("z",)], "path string"), docs, docs, store, 5, cache)
+    assert [[r.path for r in d.collect()] for d in left] == [["b"], ["b"]] and len(cache) == 0
+    assert [(r.seq, r.op, r.path) for r in store.log().collect()] == [(5, "remove", "a")]
+
+
+def test_scratch_deletes(spark):
+    from lodeseek.runtime import materialize
+
+    with scratch(spark):
+        inner = materialize(spark.range(3), "x")
+        path = inner.inputFiles()[0].rsplit("/", 1)[0]
+        assert inner.count() == 3
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def test_http_provider():
     sent = []
     p = HttpProvider(" http://h:1// ", "m", lambda url, body: (sent.append((url, body)), (200, {"embeddings": [[1, 2]]}))[1])
@@ -144,6 +291,14 @@ def test_http_provider():
         HttpProvider("http://h/api/embed", "m", lambda *_: (500, {})).embed(["x"])
 
 
+def test_summary_rules(spark):
+    data = [("a", float(x)) for x in (5, 1, 1, 3, 9, 7)] + [("b", 2.0), (None, 4.0), (None, 6.0), ("c", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    floor = {r.k: (r.n, r.median, r.p95) for r in summary(df, ["k"], "v", "floor").collect()}
+    assert floor == {"a": (6, 5.0, 9.0), "b": (1, 2.0, 2.0), None: (2, 6.0, 6.0), "c": (0, None, None)}
+    assert {r.k: r.median for r in summary(df, ["k"], "v").collect()}["a"] == 3.0
+
+
 def test_metrics(spark):
     ranking = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "x", 1)], "query_id int, path string, place int")
     qrels = spark.createDataFrame([(1, "b"), (1, "b"), (1, "q"), (3, "z")], "query_id int, path string")
@@ -195,9 +350,25 @@ def test_store_and_stream(spark, tmp_path):
     assert store.load("other settings") is None
     store.compact(store.load(sign), sign, 13)
     assert {r.path for r in store.load(sign).collect()} == {"a", "c"} and store.operations() == 0
+    assert len(store._upto()) == 2  # the snapshot before still needs them
+    store.compact(store.load(sign), sign, 14)
+    assert store._upto() == {} and {r.path for r in store.load(sign).collect()} == {"a", "c"}
+    (folder / "3.json").write_text(json.dumps(dict(zip(("seq", "event", "path", "old_path", "note"), (8, "create", "e", None, note("e", "e"))))) + "\n")
+    follow(store, read_changes(spark, str(folder)), f"{tmp_path}/cp", once=True, signature=sign).awaitTermination(120)
+    assert store.operations() == 1 and store.maintain(sign) is None and store.maintain(sign, idle_s=30) == 4 and store.operations() == 0
+    assert {r.path for r in store.load(sign).collect()} == {"a", "c", "e"}
     assert EVENT
 
 
+def test_vault_of_an_odd_name(spark, tmp_path):
+    root = tmp_path / "a(b)+[c]"
+    root.mkdir()
+    (root / "x.md").write_text("---\ntitle: t\ntags:\n  - one\n  - 'two words'\nother: 1\n---\n#three")
+    (root / "y.md").write_text("---\nno end #four")
+    got = {x.path: x.tags for x in read_vault(spark, str(root)).collect()}
+    assert got == {"x.md": ["one", "two words", "three"], "y.md": ["four"]}
+
+
 def test_vault(spark, tmp_path):
     (tmp_path / "sub dir").mkdir()
     (tmp_path / "sub dir/Note é.md").write_text("---\ntags: [x, y]\n---\nBody #inline and C# #12 no\n")
