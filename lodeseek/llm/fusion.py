@@ -13,12 +13,12 @@ from lodeseek.operators.ranks import competition_rank
 SCORES = ("lexical_score", "semantic_score", "score")
 
 
-def fuse_ranks(results: DataFrame, group: str = "query_id", item: str = "path", scores: tuple[str, ...] = SCORES, constant: float = 60.0) -> DataFrame:
+def fuse_ranks(results: DataFrame, group: str = "query_id", item: str = "path", scores: tuple[str, ...] = SCORES, constant: float = 60.0, position: bool = True) -> DataFrame:
     """Rank the items of each group once per score and fuse the ranks.
 
     Returns one row per (group, item): a rank per score (``<score>_rank``, null
     where the score is missing), ``fused`` = sum of 1 / (constant + rank) over
-    the scores that are present, and ``position``, the rank of ``fused``.
+    the scores that are present, and with ``position`` the rank of ``fused``.
 
     * null and NaN scores are missing; infinite ones are ordinary extremes;
     * ties share a rank (1 + number of strictly greater);
@@ -38,8 +38,10 @@ def fuse_ranks(results: DataFrame, group: str = "query_id", item: str = "path",
     ranked = competition_rank(long, ["_g", "_k"], "_v", "_r")
     fused = ranked.groupBy("_g", "_i").agg(*[F.max(F.when(F.col("_k") == k, F.col("_r"))).alias(f"{s}_rank") for k, s in enumerate(scores)])
     parts = [F.coalesce(1.0 / (F.lit(constant) + F.col(f"{s}_rank")), F.lit(0.0)) for s in scores]
-    fused = competition_rank(fused.withColumn("fused", reduce(add, parts)), ["_g"], "fused", "position")
-    return fused.select(F.col("_g").alias(group), F.col("_i").alias(item), *[f"{s}_rank" for s in scores], "fused", "position")
+    fused = fused.withColumn("fused", reduce(add, parts))
+    if position:
+        fused = competition_rank(fused, ["_g"], "fused", "position")
+    return fused.withColumnsRenamed({"_g": group, "_i": item})
 
 
 def best_by_every_score(fused: DataFrame, top: int = 5, scores: tuple[str, ...] = SCORES) -> DataFrame:
