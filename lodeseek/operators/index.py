@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import folder_of, tokens, with_normalized
+from lodeseek.runtime import materialize, shuffle_partitions
 
 NOTE = ["path", "basename", "extension", "tags", "ctime", "mtime", "size"]
 
@@ -32,7 +34,7 @@ def indexed(notes: DataFrame) -> DataFrame:
         "_body": tokens("norm_content"),
     }).drop("_tags", "_norm_tags")
     meta = tokens(F.concat_ws(" ", "norm_name", "norm_path", F.array_join("norm_tags", " ")))
-    docs = docs.withColumns({"token_count": F.size("_body").cast("bigint"), "tokens_all": F.array_union("_body", meta)})
+    docs = docs.withColumns({"token_count": F.size("_body").cast("bigint"), "tokens_all": F.array_union("_body", meta), "tokens_meta": F.array_distinct(meta)})
     counts = docs.select("path", F.explode("_body").alias("term")).groupBy("path", "term").agg(F.count(F.lit(1)).alias("n"))
     maps = counts.groupBy("path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "n")))).alias("tf"))
     none = F.create_map().cast("map<string,bigint>")
@@ -96,27 +98,75 @@ def capped_content(notes: DataFrame, most_kb: int) -> DataFrame:
     return notes.withColumn("content", F.when(F.col("size") <= most_kb * 1024, F.col("content")).otherwise(F.lit("")))
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(path, mtime, size): what tells whether a document has changed."""
+    return docs.select("path", "mtime", "size")
+
+
+def listing(docs: DataFrame) -> DataFrame:
+    return docs.select(*NOTE, "folder", "token_count")
+
+
+def has(docs: DataFrame, path: str) -> bool:
+    return not docs.filter(F.col("path") == path).isEmpty()
+
+
+def cleared(docs: DataFrame) -> DataFrame:
+    """The index without any document."""
+    return docs.filter(F.lit(False))
+
+
+SLIM = [*NOTE, "folder", "norm_name", "norm_path", "norm_ext", "norm_tags", "token_count", "tokens_meta"]
+BODY = ["path", "content", "norm_content"]
+
+
 @dataclass
 class Index:
-    """Documents with their statistics; ``docs`` should be stored or cached by the caller."""
+    """What a search reads: slim documents, bodies, postings and statistics.
+
+    ``of`` derives all of them from ``docs``, which the caller should have stored.
+    ``stored`` writes them once, postings in the order of terms and bodies in that of
+    paths, so that a query reads the parts of the files that hold its terms and
+    its results. Neither order puts a term or a folder into one task.
+    ``loader`` gives (path, content, norm_content) for (path), where the index has no bodies.
+    """
 
     docs: DataFrame
     n_docs: int
     total_tokens: int
+    slim: DataFrame
+    bodies: DataFrame
+    postings: DataFrame
+    terms: DataFrame | None = None
+    loader: Callable[[DataFrame], DataFrame] | None = None
+
+    @classmethod
+    def of(cls, docs: DataFrame, loader: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+        r = corpus_stats(docs).first()
+        return cls(docs, r.n_docs, r.total_tokens, docs.select(*SLIM), docs.select(*BODY), postings(docs), None, loader)
 
     @classmethod
-    def of(cls, docs: DataFrame) -> Index:
+    def stored(cls, docs: DataFrame, loader: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+        """Postings and frequencies as of the documents' term maps; the statistics are taken here once."""
         r = corpus_stats(docs).first()
-        return cls(docs, r.n_docs, r.total_tokens)
+        parts = shuffle_partitions(docs.sparkSession)
+        slim = materialize(docs.select(*SLIM), "slim")
+        bodies = materialize(docs.select(*BODY).repartitionByRange(parts, "path").sortWithinPartitions("path"), "bodies")
+        rows = materialize(postings(docs).repartitionByRange(parts, "term", "path").sortWithinPartitions("term"), "postings")
+        terms = materialize(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term"), "terms")
+        return cls(docs, r.n_docs, r.total_tokens, slim, bodies, rows, terms, loader)
 
     @property
     def average(self) -> float:
         return self.total_tokens / self.n_docs if self.n_docs else 1.0
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:
-        """Document frequency of a query's few terms, from one scan of the term maps."""
+        """Document frequency of a query's few terms, looked up or from one scan of the term maps."""
         if not terms:
             return {}
+        if self.terms is not None:
+            known = {r.term: r.df for r in self.terms.filter(F.col("term").isin(terms)).collect()}
+            return {t: known.get(t, 0) for t in terms}
         held = [F.count_if(F.coalesce(F.map_contains_key("tf", F.lit(t)), F.lit(False))).alias(f"t{i}") for i, t in enumerate(terms)]
         row = self.docs.agg(*held).first()
         return {t: row[f"t{i}"] for i, t in enumerate(terms)}

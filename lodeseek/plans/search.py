@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import clamp, snippet, verbose_snippet
-from lodeseek.operators.index import Index
-from lodeseek.plans.compile import B, BODY_WEIGHT, K1, hard_constraints, lexical_score, recency, result_filters
+from lodeseek.operators.index import BODY, SLIM, Index
+from lodeseek.operators.maintenance import needs_body, with_bodies
+from lodeseek.plans.compile import B, BODY_WEIGHT, K1, Joined, Whole, hard_constraints, lexical_score, recency, result_filters
 from lodeseek.plans.query import Query, parse_query
+from lodeseek.runtime import materialize
 
 _RELEVANCE = lambda: [F.desc("score"), F.desc("mtime"), F.collate("path", "UNICODE").asc()]
 ORDERS = {
@@ -21,7 +23,9 @@ ORDERS = {
     "modified-asc": lambda: [F.asc("mtime")],
     "name-asc": lambda: [F.collate("basename", "UNICODE").asc()],
 }
-RESULT = ["path", "folder", "title", "score", "lexical_score", "semantic_score", "snippet", "verbose_snippet", "tags", "ctime", "mtime"]
+RESULT = ["path", "folder", "title", "score", "lexical_score", "semantic_score", "snippet", "verbose_snippet", "tags", "ctime", "mtime", "highlight_terms"]
+#: Results up to this number have their bodies looked up by path instead of joined.
+LISTED = 1_000
 
 
 @dataclass
@@ -40,12 +44,24 @@ def candidates(index: Index, q: Query, now: int, semantic: DataFrame | None = No
     """Documents that meet the constraints, with ``lexical_score`` and ``semantic_score``.
 
     A query of filters alone gives every one of them lexical 1. Otherwise a
-    document needs a lexical score or a semantic one, be it 0.
+    document needs a lexical score or a semantic one, be it 0. Term maps and
+    bodies are not read: terms come from their part of the postings, and of the
+    bodies, only where there are phrases, which of them hold one.
     """
-    dfs = index.frequencies(list(dict.fromkeys(q.terms + q.required_terms)))
-    docs = index.docs.filter(hard_constraints(q))
+    distinct = lambda *parts: list(dict.fromkeys(x for p in parts for x in p))
+    terms = distinct(q.terms, q.required_terms, q.excluded_terms)
+    phrases = distinct(q.phrases, q.required_phrases, q.excluded_phrases)
+    across = any("\n" in p for p in phrases)  # such a phrase may begin in the metadata and end in the body
+    by = Whole() if across else Joined(terms, phrases)
+    docs = _hydrated(index, q) if across else index.slim
+    if terms and not across:
+        docs = docs.join(by.hits(index.postings), "path", "left")
+    if phrases and not across:
+        docs = docs.join(_held(index, q, by), "path", "left")
+    docs = docs.filter(hard_constraints(q, by))
+    dfs = index.frequencies(distinct(q.terms, q.required_terms))
     # Scored where the documents lie; the join then moves finished scores.
-    docs = docs.withColumn("lexical_score", lexical_score(q, dfs, index.n_docs, index.average) if q.semantic_text else F.lit(1.0))
+    docs = docs.withColumn("lexical_score", lexical_score(q, dfs, index.n_docs, index.average, by) if q.semantic_text else F.lit(1.0)).select(*SLIM, "lexical_score")
     if semantic is None:
         docs = docs.withColumn("semantic_score", F.lit(None).cast("double"))
     else:
@@ -55,13 +71,39 @@ def candidates(index: Index, q: Query, now: int, semantic: DataFrame | None = No
     return docs.filter((F.col("lexical_score") != 0) | F.col("semantic_score").isNotNull()).withColumn("lexical_score", F.col("lexical_score") * recency(now))
 
 
-def fused(found: DataFrame, weight: float = 0.72) -> DataFrame:
-    """Add ``score``: the lexical score over the greatest of all candidates, mixed with the semantic one where there is one."""
+def _late(index: Index, q: Query) -> DataFrame | None:
+    """Bodies that the index lacks and that the query's phrases need."""
+    return index.loader(index.docs.filter(needs_body(q)).select("path")) if index.loader else None
+
+
+def _held(index: Index, q: Query, by: Joined) -> DataFrame:
+    own, late = by.held(index.bodies), _late(index, q)
+    return own if late is None else own.join(late.select("path"), "path", "left_anti").unionByName(by.held(late))
+
+
+def _hydrated(index: Index, q: Query) -> DataFrame:
+    late = _late(index, q)
+    return index.docs if late is None else with_bodies(index.docs, late, late)
+
+
+def greatest_score(found: DataFrame) -> float:
+    return max(0.0, found.agg(F.max("lexical_score")).first()[0] or 0.0)
+
+
+def fused(found: DataFrame, weight: float = 0.72, top: float | None = None) -> DataFrame:
+    """Add ``score``: the lexical score over the greatest of all candidates, mixed with the semantic one where there is one.
+
+    ``top`` is the greatest lexical score where it is known already.
+    """
     w = min(1.0, max(0.0, weight))
-    top = found.agg(F.greatest(F.coalesce(F.max("lexical_score"), F.lit(0.0)), F.lit(0.0)).alias("_top"))
+    if top is None:
+        most = found.agg(F.greatest(F.coalesce(F.max("lexical_score"), F.lit(0.0)), F.lit(0.0)).alias("_top"))
+        found = found.crossJoin(F.broadcast(most))
+    else:
+        found = found.withColumn("_top", F.lit(float(top)))
     lexical = F.when(F.col("_top") > 0, F.col("lexical_score") / F.col("_top")).otherwise(0.0)
     mixed = w * clamp(F.col("semantic_score"), 0.0, 1.0) + (1 - w) * lexical
-    return found.crossJoin(F.broadcast(top)).withColumn("score", F.when(F.col("semantic_score").isNull(), lexical).otherwise(mixed)).drop("_top")
+    return found.withColumn("score", F.when(F.col("semantic_score").isNull(), lexical).otherwise(mixed)).drop("_top")
 
 
 def facets(scored: DataFrame) -> DataFrame:
@@ -79,23 +121,33 @@ def search(index: Index, query: str | Query, *, now: int, semantic: DataFrame |
     """Answer one query over ``index``.
 
     ``semantic`` has (path, score). Facets count the candidates before the
-    result filters (folder, tag, modified_since). A query with errors or
-    without criteria has no results. Bodies are read for the ``limit`` results only.
+    result filters (folder, tag, modified_since), most frequent first. A query with errors or
+    without criteria has no results. The candidates are stored once, without
+    bodies; their greatest score, facets, total and best are read from there, and
+    bodies for the ``limit`` results only, from the index or its loader.
     """
     q = parse_query(query, zone) if isinstance(query, str) else query
-    found = candidates(index, q, now, semantic) if q.has_criteria and not q.errors else index.docs.filter(F.lit(False)).withColumns({"semantic_score": F.lit(None).cast("double"), "lexical_score": F.lit(0.0)})
-    scored = fused(found, weight)
+    shown_columns = ["path", "basename", "folder", "norm_tags", "tags", "ctime", "mtime", "lexical_score", "semantic_score"]
+    if q.has_criteria and not q.errors:
+        found = materialize(candidates(index, q, now, semantic).select(*shown_columns), "candidates")
+        scored = fused(found, weight, greatest_score(found))
+    else:
+        scored = index.slim.filter(F.lit(False)).withColumns(dict.fromkeys(("lexical_score", "semantic_score", "score"), F.lit(None).cast("double"))).select(*shown_columns, "score")
     filtered = scored.filter(result_filters(folder, tag, modified_since))
-    slim = filtered.select("path", "basename", "folder", "score", "lexical_score", "semantic_score", "ctime", "mtime")
-    best = slim.orderBy(*ORDERS[sort](), *_RELEVANCE()).limit(limit)
-    bodies = index.docs.select("path", "tags", "content", "norm_content")
-    shown = bodies.join(F.broadcast(best), "path")  # at most ``limit`` rows
-    shown = shown.withColumns({
+    order = [*ORDERS[sort](), *_RELEVANCE()]
+    best = filtered.orderBy(*order).limit(limit)
+    paths = [r.path for r in best.select("path").collect()] if limit <= LISTED else None
+    bodies = index.bodies if paths is None else index.bodies.filter(F.col("path").isin(paths))  # the files are in the order of paths
+    if index.loader:
+        late = index.loader(best.select("path"))
+        bodies = bodies.join(late.select("path"), "path", "left_anti").unionByName(late.select(*BODY))
+    shown = best.join(bodies, "path", "left").withColumns({
         "title": F.col("basename"),
         "snippet": snippet(F.col("content"), F.col("norm_content"), q.highlights),
         "verbose_snippet": verbose_snippet(F.col("content"), F.col("norm_content"), q.highlights, context),
+        "highlight_terms": F.array(*[F.lit(h) for h in q.highlights]).cast("array<string>"),
     })
-    return Response(q, shown.orderBy(*ORDERS[sort](), *_RELEVANCE()).select(*RESULT), facets(scored), filtered)
+    return Response(q, shown.orderBy(*order).select(*RESULT), ordered_facets(facets(scored)), filtered)
 
 
 def batch_search(postings: DataFrame, queries: DataFrame, term_df: DataFrame, stats: DataFrame, k: int = 10) -> DataFrame:

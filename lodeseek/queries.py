@@ -14,7 +14,7 @@ from lodeseek.operators.reconcile import live_embeddings, reconcile, replay, sta
 from lodeseek.operators.wordpiece import windows
 from lodeseek.plans import compile as plan
 from lodeseek.plans.query import parse_query
-from lodeseek.plans.search import ORDERS, batch_search, candidates, facets, fused, search
+from lodeseek.plans.search import ORDERS, batch_search, candidates, facets, fused, greatest_score, search
 from lodeseek.runtime import materialize, table
 from lodeseek.sources.generators import DRAFT, REVIEWED, ROUTINE, SPLIT, TOPICS, scale_notes
 
@@ -26,16 +26,16 @@ VECTOR = [1.0, -1.0] + [0.5] * 30 + [0.0] * 32
 _INDEXES: dict = {}
 
 
-def _docs(spark, sf):
-    """The indexed notes of a folder, stored once per session and folder."""
+def _index(spark, sf):
+    """The index of a folder's notes, stored once per session and folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
-        _INDEXES[key] = materialize(ix.indexed(table(spark, sf, "notes")), "docs")
+        _INDEXES[key] = ix.Index.stored(materialize(ix.indexed(table(spark, sf, "notes")), "docs"))
     return _INDEXES[key]
 
 
-def _index(spark, sf):
-    return ix.Index.of(_docs(spark, sf))
+def _docs(spark, sf):
+    return _index(spark, sf).docs
 
 
 def _semantic(spark, sf):
@@ -146,7 +146,8 @@ def filter_only_search(spark, sf):
 
 
 def sort_modes(spark, sf):
-    found = fused(candidates(_index(spark, sf), parse_query(SEARCH), NOW)).select("path", "basename", "ctime", "mtime", F.round("score", 9).alias("score"))
+    found = materialize(candidates(_index(spark, sf), parse_query(SEARCH), NOW).select("path", "basename", "ctime", "mtime", "lexical_score", "semantic_score"), "candidates")
+    found = fused(found, top=greatest_score(found)).select("path", "basename", "ctime", "mtime", F.round("score", 9).alias("score"))
     out = None
     for mode, order in ORDERS.items():
         best = found.orderBy(*order(), F.desc("score"), F.desc("mtime"), F.collate("path", "UNICODE")).limit(10).select("path", F.lit(mode).alias("mode"))
@@ -259,7 +260,7 @@ def p6_found(spark, sf):
     return replay_runs(table(spark, sf, "file_scans"), table(spark, sf, "index_runs"))
 
 
-_OWN = {"queries", "oracle_sql", "search", "facets", "candidates", "fused", "reconcile", "replay", "stale_embeddings", "live_embeddings", "windows", "batch_search", "cosine", "unit", "query_scores", "usable_cache", "replay_runs", "scale_notes", "materialize", "table", "parse_query"}
+_OWN = {"queries", "oracle_sql", "search", "facets", "candidates", "fused", "reconcile", "replay", "stale_embeddings", "live_embeddings", "windows", "batch_search", "greatest_score", "cosine", "unit", "query_scores", "usable_cache", "replay_runs", "scale_notes", "materialize", "table", "parse_query"}
 
 
 def queries():
