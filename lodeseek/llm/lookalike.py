@@ -140,6 +140,8 @@ def _table(spark: SparkSession) -> DataFrame:
 def _compose(units: Column) -> Column:
     """The string of one cluster: array<struct<k, .., c>> of a starter and its marks in canonical order."""
     start = F.struct(units[0]["c"].alias("s"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+    marks = list(compositions())  # found by their place in short constant strings
+    starters, composites = (F.array(*[F.lit(compositions()[m][i]) for m in marks]) for i in (0, 1))
     char = lambda cp: F.decode(F.unhex(F.lpad(F.hex(cp), 4, "0")), "UTF-16BE")
 
     def add(state: Column, mark: Column) -> Column:
@@ -149,15 +151,15 @@ def _compose(units: Column) -> Column:
             a.between(0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & b.between(_T[0], _T[-1]), char(a + (b - (_T[0] - 1)))
         )
         free = (state["rest"] == "") | ((state["last"] < mark["k"]) & (state["last"] > 0))
-        composed = F.lit(None).cast("string")
-        for own, (starters, composites) in compositions().items():  # a hashed look-up of the starter behind a test of the mark
-            composed = F.when(c == own, F.nullif(F.translate(s, starters, composites), s)).otherwise(composed)
-        made = F.when(free, F.coalesce(syllable, composed))
-        return F.struct(
-            F.coalesce(made, s).alias("s"),
-            F.when(made.isNull(), F.concat(state["rest"], c)).otherwise(state["rest"]).alias("rest"),
-            F.when(made.isNull(), mark["k"]).otherwise(state["last"]).alias("last"),
-        )
+        at = F.instr(F.lit("".join(marks)), c)
+        place = F.instr(F.get(starters, at - 1), s)
+        made = F.when(free, F.coalesce(syllable, F.when((at > 0) & (place > 0), F.substring(F.get(composites, at - 1), place, F.lit(1)))))
+        bound = F.transform(F.array(made), lambda m: F.struct(
+            F.coalesce(m, s).alias("s"),
+            F.when(m.isNull(), F.concat(state["rest"], c)).otherwise(state["rest"]).alias("rest"),
+            F.when(m.isNull(), mark["k"]).otherwise(state["last"]).alias("last"),
+        ))
+        return bound[0]
 
     done = F.aggregate(F.slice(units, F.lit(2), F.size(units) - 1), start, add, lambda x: F.concat(x["s"], x["rest"]))
     return F.when(F.size(units) == 1, units[0]["c"]).otherwise(done)
