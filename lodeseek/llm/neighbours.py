@@ -12,9 +12,13 @@ squared distance scaled by D / d is tested against the bound widened by
 survives all columns has its exact distance, so a reported similarity is exact
 and only a pair abandoned wrongly is missed.
 
-Lists are cut into blocks of rows, and every pair of a query block and a data
-block is one group, so a list that holds most vectors is spread over many
-tasks. Exact copies are searched for once and put back at the end.
+There are up to ``TOP_LISTS`` lists per provider and width. A list that holds many
+more than ``LIST_ROWS`` vectors is cut into lists of its own, with centroids fitted on
+a sample of its members, so the number of lists grows with the rows and a query
+meets the same number of candidates at any size. Lists are cut into blocks of
+rows, and every pair of a query block and a data block is one group, so a list that
+holds most vectors is spread over many tasks. Exact copies are searched for once
+and put back at the end.
 """
 
 from __future__ import annotations
@@ -26,10 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeseek.operators.skew import hot_keys, salted_join
 from lodeseek.runtime import materialize
 
-#: Vectors per (provider, width) the centroids are fitted on, at most about; rows a list should hold; lists at most.
-SAMPLE, LIST_ROWS, MOST_LISTS = 8192, 400, 1024
+#: Vectors per (provider, width), and per list that is cut, the centroids are fitted on, at most about.
+SAMPLE, CUT_SAMPLE = 8192, 4096
+#: Rows a list should hold, and beyond which it is cut; lists of a provider and width before they are cut.
+LIST_ROWS, CUT_ROWS, TOP_LISTS = 400, 1600, 1024
 BLOCK_ROWS = 2048
 COLUMNS = 16
 EPSILON = 2.1
@@ -59,11 +66,14 @@ def fit_centroids(points: np.ndarray, lists: int, rounds: int = 12) -> np.ndarra
     return centroids
 
 
-def _passes(partial, seen: int, width: int, bound):
-    return partial * (width / seen) <= bound * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < width else partial <= bound
+def _passes(partial, seen: int, width: int, bound, epsilon: float | None):
+    """Whether a candidate stays; without ``epsilon`` it goes only when its partial distance is beyond the bound already."""
+    if epsilon is None or seen >= width:
+        return partial <= bound
+    return partial * (width / seen) <= bound * (1 + epsilon / np.sqrt(seen)) ** 2
 
 
-def _finish(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, partial: np.ndarray, seen: int, bound: np.ndarray):
+def _finish(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, partial: np.ndarray, seen: int, bound: np.ndarray, epsilon: float | None):
     """Go on with the surviving pairs, block by block of columns, until all columns are seen."""
     width = q.shape[1]
     while seen < width and len(qi):
@@ -71,47 +81,55 @@ def _finish(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, partia
         diff = q[qi, seen:to] - x[xi, seen:to]
         partial = partial + np.einsum("ij,ij->i", diff, diff)
         seen = to
-        keep = _passes(partial, seen, width, bound[qi])
+        keep = _passes(partial, seen, width, bound[qi], epsilon)
         qi, xi, partial = qi[keep], xi[keep], partial[keep]
     return qi, xi, partial
 
 
-def _first(q: np.ndarray, x: np.ndarray, bound: np.ndarray):
+def _first(q: np.ndarray, x: np.ndarray, bound: np.ndarray, epsilon: float | None):
     seen = min(COLUMNS, q.shape[1])
     a, b = q[:, :seen], x[:, :seen]
     partial = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
-    qi, xi = np.nonzero(_passes(partial, seen, q.shape[1], bound[:, None]))
+    qi, xi = np.nonzero(_passes(partial - 1e-12, seen, q.shape[1], bound[:, None], epsilon))
     return qi, xi, partial[qi, xi], seen
 
 
-def scan_range(q: np.ndarray, x: np.ndarray, least: float):
+def scan_range(q: np.ndarray, x: np.ndarray, least: float, epsilon: float | None = EPSILON):
     """Pairs (row of q, row of x, cosine) with a cosine of at least ``least``."""
     bound = np.full(len(q), 2 - 2 * least + 1e-9)
-    qi, xi, *rest = _first(q, x, bound)
-    qi, xi, _ = _finish(q, x, qi, xi, *rest, bound)
+    qi, xi, *rest = _first(q, x, bound, epsilon)
+    qi, xi, _ = _finish(q, x, qi, xi, *rest, bound, epsilon)
     cosine = np.einsum("ij,ij->i", q[qi], x[xi])
     keep = cosine >= least
     return qi[keep], xi[keep], cosine[keep]
 
 
-def scan_nearest(q: np.ndarray, x: np.ndarray, k: int, chunk: int = 256):
+def scan_nearest(q: np.ndarray, x: np.ndarray, k: int, epsilon: float | None = EPSILON, chunk: int = 256):
     """The k nearest rows of x for each row of q; the bound of a query is its k-th distance so far."""
     bound = np.full(len(q), np.inf)
     best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     for at in range(0, len(x), chunk):
         part = x[at : at + chunk]
-        qi, xi, *rest = _first(q, part, bound)
-        qi, xi, far = _finish(q, part, qi, xi, *rest, bound)
+        qi, xi, *rest = _first(q, part, bound, epsilon)
+        qi, xi, far = _finish(q, part, qi, xi, *rest, bound, epsilon)
         qi, xi, far = np.concatenate([best[0], qi]), np.concatenate([best[1], xi + at]), np.concatenate([best[2], far])
         order = np.lexsort((xi, far, qi))
         qi, xi, far = qi[order], xi[order], far[order]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi)
         best = [a[place < k] for a in (qi, xi, far)]
         full = place == k - 1
-        bound[qi[full]] = far[full]
+        bound[qi[full]] = far[full] + 1e-12
     return best[0], best[1], np.einsum("ij,ij->i", q[best[0]], x[best[1]])
 
 
+def _rows(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=np.float64).reshape(len(blobs), -1)
+
+
+def _angles(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows @ centroids.T, -1, 1))
+
+
 def usable_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, provider_id, width, vector, h1, h2) of the usable rows, one per ``vec_id``.
 
@@ -124,110 +142,204 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     return one.select("vec_id", "_v.provider_id", F.size("_v.vector").alias("width"), "_v.vector", F.xxhash64("_v.vector").alias("h1"), F.xxhash64(F.lit(17), "_v.vector").alias("h2"))
 
 
+_PLACED = "provider_id string, width int, list int, sub int, rep long, angle double, lists array<int>, v binary"
+_GROUP = ["provider_id", "width"]
+
+
 class VectorIndex:
     """Lists over the distinct vectors of each (provider, width); see the module's text.
 
-    Vectors count as copies when two 64-bit hashes of their elements agree. Groups
-    of provider and width must be few, as each has centroids on the driver.
-    ``probes`` lists are searched for the bound of ``nearest``.
+    Vectors count as copies when two 64-bit hashes of their elements agree. Of a
+    provider and width with at most ``LIST_ROWS`` vectors there is one list and
+    nothing on the driver; a larger one has its top centroids there.
+    ``probes`` lists are searched for the bound of ``nearest``. ``epsilon`` is how far
+    the test for abandoning a candidate is widened; None abandons only what
+    cannot be near enough, so nothing is missed.
     """
 
-    def __init__(self, vectors: DataFrame, probes: int = 12):
+    def __init__(self, vectors: DataFrame, probes: int = 12, epsilon: float | None = EPSILON):
         spark = vectors.sparkSession
+        self.epsilon = epsilon
         self.members = materialize(usable_vectors(vectors), "vectors")
-        same = ["provider_id", "width", "h1", "h2"]
+        same = [*_GROUP, "h1", "h2"]
         reps = self.members.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.min_by("vector", "vec_id").alias("vector"))
         self.classes = self.members.select(*same, "vec_id").join(reps.select(*same, "rep"), same).select("rep", "vec_id")
-        counts = {(r.provider_id, r.width): r["count"] for r in reps.groupBy("provider_id", "width").count().collect()}
+        counts = {(r.provider_id, r.width): r["count"] for r in reps.groupBy(*_GROUP).count().filter(F.col("count") > LIST_ROWS).collect()}
         shares = spark.createDataFrame([(p, w, min(1 << 20, int(SAMPLE / n * (1 << 20)) + 1)) for (p, w), n in counts.items()], "provider_id string, width int, share long")
         sample: dict[tuple, list] = {}
-        for r in reps.join(F.broadcast(shares), ["provider_id", "width"]).filter("pmod(h1, 1048576) < share").select("provider_id", "width", "h1", "vector").collect():
+        for r in reps.join(F.broadcast(shares), _GROUP).filter("pmod(h1, 1048576) < share").select(*_GROUP, "h1", "vector").collect():
             sample.setdefault((r.provider_id, r.width), []).append((r.h1, r.vector))
         centroids = {}
         for (p, w), n in counts.items():
             own = [v for _, v in sorted(sample.get((p, w), []))] or [[1.0] + [0.0] * (w - 1)]
-            lists = min(MOST_LISTS, -(-n // LIST_ROWS), max(1, len(own) // 8))
+            lists = min(TOP_LISTS, -(-n // LIST_ROWS), max(1, len(own) // 8))
             centroids[p, w] = fit_centroids(unit(np.array(own)) @ rotation(w), lists)
         shared = spark.sparkContext.broadcast(centroids)
 
         def assign(batches):
             for b in batches:
-                for (p, w), own in b.groupby(["provider_id", "width"], sort=False):
+                for (p, w), own in b.groupby(_GROUP, sort=False):
                     turned = unit(np.array(own["vector"].tolist(), dtype=np.float64)) @ rotation(int(w))
-                    near = turned @ shared.value[p, int(w)].T
+                    known = shared.value.get((p, int(w)))
+                    near = np.ones((len(own), 1)) if known is None else turned @ known.T
                     lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                    angle = np.arccos(np.clip(near.max(axis=1), -1, 1))
-                    yield pd.DataFrame({"provider_id": p, "width": int(w), "rep": own["rep"].to_numpy(), "home": lists[:, 0], "angle": angle, "lists": list(lists), "v": [row.tobytes() for row in turned]})
+                    yield pd.DataFrame({"provider_id": p, "width": int(w), "list": lists[:, 0], "sub": 0, "rep": own["rep"].to_numpy(), "angle": np.arccos(np.clip(near.max(axis=1), -1, 1)), "lists": list(lists), "v": [row.tobytes() for row in turned]})
 
-        self.placed = materialize(reps.select("provider_id", "width", "rep", "vector").mapInPandas(assign, "provider_id string, width int, rep long, home int, angle double, lists array<int>, v binary"), "placed")
+        top = materialize(reps.select(*_GROUP, "rep", "vector").mapInPandas(assign, _PLACED), "placed")
         radii = {k: np.full(len(c), -np.inf) for k, c in centroids.items()}  # a list without members holds nothing
-        for r in self.placed.groupBy("provider_id", "width", "home").agg(F.max("angle").alias("radius")).collect():
-            radii[r.provider_id, r.width][r.home] = r.radius
-        self.bounds = spark.sparkContext.broadcast({k: (c, radii[k]) for k, c in centroids.items()})
+        cut = []
+        for r in top.groupBy(*_GROUP, "list").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # at most TOP_LISTS for each of ``counts``
+            if (r.provider_id, r.width) in radii:
+                radii[r.provider_id, r.width][r.list] = r.radius
+                if r.n > CUT_ROWS:
+                    cut.append((r.provider_id, r.width, r.list, -(-r.n // BLOCK_ROWS), min(-(-r.n // LIST_ROWS), CUT_SAMPLE // 8), min(1 << 20, int(CUT_SAMPLE / r.n * (1 << 20)) + 1)))
+        self.bounds = spark.sparkContext.broadcast((centroids, radii, {c[:3] for c in cut}))
+        self.placed, self.subs = (self._cut(top, cut) if cut else (top, None))
+
+    def _cut(self, top: DataFrame, cut: list[tuple]) -> tuple[DataFrame, DataFrame]:
+        """The rows with the lists within their list, and (provider_id, width, list, sub, radius, c) of those."""
+        key = [*_GROUP, "list"]
+        chosen = lambda: F.broadcast(top.sparkSession.createDataFrame(cut, "provider_id string, width int, list int, blocks long, lists_in int, share long"))
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("rep")
+            made = fit_centroids(_rows(rows["v"].tolist()), int(rows["lists_in"].iloc[0]))
+            p, w, at = (rows[c].iloc[0] for c in key)
+            return pd.DataFrame({"provider_id": p, "width": w, "list": at, "sub": range(len(made)), "c": [x.tobytes() for x in made]})
+
+        def place(_: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame({c: [] for c in names})
+            angles = _angles(_rows(rows["v"].tolist()), _rows(own.sort_values("sub")["c"].tolist()))
+            return rows.assign(sub=angles.argmin(axis=1).astype(np.int32), angle=angles.min(axis=1))[names]
+
+        names = [x.split()[0] for x in _PLACED.split(", ")]
+        crowded = top.join(chosen(), key)
+        made = materialize(crowded.filter("pmod(xxhash64(rep, 5), 1048576) < share").groupBy(*key).applyInPandas(fit, "provider_id string, width int, list int, sub int, c binary"), "cut-lists")
+        rows = crowded.withColumn("blk", F.expr("pmod(xxhash64(rep), blocks)"))
+        copies = made.join(chosen(), key).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        inner = rows.groupBy(*key, "blk").cogroup(copies.groupBy(*key, "blk")).applyInPandas(place, _PLACED)
+        placed = materialize(top.join(chosen(), key, "left_anti").select(*names).unionByName(inner), "placed")
+        radius = placed.join(chosen(), key, "left_semi").groupBy(*key, "sub").agg(F.max("angle").alias("radius"))
+        return placed, materialize(made.join(radius, [*key, "sub"]), "cut-lists")
 
     def _reaching(self, queries: DataFrame, forward: bool) -> DataFrame:
-        """``queries`` with the lists that can hold a vector within ``reach`` (an angle) of them.
+        """A row for each of ``queries`` and list that can hold a vector within ``reach`` (an angle) of it.
 
-        ``forward`` leaves out the lists before the own one, whose members find the pair;
-        otherwise those in ``lists`` are left out, as they are searched already.
+        ``forward`` leaves out the lists before the own one, whose members find the
+        pair; otherwise those ``_probed`` are left out, as they are searched already.
         """
-        shared = self.bounds
+        shared, names = self.bounds, [*_GROUP, "list", "sub", "rep", "v", "reach", "own", "own_sub"]
 
         def reach(batches):
             for b in batches:
-                for (p, w), own in b.groupby(["provider_id", "width"], sort=False):
-                    centroids, radii = shared.value[p, int(w)]
-                    turned = np.frombuffer(b"".join(own["v"]), dtype=np.float64).reshape(len(own), -1)
-                    near = np.arccos(np.clip(turned @ centroids.T, -1, 1)) <= radii + own["reach"].to_numpy()[:, None] + 1e-6
+                for (p, w), own in b.groupby(_GROUP, sort=False):
+                    known, radii, cut = shared.value
+                    group = (p, int(w))
+                    near = np.ones((len(own), 1), dtype=bool)
+                    if group in known:
+                        near = _angles(_rows(own["v"].tolist()), known[group]) <= radii[group] + own["reach"].to_numpy()[:, None] + 1e-6
+                    whole = np.array([(*group, x) not in cut for x in range(near.shape[1])])
                     if forward:
-                        near &= np.arange(len(centroids)) >= own["home"].to_numpy()[:, None]
+                        near &= np.arange(near.shape[1]) >= own["list"].to_numpy()[:, None]
                     else:
-                        np.put_along_axis(near, np.stack(own["lists"].to_list()), False, axis=1)
-                    yield pd.DataFrame({"provider_id": p, "width": int(w), "rep": own["rep"].to_numpy(), "lists": [np.flatnonzero(x) for x in near], "v": own["v"].to_numpy()})
-
-        return queries.select("provider_id", "width", "rep", "home", "lists", "reach", "v").mapInPandas(reach, "provider_id string, width int, rep long, lists array<int>, v binary")
+                        probed = np.zeros_like(near)
+                        np.put_along_axis(probed, np.stack(own["lists"].to_list()), True, axis=1)
+                        near &= ~(probed & whole[None, :])
+                    at, found = np.nonzero(near)
+                    rows = own.iloc[at]
+                    yield pd.DataFrame({"provider_id": p, "width": int(w), "list": found, "sub": np.where(whole[found], 0, -1), "rep": rows["rep"].to_numpy(), "v": rows["v"].to_numpy(), "reach": rows["reach"].to_numpy(), "own": rows["list"].to_numpy(), "own_sub": rows["sub"].to_numpy()})
+
+        def within(_: tuple, rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(lists):
+                return pd.DataFrame({c: [] for c in names})
+            lists = lists.sort_values("sub")
+            near = _angles(_rows(rows["v"].tolist()), _rows(lists["c"].tolist())) <= lists["radius"].to_numpy() + rows["reach"].to_numpy()[:, None] + 1e-6
+            mine = rows["own"].to_numpy() == rows["list"].to_numpy()
+            sub, own = lists["sub"].to_numpy()[None, :], rows["own_sub"].to_numpy()[:, None]
+            near &= ~mine[:, None] | ((sub >= own) if forward else (sub != own))
+            at, found = np.nonzero(near)
+            return rows.iloc[at].assign(sub=lists["sub"].to_numpy()[found])[names]
+
+        schema = "provider_id string, width int, list int, sub int, rep long, v binary, reach double, own int, own_sub int"
+        rows = queries.select(*_GROUP, "list", "sub", "rep", "lists", "reach", "v").mapInPandas(reach, schema)
+        if self.subs is None:
+            return rows
+        rows, key = materialize(rows, "reached"), [*_GROUP, "list"]
+        crowded = rows.filter("sub < 0")
+        counted = [tuple(r) for r in crowded.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("chunks")).collect()]  # at most TOP_LISTS a group
+        chunks = lambda: F.broadcast(rows.sparkSession.createDataFrame(counted, "provider_id string, width int, list int, chunks long"))
+        asked = crowded.join(chunks(), key).withColumn("blk", F.expr("pmod(xxhash64(rep, 2), chunks)"))
+        copies = self.subs.join(chunks(), key).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        inner = asked.groupBy(*key, "blk").cogroup(copies.groupBy(*key, "blk")).applyInPandas(within, schema)
+        return rows.filter("sub >= 0").unionByName(inner)
+
+    def _probed(self, queries: DataFrame) -> DataFrame:
+        """A row for each query and list that is searched first: its own, and the nearest that are not cut."""
+        shared = self.bounds
 
-    def _scan(self, queries: DataFrame, scan, schema: str) -> DataFrame:
-        """Run ``scan(query ids, queries, data ids, data)`` on every block pair of every probed list."""
-        key = ["provider_id", "width", "list"]
-        data = self.placed.select("provider_id", "width", F.col("home").alias("list"), "rep", "v")
-        asked = queries.select("provider_id", "width", F.explode("lists").alias("list"), "rep", "v")
+        def probe(batches):
+            for b in batches:
+                for (p, w), own in b.groupby(_GROUP, sort=False):
+                    cut = shared.value[2]
+                    pairs = [(i, x) for i, (at, lists) in enumerate(zip(own["list"], own["lists"])) for x in lists if x == at or (p, int(w), int(x)) not in cut]
+                    at, found = np.array([i for i, _ in pairs]), np.array([x for _, x in pairs])
+                    rows = own.iloc[at]
+                    yield pd.DataFrame({"provider_id": p, "width": int(w), "list": found, "sub": np.where(found == rows["list"].to_numpy(), rows["sub"].to_numpy(), 0), "rep": rows["rep"].to_numpy(), "v": rows["v"].to_numpy()})
+
+        return queries.select(*_GROUP, "list", "sub", "rep", "lists", "v").mapInPandas(probe, "provider_id string, width int, list int, sub int, rep long, v binary")
+
+    def _scan(self, asked: DataFrame, scan, schema: str) -> DataFrame:
+        """Run ``scan(query ids, queries, data ids, data)`` on every block pair of every list that is asked for."""
+        key = [*_GROUP, "list", "sub"]
+        data, asked = self.placed.select(*key, "rep", "v"), asked.select(*key, "rep", "v")
         blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias(name))
-        plan = materialize(blocks(data, "nd").join(blocks(asked, "nq"), key), "list-blocks")  # a row per list, at most MOST_LISTS a group
-        data = data.join(F.broadcast(plan), key).select(*key, F.expr("pmod(xxhash64(rep), nd)").alias("db"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"), F.lit(False).alias("asks"), "rep", "v")
-        asked = asked.join(F.broadcast(plan), key).select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nd") - 1)).alias("db"), F.expr("pmod(xxhash64(rep, 1), nq)").alias("qb"), F.lit(True).alias("asks"), "rep", "v")
+        plan = materialize(blocks(data, "nd").join(blocks(asked, "nq"), key), "list-blocks")  # a row per list: all rows / LIST_ROWS
+        data = data.join(plan, key).select(*key, F.expr("pmod(xxhash64(rep), nd)").alias("db"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"), F.lit(False).alias("asks"), "rep", "v")
+        asked = asked.join(plan, key).select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nd") - 1)).alias("db"), F.expr("pmod(xxhash64(rep, 1), nq)").alias("qb"), F.lit(True).alias("asks"), "rep", "v")
 
         def group(rows: pd.DataFrame) -> pd.DataFrame:
             sides = []
             for asks in (True, False):
                 own = rows[rows["asks"] == asks].sort_values("rep")
-                sides += [own["rep"].to_numpy(), np.frombuffer(b"".join(own["v"]), dtype=np.float64).reshape(len(own), -1)]
-            names = [x.split()[0] for x in schema.split(",")]
-            if not len(sides[0]) or not len(sides[2]):
+                sides += [own["rep"].to_numpy(), _rows(own["v"].tolist()) if len(own) else None]
+            names = [x.split()[0] for x in schema.split(", ")]
+            if sides[1] is None or sides[3] is None:
                 return pd.DataFrame({n: [] for n in names})
             return pd.DataFrame(dict(zip(names, scan(*sides))))
 
         return data.unionByName(asked).groupBy(*key, "db", "qb").applyInPandas(group, schema)
 
-    def similar_pairs(self, least: float = 0.9) -> DataFrame:
-        """(vec_id_a, vec_id_b, cosine) of all pairs with at least ``least``, the smaller id first.
-
-        All lists that can hold such a vector are searched; exact copies have cosine 1.
-        """
+    def links(self, least: float = 0.9) -> DataFrame:
+        """(rep_a, rep_b, cosine): pairs of classes of copies with at least ``least``; the smallest id of a class stands for it."""
+        epsilon = self.epsilon
 
         def scan(qn, q, xn, x):
-            a, b, cosine = scan_range(q, x, least)
+            a, b, cosine = scan_range(q, x, least, epsilon)
             a, b = qn[a], xn[b]
             keep = a != b
             return np.minimum(a, b)[keep], np.maximum(a, b)[keep], cosine[keep]
 
         reach = float(np.arccos(np.clip(least, -1, 1)))
-        found = self._scan(self._reaching(self.placed.withColumn("reach", F.lit(reach)), True), scan, "ra long, rb long, cosine double").groupBy("ra", "rb").agg(F.max("cosine").alias("cosine"))
+        found = self._scan(self._reaching(self.placed.withColumn("reach", F.lit(reach)), True), scan, "rep_a long, rep_b long, cosine double")
+        return found.groupBy("rep_a", "rep_b").agg(F.max("cosine").alias("cosine"))
+
+    def similar_pairs(self, least: float = 0.9) -> DataFrame:
+        """(vec_id_a, vec_id_b, cosine) of all pairs with at least ``least``, the smaller id first.
+
+        All lists that can hold such a vector are searched; exact copies have cosine 1.
+        ``links`` and ``classes`` say the same without a row for each pair of copies.
+        """
         classes = materialize(self.classes, "classes")
-        a, b = (classes.select(F.col("rep").alias(f"r{x}"), F.col("vec_id").alias(f"i{x}")) for x in "ab")
-        across = found.join(a, "ra").join(b, "rb").select("ia", "ib", "cosine")
-        within = a.join(b, F.col("ra") == F.col("rb")).filter("ia < ib").select("ia", "ib", F.lit(1.0).alias("cosine"))
-        return across.unionByName(within).select(F.least("ia", "ib").alias("vec_id_a"), F.greatest("ia", "ib").alias("vec_id_b"), "cosine")
+        found = self.links(least)
+        hot = hot_keys(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")), ["rep"], "_n")
+        for x in "ab":
+            members = classes.select(F.col("rep").alias(f"rep_{x}"), F.col("vec_id").alias(f"i{x}"))
+            found = salted_join(members, found, [f"rep_{x}"], hot.withColumnRenamed("rep", f"rep_{x}"), [f"i{x}"])
+        a, b = (classes.select("rep", F.col("vec_id").alias(f"i{x}")) for x in "ab")
+        within = salted_join(a, b, ["rep"], hot, ["ia"]).filter("ia < ib").select("ia", "ib", F.lit(1.0).alias("cosine"))
+        both = found.select("ia", "ib", "cosine").unionByName(within)
+        return both.select(F.least("ia", "ib").alias("vec_id_a"), F.greatest("ia", "ib").alias("vec_id_b"), "cosine")
 
     def nearest(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(vec_id, neighbour, cosine, place): the k most similar other vectors for each ``vec_id`` of ``queries``.
@@ -236,16 +348,17 @@ class VectorIndex:
         other lists are searched that can hold a nearer vector. Ties go to the smaller
         id. Ids that are unknown or not usable have no rows.
         """
+        epsilon = self.epsilon
         classes = materialize(self.classes, "classes")
         asked = classes.join(queries.select("vec_id").distinct(), "vec_id")
         reps = self.placed.join(asked.select("rep").distinct(), "rep", "left_semi")
 
         def scan(qn, q, xn, x):
-            a, b, cosine = scan_nearest(q, x, k + 1)
+            a, b, cosine = scan_nearest(q, x, k + 1, epsilon)
             return qn[a], xn[b], cosine
 
         kind = "rep long, other long, cosine double"
-        first = materialize(self._scan(reps, scan, kind), "first")
+        first = materialize(self._scan(self._probed(reps), scan, kind), "first")
         last = first.groupBy("rep").agg(F.sort_array(F.collect_list("cosine"), False).alias("_c")).select("rep", F.get("_c", F.lit(k)).alias("_c"))
         reach = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.coalesce("_c", F.lit(-1.0)))))
         rest = materialize(self._reaching(reps.join(last, "rep", "left").withColumn("reach", reach), False), "rest")

@@ -74,6 +74,20 @@ def p5_nearest(spark, sf):
     return VectorIndex(vectors, probes=12).nearest(vectors.filter("vec_id % 20 = 0"), 10)
 
 
+def p5_exact(spark, sf):
+    """The same without abandoning what may still be near."""
+    vectors = table(spark, sf, "note_vectors")
+    return VectorIndex(vectors, epsilon=None).nearest(vectors.filter("vec_id % 20 = 0"), 10).withColumn("cosine", F.round("cosine", 6))
+
+
+def p5_links(spark, sf):
+    return VectorIndex(table(spark, sf, "note_vectors"), epsilon=None).links(0.9).select("rep_a", "rep_b", F.round("cosine", 6).alias("cosine"))
+
+
+def p5_classes(spark, sf):
+    return VectorIndex(table(spark, sf, "note_vectors")).classes
+
+
 def p7_found(spark, sf):
     return marked_values(current_records(table(spark, sf, "lexical_docs"))).filter("mark is not null").select("field", "value", "mark")
 
@@ -135,6 +149,9 @@ k AS (SELECT query_id, path,
  CASE WHEN lexical_score IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY lexical_score DESC NULLS LAST) END AS lexical_score_rank,
  CASE WHEN semantic_score IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY semantic_score DESC NULLS LAST) END AS semantic_score_rank,
  CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST) END AS score_rank FROM c)"""
+_UNITS = """WITH u AS (SELECT vec_id, max({'p': provider_id, 'v': vector}) AS s FROM note_vectors WHERE provider_id IS NOT NULL AND len(vector) > 0
+AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+w AS (SELECT vec_id, s.p AS p, s.v AS v, sqrt(list_inner_product(s.v, s.v)) AS n FROM u)"""
 _SIZES = r"""s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'))::BIGINT AS size FROM documents)"""
 
 
@@ -144,10 +161,12 @@ def oracle_sql():
         "p1_ranking": _RANKS + """, f AS (SELECT *, coalesce(1.0::DOUBLE / (60.0::DOUBLE + lexical_score_rank), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + semantic_score_rank), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + score_rank), 0) AS fused FROM k)
  SELECT query_id, path, lexical_score_rank, semantic_score_rank, score_rank, round(fused, 9) AS fused, rank() OVER (PARTITION BY query_id ORDER BY fused DESC) AS position FROM f""",
         "p4_found": f"WITH {_RECORDS}, {_TERMS}, d AS (SELECT term, count(*) AS df FROM t GROUP BY term) SELECT path, term FROM t JOIN d USING (term) WHERE df BETWEEN 2 AND 10 AND token_count > 0 AND tf * 20 >= token_count",
-        "p5_found": """WITH u AS (SELECT vec_id, max({'p': provider_id, 'v': vector}) AS s FROM note_vectors WHERE provider_id IS NOT NULL AND len(vector) > 0
-AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY vec_id),
-w AS (SELECT vec_id, s.p AS p, s.v AS v, sqrt(list_inner_product(s.v, s.v)) AS n FROM u)
-SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM w a JOIN w b ON a.p = b.p AND len(a.v) = len(b.v) AND a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) >= 0.9 * a.n * b.n""",
+        "p5_found": _UNITS + " SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM w a JOIN w b ON a.p = b.p AND len(a.v) = len(b.v) AND a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) >= 0.9 * a.n * b.n",
+        "p5_exact": _UNITS + """, s AS (SELECT a.vec_id, b.vec_id AS neighbour, CASE WHEN a.v = b.v THEN 1 ELSE list_inner_product(a.v, b.v) / a.n / b.n END AS cosine FROM w a JOIN w b ON a.p = b.p AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(cosine, 12) DESC, neighbour) AS place FROM s) SELECT vec_id, neighbour, round(cosine, 6) AS cosine, place::INT AS place FROM t WHERE place <= 10""",
+        "p5_links": _UNITS + """, c AS (SELECT p, v, any_value(n) AS n, min(vec_id) AS rep FROM w GROUP BY p, v) SELECT least(a.rep, b.rep) AS rep_a, greatest(a.rep, b.rep) AS rep_b, round(list_inner_product(a.v, b.v) / a.n / b.n, 6) AS cosine
+FROM c a JOIN c b ON a.p = b.p AND len(a.v) = len(b.v) AND a.rep < b.rep WHERE list_inner_product(a.v, b.v) >= 0.9 * a.n * b.n""",
+        "p5_classes": _UNITS + " SELECT min(vec_id) OVER (PARTITION BY p, v) AS rep, vec_id FROM w",
         "p7_found": _VALUES + " SELECT field, value, mark FROM m WHERE mark IS NOT NULL",
         "p7_counts": _VALUES + " SELECT * FROM m",
         "p8_found": f"WITH {_SIZES} SELECT DISTINCT limit_name, doc_id FROM s, pack_limits WHERE size > capacity",

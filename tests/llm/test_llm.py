@@ -344,6 +344,40 @@ def test_no_list_that_can_hold_a_neighbour_is_left_out(spark):
     assert len(near) == 5 * 200 and all(r.cosine == pytest.approx(np.sort(exact[r.vec_id])[-r.place]) for r in near)
 
 
+def test_crowded_lists_are_cut(spark, monkeypatch):
+    from lodeseek.llm import neighbours
+
+    for name, value in (("LIST_ROWS", 30), ("CUT_ROWS", 60), ("TOP_LISTS", 3), ("BLOCK_ROWS", 40), ("SAMPLE", 400), ("CUT_SAMPLE", 400)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(15, 16))
+    v = unit(np.concatenate([centers[rng.integers(0, 15, 800)] + rng.normal(size=(800, 16)) * 0.25, rng.normal(size=(20, 16))]))
+    df = spark.createDataFrame([(i, "p", "one" if i < 800 else "few", 1, 1, r.tolist()) for i, r in enumerate(v)], VECTORS)
+    exact = np.where((np.arange(820) < 800)[:, None] == (np.arange(820) < 800)[None, :], v @ v.T, -9)
+    index = VectorIndex(df, 2, epsilon=None)
+    assert index.subs is not None and index.subs.count() > 10 and index.placed.count() == 820
+    got = index.similar_pairs(0.9).select("vec_id_a", "vec_id_b").toPandas()
+    want = set(zip(*map(lambda x: x.tolist(), np.nonzero(np.triu(exact >= 0.9, 1)))))
+    assert set(map(tuple, got.to_numpy().tolist())) == want and len(got) == len(want) > 1000
+    near = index.nearest(df.filter("vec_id % 20 = 1"), 5).collect()
+    np.fill_diagonal(exact, -9)
+    assert len(near) == 5 * 41 and all(r.cosine == pytest.approx(np.sort(exact[r.vec_id])[-r.place]) for r in near)
+
+
+def test_recall_with_few_of_many_lists(spark, monkeypatch):
+    from lodeseek.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 20)
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(60, 64))
+    v = unit(centers[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 64)) * 0.6)
+    df = spark.createDataFrame([(i, "p", "one", 1, 1, r.tolist()) for i, r in enumerate(v)], VECTORS)
+    exact = v @ v.T
+    np.fill_diagonal(exact, -9)
+    near = VectorIndex(df, 3).nearest(df.filter("vec_id % 20 = 0"), 10).collect()
+    assert sum(r.cosine >= np.sort(exact[r.vec_id])[-10] - 1e-9 for r in near) >= 0.95 * 150 * 10
+
+
 # ---------------------------------------------------------------- packing and mixing
 
 
