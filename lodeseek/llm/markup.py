@@ -10,6 +10,11 @@ closes it, and the lines between are kept without residue of markup. Residue is
 line of signs of markup only, unless it is a row of a table or an item, or stands so
 in the source and is no markup there.
 
+Of a page's text, what HTML marks as a link, or as navigation, footer or aside,
+has no length. The first surge of what is left is where the page's own text begins, its
+last dive where that ends. Before and after, navigation, footers and asides are left out,
+and so is a window of lines that are links only. A document without such marks loses nothing.
+
 Signs of markup in other widths, blanks of other widths and invisible characters
 among them are recognised on a folded copy. The copy carries for each character
 what it stands for, so the clean text has the characters of the original.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -33,6 +39,11 @@ KINDS = ("html", "markdown", "wiki", "latex")
 WINDOW = 3
 # Marks of headings and items that other markup has made, so that they are not taken for Markdown, and of cells.
 HEAD, ITEM, CELL = "\x03", "\x04", "\x05"
+# Marks around links, and around navigation, footers and asides.
+LINK, LINKED, SIDE, SIDED = "\x06", "\x07", "\x0e", "\x0f"
+_SIDES = ("nav", "footer", "aside")
+_ASIDE = re.compile(rf"[{LINK}{LINKED}{SIDE}{SIDED}]")
+_FURNISHED = re.compile(r"<(?:a|nav|footer|aside)\b", re.I)
 # A line of nothing but these may be residue.
 _SIGNS = re.compile(r"[\s|{}\[\]()<>=*_~`#^&;:!\\$/+-]+")
 # A line that is markup even where it stands so in the source: rules, bullets, delimiters, openers and closers left alone.
@@ -65,7 +76,7 @@ _CODE = re.compile(
     r"^(?P<fence>[ ]{0,3}(?P<mark>`{3,}|~{3,})[^\n`]*)$|(?P<pre><(?P<el>pre|code|script|style|textarea)\b[^<>]*>)|(?P<verb>\\begin\{(?P<env>verbatim\*?|lstlisting|minted|Verbatim)\})|(?P<wiki><(?P<wel>nowiki|source|syntaxhighlight)\b[^<>]*>)|(?P<rem><!--)",
     _BOTH,
 )
-_MATH_ENV = re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(.*?)\\end\{\1\}", re.S)
+_MATH_MARK = re.compile(r"\\(begin|end)\{((?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}")
 _MATH = re.compile(r"\$\$(?!\$)([^$]+)\$\$|\\\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*?)\\\]|\\\(((?:[^\\\n]|\\[^()])*)\\\)|(?<![\w\\$])\$(?![\s$])([^$\n]*?[^\s\\$])\$(?![\w$])", re.S)
 _MATHEMATICAL = re.compile(r"[\\^_=<>+{}]|^[A-Za-z](?:\([A-Za-z]\)|'{1,2})?$|^[A-Za-z] ?[-*/] ?[A-Za-z0-9]$")
 _FRONT = re.compile(r"\A\s*---[ \t]*\n(?:.*\n)*?(?:---|\.\.\.)[ \t]*(?:\n|\Z)")
@@ -272,6 +283,25 @@ def _set_aside_code(text: str) -> tuple[str, list[str], set[str]]:
     return join("", out), kept, kinds
 
 
+def _environments(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, start and end of the body, end) of the formula environments, each up to the first end of its name."""
+    marks = list(_MATH_MARK.finditer(text))
+    ends: dict[str, deque] = {}
+    for m in marks:
+        if m[1] == "end":
+            ends.setdefault(m[2], deque()).append(m)
+    at = 0
+    for m in marks:
+        own = ends.get(m[2])
+        if m[1] == "end" or not own or m.start() < at:
+            continue
+        while own and own[0].start() < m.end():
+            own.popleft()
+        if own:
+            yield m.start(), m.end(), own[0].start(), own[0].end()
+            at = own[0].end()
+
+
 def _set_aside_math(text: str, kept: list[str], kinds: set[str]) -> str:
     def keep(formula: str, block: bool) -> str:
         kinds.add("latex")
@@ -285,11 +315,16 @@ def _set_aside_math(text: str, kept: list[str], kinds: set[str]) -> str:
                 return keep(m[group], block)
         return keep(m[4], False) if _MATHEMATICAL.search(m[4]) else m[0]
 
-    text = sub(_MATH_ENV, lambda m: keep(m[2], True), text) if r"\begin{" in text else text
+    if r"\begin{" in text:
+        parts, at = [], 0
+        for start, first, last, end in _environments(text):
+            parts += [text[at:start], keep(text[first:last], True)]
+            at = end
+        text = join("", [*parts, text[at:]]) if parts else text
     return sub(_MATH, formula, text) if "$" in text or "\\" in text else text
 
 
-def _html(text: str, kinds: set[str]) -> str:
+def _html(text: str, kinds: set[str], marked: bool = False) -> str:
     if not ("<" in text or "&" in text):
         return text
 
@@ -297,13 +332,17 @@ def _html(text: str, kinds: set[str]) -> str:
         kinds.add("html")
         name = re.match(r"</?!?([a-z0-9]+)", m[0], re.I)[1].lower()
         ends = m[0][1] == "/"
+        if marked and name == "a":
+            return LINKED if ends else LINK
+        if marked and name in _SIDES:
+            return "\n" + SIDED if ends else "\n" + SIDE
         if re.fullmatch(r"h[1-6]", name):
             return "\n" if ends else "\n" + HEAD * int(name[1]) + " "
         if name == "li":
             return "" if ends else f"\n{ITEM} "
         if name in ("td", "th"):
             return "" if ends else f" |{CELL} "
-        if name in ("br", "p", "div", "tr", "table", "ul", "ol", "section", "article", "blockquote", "hr", "header", "footer", "main", "nav", "aside", "dl", "dt", "dd", "pre"):
+        if name in ("br", "p", "div", "tr", "table", "ul", "ol", "section", "article", "blockquote", "hr", "header", "main", *_SIDES, "dl", "dt", "dd", "pre"):
             return "\n"
         return ""
 
@@ -475,11 +514,57 @@ def line_blocks(lines: list[str], window: int = WINDOW, given: set[str] = frozen
     return kept
 
 
+def _own_lines(lines: list[str], window: int = WINDOW) -> list[str]:
+    """The lines without marks of links and sides, and without furniture before the first and after the last text that is in neither.
+
+    Furniture is what stands in a side, and a window of lines that are links only.
+    """
+    inside, outside, linked, sided = [], [], 0, 0
+    for line in lines:
+        own, in_side = 0, sided > 0
+        for ch in line:
+            if ch in (LINK, LINKED):
+                linked = max(0, linked + (1 if ch == LINK else -1))
+            elif ch in (SIDE, SIDED):
+                sided = max(0, sided + (1 if ch == SIDE else -1))
+                in_side = in_side or sided > 0
+            elif not linked and not sided and ch.isalnum():
+                own += 1
+        outside.append(own)
+        inside.append(in_side)
+    plain = [sub(_ASIDE, lambda m: "", x) for x in lines]
+    texts = [i for i, n in enumerate(outside) if n]
+    if not texts:
+        return plain
+    full = [any(map(str.isalnum, x)) for x in plain]
+    run, drop = [], set()
+    for i in [*range(len(lines)), len(lines)]:
+        if i < len(lines) and (i < texts[0] or i > texts[-1]) and not outside[i]:
+            if inside[i]:
+                drop.add(i)
+            elif full[i]:
+                run.append(i)
+        elif run:
+            drop.update(run if len(run) >= window else ())
+            run = []
+    return [x for i, x in enumerate(plain) if i not in drop]
+
+
 def analyse(content: str | None) -> tuple[list[str], str | None]:
     """The kinds of markup in ``content`` and its clean text."""
     if not content:
         return [], content
-    folded = fold(content.replace("\r\n", "\n").replace("\r", "\n").translate(dict.fromkeys(range(1, 6))))
+    folded = fold(content.replace("\r\n", "\n").replace("\r", "\n").translate(_MARKS))
+    kinds, clean = _analyse(folded, False)
+    if "html" in kinds and _FURNISHED.search(folded):  # once more with marks, which may stand in the way of other signs
+        clean = _analyse(folded, True)[1]
+    return [k for k in KINDS if k in kinds], unfold(clean)
+
+
+_MARKS = dict.fromkeys([*range(1, 8), 14, 15])
+
+
+def _analyse(folded: str, marked: bool) -> tuple[set[str], str]:
     kinds: set[str] = set()
     front = _FRONT.match(folded)
     if front and _FRONT_KEY.search(front[0]):
@@ -488,20 +573,20 @@ def analyse(content: str | None) -> tuple[list[str], str | None]:
     text, kept, own = _set_aside_code(folded)
     kinds |= own
     text = _set_aside_math(text, kept, kinds)
-    text = _markdown(_latex(_wiki(_html(text, kinds), kinds), kinds), kinds)
+    text = _markdown(_latex(_wiki(_html(text, kinds, marked), kinds), kinds), kinds)
     text = sub(_REFERENCE, lambda m: html.unescape(m[0]), text) if "html" in kinds else text
     text = sub(_MADE, lambda m: "#" if m[0] == HEAD else "-", text)
     text = sub(_INLINE, lambda m: kept[int(m[1])], text)
-    lines = [sub(_BLANKS, lambda m: m[0] if m[0] == " " else " ", x).rstrip() if not x[:1].isspace() else x.rstrip() for x in text.split("\n")]
+    lines = _own_lines(text.split("\n")) if marked else text.split("\n")
+    lines = [sub(_BLANKS, lambda m: m[0] if m[0] == " " else " ", x).rstrip() if not x[:1].isspace() else x.rstrip() for x in lines]
     given: set[str] = set()
     if any(map(_SIGNS.fullmatch, lines)):
         own = {x for x in map(str.strip, str(folded).split("\n")) if _SIGNS.fullmatch(x) and not _TOKEN.fullmatch(x)}
         given = {x for x in own if not ("latex" in kinds and _BRACKETS.fullmatch(x))}  # closers of commands
-    marked = [sub(_BLOCK, lambda m: "\x01" + m[1] + "\x01block", x) for x in lines]
-    clean = sub(_GAP, lambda m: "\n\n", join("\n", line_blocks(marked, given=given))).strip()
+    marks = [sub(_BLOCK, lambda m: "\x01" + m[1] + "\x01block", x) for x in lines]
+    clean = sub(_GAP, lambda m: "\n\n", join("\n", line_blocks(marks, given=given))).strip()
     clean = sub(_CELL, lambda m: "", clean)
-    clean = sub(_BLOCK_LINE, lambda m: kept[int(m[1])], clean)
-    return [k for k in KINDS if k in kinds], unfold(clean)
+    return kinds, sub(_BLOCK_LINE, lambda m: kept[int(m[1])], clean)
 
 
 def clean_markup(documents: DataFrame, key: list[str], content: str = "content") -> DataFrame:

@@ -39,6 +39,30 @@ def p2_clean(spark, sf):
     return clean_markup(table(spark, sf, "notes"), ["note_id"])
 
 
+def _plain_notes(spark, sf):
+    """Notes that hold no sign of markup: letters, digits and usual punctuation, lines without blanks around them or doubled."""
+    whole = F.col("content").rlike(_PLAIN) & ~F.col("content").rlike(_UNEVEN)
+    return table(spark, sf, "notes").filter(whole)
+
+
+def p2_plain(spark, sf):
+    """What has no markup comes out as it is."""
+    return clean_markup(_plain_notes(spark, sf), ["note_id"]).select("note_id", F.size("kinds").cast("bigint").alias("kinds"), "clean_text")
+
+
+def p2_furniture(spark, sf):
+    """Plain notes inside a page with navigation, links and a footer: what is left is the note."""
+    page = F.concat(F.lit(_ABOVE), F.regexp_replace("content", "\n", "<br>\n"), F.lit(_BELOW))
+    pages = _plain_notes(spark, sf).withColumn("content", page)
+    return clean_markup(pages, ["note_id"]).select("note_id", F.regexp_replace("clean_text", r"\n+", "\n").alias("clean_text"))
+
+
+_PLAIN = r"^[\p{L}\p{N},;:.?! \n]*[\p{L}\p{N}][\p{L}\p{N},;:.?! \n]*$"
+_UNEVEN = r"(?m)[ ]{2}|^[ ]|[ ]$|^[0-9A-Za-z][.)]|^[0-9]+[.)]|\n\n\n|\n\z|\A\n"
+_ABOVE = '<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul> | Login</nav>\n<a href="/a">One</a><br>\n<a href="/b">Two</a><br>\n<a href="/c">Three</a>\n<p>'
+_BELOW = "</p>\n<footer>Copyright 2026 / <a href='/privacy'>Privacy</a> / Terms</footer></body></html>"
+
+
 def _note_fields(spark, sf):
     """(note_id, field, value): content and basename of each note; note ids are unique."""
     notes = table(spark, sf, "notes").select("note_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("content", "basename")])).alias("e"))
@@ -149,6 +173,7 @@ k AS (SELECT query_id, path,
  CASE WHEN lexical_score IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY lexical_score DESC NULLS LAST) END AS lexical_score_rank,
  CASE WHEN semantic_score IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY semantic_score DESC NULLS LAST) END AS semantic_score_rank,
  CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST) END AS score_rank FROM c)"""
+_PLAIN_SQL = f"regexp_matches(content, '{_PLAIN}') AND NOT regexp_matches(content, '{_UNEVEN}')"
 _UNITS = """WITH u AS (SELECT vec_id, max({'p': provider_id, 'v': vector}) AS s FROM note_vectors WHERE provider_id IS NOT NULL AND len(vector) > 0
 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY vec_id),
 w AS (SELECT vec_id, s.p AS p, s.v AS v, sqrt(list_inner_product(s.v, s.v)) AS n FROM u)"""
@@ -160,6 +185,8 @@ def oracle_sql():
         "p1_found": _RANKS + " SELECT query_id, path FROM k WHERE lexical_score_rank <= 5 AND semantic_score_rank <= 5 AND score_rank <= 5",
         "p1_ranking": _RANKS + """, f AS (SELECT *, coalesce(1.0::DOUBLE / (60.0::DOUBLE + lexical_score_rank), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + semantic_score_rank), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + score_rank), 0) AS fused FROM k)
  SELECT query_id, path, lexical_score_rank, semantic_score_rank, score_rank, round(fused, 9) AS fused, rank() OVER (PARTITION BY query_id ORDER BY fused DESC) AS position FROM f""",
+        "p2_plain": f"SELECT note_id, 0::BIGINT AS kinds, content AS clean_text FROM notes WHERE {_PLAIN_SQL}",
+        "p2_furniture": f"SELECT note_id, regexp_replace(content, '\\n+', chr(10), 'g') AS clean_text FROM notes WHERE {_PLAIN_SQL}",
         "p4_found": f"WITH {_RECORDS}, {_TERMS}, d AS (SELECT term, count(*) AS df FROM t GROUP BY term) SELECT path, term FROM t JOIN d USING (term) WHERE df BETWEEN 2 AND 10 AND token_count > 0 AND tf * 20 >= token_count",
         "p5_found": _UNITS + " SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM w a JOIN w b ON a.p = b.p AND len(a.v) = len(b.v) AND a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) >= 0.9 * a.n * b.n",
         "p5_exact": _UNITS + """, s AS (SELECT a.vec_id, b.vec_id AS neighbour, CASE WHEN a.v = b.v THEN 1 ELSE list_inner_product(a.v, b.v) / a.n / b.n END AS cosine FROM w a JOIN w b ON a.p = b.p AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -142,6 +144,31 @@ def test_formulas_and_commands_of_any_size():
     assert analyse("\\a[\\b[p]{q}]{z} \\emph{u {v} w} \\emph{t}")[1] == "z \\emph{u {v} w} t"
 
 
+def test_furniture_of_pages_goes():
+    page = "<nav><a href=/>Home</a> / About</nav>\n<h1>Title</h1>\n<p>Text with a <a href=x>link</a> in it.</p>\n<aside>see also</aside>\n<p>More.</p>\n<p><a href=y>Read on</a></p>\n<footer>Copyright / Terms</footer>"
+    assert analyse(page)[1] == "# Title\n\nText with a link in it.\n\nsee also\n\nMore.\n\nRead on"
+    assert analyse("<nav>Home</nav>") == (["html"], "Home") and analyse("<a href=x>One</a>\n<a href=y>Two</a>\n<a href=z>Three</a>")[1] == "One\nTwo\nThree"
+    assert analyse("Home / About / Login\nAn article of some length.\nCopyright / Terms")[1] == "Home / About / Login\nAn article of some length.\nCopyright / Terms"
+    assert analyse("<a href=x>- a</a>")[0] == ["html", "markdown"]
+
+
+@pytest.mark.parametrize("text", ["\\begin{equation}", "\\begin{align}x\\end{equation}", "\\a{", "\\a[", "{{a|", "{|\n", "<a x=y ", "[[a", "$a ", "*a ", "_a_b", "<!--", "\\(", "> ", "<nav><a href=x>"])
+def test_adversarial_texts_take_linear_time(text):
+    times = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        analyse(text * n)
+        times.append(time.process_time() - began)
+    assert times[1] < 8 * times[0] + 1.0
+
+
+def test_text_without_markup_comes_out_as_it_is(spark):
+    for r in spark.read.parquet(f"{SF.replace('0.001', '0.1')}/notes.parquet").select("content").dropna().collect():
+        kinds, clean = analyse(r.content)
+        if not kinds and not re.search(r"^\W+$", r.content, re.M):
+            assert "".join(clean.split()) == "".join(r.content.translate(dict.fromkeys([*range(1, 8), 14, 15])).split())
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (2, "# a", "k"), (None, "x" * 200_000 + " **y z**", "k")], "note_id bigint, content string, kinds string")
     got = {(r.note_id, tuple(r.kinds)) for r in clean_markup(df, ["note_id"]).collect()}
