@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
+from lodeseek.functions.display import PRESET_DAYS, modified_since
 from lodeseek.functions.vectors import cosine, unit
 from lodeseek.operators import evaluate, index as ix
-from lodeseek.operators.embeddings import query_scores, usable_cache
+from lodeseek.operators.embeddings import HashingProvider, pooled_chunks, query_scores, updated_cache, usable_cache
 from lodeseek.operators.incremental import replay_runs
+from lodeseek.operators.lifecycle import removed_everywhere
+from lodeseek.operators.maintenance import needs_body, refresh
 from lodeseek.operators.reconcile import live_embeddings, reconcile, replay, stale_embeddings
 from lodeseek.operators.wordpiece import windows
 from lodeseek.plans import compile as plan
 from lodeseek.plans.query import parse_query
 from lodeseek.plans.search import ORDERS, batch_search, candidates, facets, fused, greatest_score, search
-from lodeseek.runtime import materialize, table
+from lodeseek.runtime import fresh_dir, materialize, table
 from lodeseek.sources.generators import DRAFT, REVIEWED, ROUTINE, SPLIT, TOPICS, scale_notes
+from lodeseek.sources.store import IndexStore, Settings
+from lodeseek.streaming.changes import follow, read_changes
 
 NOW = 1_789_300_800_000
 IGNORED = ["Synced", "Old/2023"]
 SEARCH = 'oven stone "rye starter" -ferry'
 CONSTRAINED = 'tag:kitchen -path:synced +"oven stone" -cellar createdafter:2025-03-01'
 VECTOR = [1.0, -1.0] + [0.5] * 30 + [0.0] * 32
+FOLDER = "Garden/Beds"
 _INDEXES: dict = {}
 
 
@@ -256,11 +264,170 @@ def display_values(spark, sf):
     return n.select("path", T.safe_path(F.col("path")).alias("safe"), days.alias("changed"), T.percent(F.col("size") / 4096).alias("percent"), F.slice(F.col("tags"), 1, 3).alias("tags"))
 
 
+def search_totals(spark, sf):
+    """Totals before the limit of searches with each kind of result filter."""
+    own = _index(spark, sf)
+    asked = {"all": {}, "folder": {"folder": FOLDER}, "tag": {"tag": "#Kitchen".removeprefix("#")}, "since": {"modified_since": 1_760_000_000_000}, "bad": {}, "none": {}}
+    text = {"bad": "bad:filter oven", "none": ""}
+    return spark.createDataFrame([(k, search(own, text.get(k, SEARCH), now=NOW, **v).total()) for k, v in asked.items()], "filters string, total bigint")
+
+
+def folder_filtered(spark, sf):
+    return candidates(_index(spark, sf), parse_query(SEARCH), NOW).filter(plan.result_filters(folder=FOLDER)).select("path", "folder")
+
+
+def facet_order(spark, sf):
+    """Facets as a search gives them, with their place within their kind."""
+    rows = search(_index(spark, sf), SEARCH, now=NOW).facets.collect()
+    seen, out = {}, []
+    for r in rows:
+        seen[r.kind] = seen.get(r.kind, 0) + 1
+        out.append((r.kind, r.value, r["count"], seen[r.kind]))
+    return spark.createDataFrame(out, "kind string, value string, count bigint, place bigint")
+
+
+def highlighted(spark, sf):
+    spans = T.highlight_spans(F.col("content"), ["stone", "oven st", "oven"])
+    return _docs(spark, sf).select("path", spans.alias("s")).select("path", F.size("s").cast("bigint").alias("n"), F.get("s.start", F.lit(0)).cast("bigint").alias("first"), F.aggregate("s", F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("bigint").alias("marked"))
+
+
+def hydration_candidates(spark, sf):
+    """Archived documents whose bodies a phrase asks for."""
+    thin = ix.restored(_newest_stored(spark, sf))
+    return thin.filter(needs_body(parse_query('"in the garden again"'))).select("path")
+
+
+def late_bodies(spark, sf):
+    """A search over an index without bodies that loads what its phrase needs finds what the full index finds."""
+    own = _index(spark, sf)
+    thin = ix.Index.of(ix.restored(ix.stored_form(own.docs).withColumn("term_frequency", F.col("term_frequency"))), loader=lambda paths: own.bodies.join(paths.select("path"), "path", "left_semi"))
+    return candidates(thin, parse_query('+"oven stone" -cellar'), NOW).select("path", F.round("lexical_score", 6).alias("lexical_score"))
+
+
+def _newest_stored(spark, sf):
+    stored = ix.valid_stored(table(spark, sf, "lexical_docs"))
+    return stored.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("size")))).filter("_n = 1").drop("_n")
+
+
+def snapshot_state(spark, sf):
+    """A snapshot, appended operations, their replay, a compaction and what the store then holds."""
+    store, sign = IndexStore(spark, fresh_dir(spark, "store")), Settings().signature()
+    newest = _newest_stored(spark, sf)
+    store.compact(newest, sign, 0)
+    document = F.struct(*[F.col(c) for c in ("path", "basename", "extension", "tags", "ctime", "mtime", "size", "term_frequency", "token_count")])
+    touched = newest.withColumns({"mtime": F.col("mtime") + 1, "token_count": F.col("token_count") + 7}).filter("size % 3 = 0").select(F.lit(5).cast("bigint").alias("seq"), F.lit("upsert").alias("op"), "path", document.alias("document"))
+    store.append(touched)
+    store.append(touched.filter("document.size % 2 = 0").select(F.lit(6).cast("bigint").alias("seq"), F.lit("remove").alias("op"), "path", F.lit(None).cast(touched.schema["document"].dataType).alias("document")))
+    store.maintain(sign, first_build=True)
+    return store.load(sign).select("path", "mtime", "token_count", F.size("term_frequency").cast("bigint").alias("n_terms"))
+
+
+def upserted_state(spark, sf):
+    """The index after some notes have changed and others gone."""
+    docs, notes = _docs(spark, sf), table(spark, sf, "notes")
+    changed = notes.filter("note_id % 10 = 3").withColumn("content", F.lit("entirely new words here"))
+    after = ix.removed(ix.upserted(docs, changed), notes.filter("note_id % 10 = 4"))
+    return after.select("path", "token_count", F.size("tf").cast("bigint").alias("n_terms"))
+
+
+def refreshed_state(spark, sf):
+    """A refresh that finds notes new, changed and gone, and what is stored after it."""
+    store, settings = IndexStore(spark, fresh_dir(spark, "store")), Settings(ignored_folders=tuple(IGNORED))
+    notes = table(spark, sf, "notes").filter("mtime IS NOT NULL")
+    refresh(store, notes.filter("note_id % 7 <> 1").withColumn("mtime", F.when(F.col("note_id") % 7 == 2, F.col("mtime") - 1).otherwise(F.col("mtime"))), settings, 0)
+    work = refresh(store, notes.filter("note_id % 7 <> 3"), settings, 1)
+    held = store.load(settings.signature()).select("path", F.col("mtime").alias("stored_mtime"), "token_count")
+    return work.select("path", "status").join(held, "path", "left")
+
+
+def followed_changes(spark, sf):
+    """The state after a stream of creations, changes, renames and deletions has been followed."""
+    store, folder = IndexStore(spark, fresh_dir(spark, "store")), fresh_dir(spark, "changes")
+    store.compact(ix.stored_form(_docs(spark, sf)).limit(0), Settings().signature(), -1)
+    n = table(spark, sf, "notes").filter("size < 2000 AND note_id % 3 = 0")
+    note = F.struct("path", "basename", "extension", "content", "tags", "ctime", "mtime", "size")
+    moved = F.struct(F.concat(F.lit("Moved/"), F.col("path")).alias("path"), *[F.col(c) for c in ("basename", "extension", "content", "tags", "ctime", "mtime", "size")])
+    none = F.lit(None).cast("string")
+    event = lambda kind, at, path, old, body: n.filter(at).select(F.col("note_id").alias("seq"), F.lit(kind).alias("event"), path.alias("path"), old.alias("old_path"), body.alias("note"))
+    created = event("create", "true", F.col("path"), none, note)
+    gone = event("delete", "note_id % 4 = 1", F.col("path"), none, F.lit(None).cast(n.select(note.alias("x")).schema["x"].dataType)).withColumn("seq", F.col("seq") + 10_000_000)
+    renamed = event("rename", "note_id % 4 = 2", none, F.col("path"), moved).withColumn("seq", F.col("seq") + 10_000_000)
+    created.unionByName(gone).unionByName(renamed).write.json(folder)
+    follow(store, read_changes(spark, folder), fresh_dir(spark, "follow"), once=True).awaitTermination()
+    return store.load(Settings().signature()).select("path", "mtime", "token_count")
+
+
+def cascading_removal(spark, sf):
+    """Documents and embeddings left after notes have gone, and what the log says."""
+    store = IndexStore(spark, fresh_dir(spark, "store"))
+    docs, cache = _docs(spark, sf), _cache(spark, sf)
+    gone = table(spark, sf, "notes").filter("note_id % 5 = 0").select("path")
+    left = removed_everywhere(gone, docs, cache, store, 3)
+    kinds = [left[0].select("path", F.lit("document").alias("kind")), left[1].select("path", F.lit("embedding").alias("kind")), store.log().select("path", F.lit("removal").alias("kind"))]
+    return reduce(lambda a, b: a.unionByName(b), kinds)
+
+
+def embedding_update(spark, sf):
+    """The embedding cache after stale notes have been embedded and orphans dropped."""
+    v = table(spark, sf, "note_vectors")
+    cache = v.groupBy("path").agg(F.max_by(F.struct("mtime", "size", "provider_id", "vector"), "vec_id").alias("c")).select("path", "c.*")
+    docs = table(spark, sf, "notes").select("path", "basename", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("content", F.lit("")).alias("content"), "mtime", "size")
+    done = updated_cache(docs, cache, HashingProvider(64), 64)
+    return done.select("path", "provider_id", "mtime", "size", F.size("vector").cast("bigint").alias("width"))
+
+
+def pooled_vectors(spark, sf):
+    """Usable vectors of a path and width pooled like chunks of one text."""
+    v = table(spark, sf, "note_vectors").select(F.concat_ws(":", "path", F.size("vector")).alias("path"), "vector").filter(unit(F.col("vector")).isNotNull())
+    pooled = pooled_chunks(v)
+    return pooled.select("path", F.size("vector").cast("bigint").alias("width"), F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def session_summary(spark, sf):
+    """Count, extremes, mean, median and 95th percentile by the rule of session timings."""
+    s = evaluate.summary(table(spark, sf, "events"), ["event_type"], "value", "floor")
+    return s.select("event_type", "n", "least", "most", F.round("mean", 6).alias("mean"), "median", "p95")
+
+
+def file_sizes(spark, sf):
+    return table(spark, sf, "file_scans").filter("size IS NOT NULL").select("scan_id", (F.col("size") * 1000).alias("bytes")).distinct().select("scan_id", "bytes", T.byte_size(F.col("bytes")).alias("shown"))
+
+
+def listing_state(spark, sf):
+    """The listing, with fingerprints, of an index before and after it is cleared."""
+    docs = _docs(spark, sf)
+    rows = ix.listing(docs).join(ix.fingerprints(docs).withColumnsRenamed({"mtime": "seen_mtime", "size": "seen_size"}), "path")
+    return rows.select("path", "folder", "token_count", "seen_mtime", "seen_size").unionByName(ix.listing(ix.cleared(docs)).select("path", "folder", "token_count", F.col("mtime").alias("seen_mtime"), F.col("size").alias("seen_size")))
+
+
+def parsed_queries(spark, sf):
+    """Numbers of terms, phrases and errors of query strings in every form of the language."""
+    forms = ("{}", "+{}", "-{}", '"{}"', '+"{}"', '-"{}"', "path:{}", "-tag:{}", "createdafter:{}", "-modifiedbefore:2025-01-01 {}", "modifiedafter:2025-02-30 {}", "nowhere:{}", '"{}', "12:30 {}", "path: {}", '"" {}')
+    rows = []
+    for i, form in enumerate(forms):
+        for word in ("alpha", "two words", "1-2"):
+            q = parse_query(form.format(word))
+            rows.append((i, word, len(q.terms), len(q.phrases), len(q.required_terms) + len(q.required_phrases), len(q.excluded_terms) + len(q.excluded_phrases), len(q.filters), len(q.dates), "; ".join(q.errors)))
+    return spark.createDataFrame(rows, "form bigint, word string, terms bigint, phrases bigint, required bigint, excluded bigint, filters bigint, dates bigint, errors string")
+
+
+def recent_presets(spark, sf):
+    """How many notes each preset of recent days keeps."""
+    notes = table(spark, sf, "notes").agg(*[F.count_if(F.col("mtime") >= modified_since(d, 1_767_000_000_000)).alias(f"d{d}") for d in PRESET_DAYS])
+    return notes.select(F.explode(F.array(*[F.struct(F.lit(d).cast("bigint").alias("days"), F.col(f"d{d}").alias("notes")) for d in PRESET_DAYS])).alias("x")).select("x.*")
+
+
+def result_digests(spark, sf):
+    """Digest of the ordered results of a search."""
+    found = [r.path for r in search(_index(spark, sf), SEARCH, now=NOW).results.select("path").collect()]
+    return spark.createDataFrame([(evaluate.digest(found), len(found))], "digest string, n bigint")
+
+
 def p6_found(spark, sf):
     return replay_runs(table(spark, sf, "file_scans"), table(spark, sf, "index_runs"))
 
 
-_OWN = {"queries", "oracle_sql", "search", "facets", "candidates", "fused", "reconcile", "replay", "stale_embeddings", "live_embeddings", "windows", "batch_search", "greatest_score", "cosine", "unit", "query_scores", "usable_cache", "replay_runs", "scale_notes", "materialize", "table", "parse_query"}
+_OWN = {"reduce", "fresh_dir", "needs_body", "refresh", "follow", "read_changes", "removed_everywhere", "updated_cache", "pooled_chunks", "modified_since", "queries", "oracle_sql", "search", "facets", "candidates", "fused", "reconcile", "replay", "stale_embeddings", "live_embeddings", "windows", "batch_search", "greatest_score", "cosine", "unit", "query_scores", "usable_cache", "replay_runs", "scale_notes", "materialize", "table", "parse_query"}
 
 
 def queries():
@@ -375,6 +542,9 @@ _VALID = """path IS NOT NULL AND basename IS NOT NULL AND extension IS NOT NULL
  AND len(list_filter(tags, lambda t: t IS NULL)) = 0 AND len(list_filter(map_entries(term_frequency), lambda e: e.key = '' OR e.value IS NULL OR e.value <= 0)) = 0"""
 
 
+_NEWEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC, size DESC) AS i FROM lexical_docs WHERE {_VALID}) WHERE i = 1)"
+
+
 def _snippet_sql(context):
     first = "least(coalesce(nullif(instr(norm_content, 'oven stone'), 0), 1000000000), coalesce(nullif(instr(norm_content, 'because'), 0), 1000000000))"
     if context is None:
@@ -452,6 +622,38 @@ SELECT path, k AS "window", (len(ids[k * 62 + 1 : k * 62 + 62]) + 2)::BIGINT AS
         "display_values": r"""WITH d AS (SELECT *, floor((1767000000000 - mtime) / 86400000)::BIGINT AS days FROM notes)
 SELECT path, NOT regexp_matches(path, '[\x00-\x1f\x7f\\]') AND len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..'))) = 0 AS safe,
 CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 30 THEN days || ' days ago' ELSE strftime(make_timestamp(mtime * 1000), '%Y-%m-%d') END AS changed, floor(size / 4096 * 100 + 0.5)::BIGINT AS percent, tags[1:3] AS tags FROM d""",
+        "search_totals": _ranked(SEARCH, f"""SELECT 'all' AS filters, count(*) AS total FROM f UNION ALL SELECT 'folder', count(*) FROM f WHERE folder = '{FOLDER}' UNION ALL SELECT 'tag', count(*) FROM f WHERE list_contains(norm_tags, 'kitchen')
+ UNION ALL SELECT 'since', count(*) FROM f WHERE mtime >= 1760000000000 UNION ALL SELECT 'bad', 0 UNION ALL SELECT 'none', 0"""),
+        "folder_filtered": _ranked(SEARCH, f"SELECT path, folder FROM f WHERE folder = '{FOLDER}'"),
+        "facet_order": _ranked(SEARCH, """, v AS (SELECT 'folder' AS kind, folder AS value, count(*) AS count FROM f GROUP BY folder UNION ALL SELECT 'tag', value, count(*) FROM (SELECT unnest(norm_tags) AS value FROM f) GROUP BY value)
+ SELECT kind, value, count, row_number() OVER (PARTITION BY kind ORDER BY count DESC, value COLLATE en_us) AS place FROM v"""),
+        "highlighted": _sql(""", h AS (SELECT path, regexp_extract_all(lower(content), 'oven st|oven|stone') AS m, least(coalesce(nullif(instr(lower(content), 'oven'), 0), 1000000000), coalesce(nullif(instr(lower(content), 'stone'), 0), 1000000000)) AS pos FROM docs)
+ SELECT path, len(m)::BIGINT AS n, CASE WHEN len(m) > 0 THEN (pos - 1)::BIGINT END AS first, coalesce(list_sum(list_transform(m, lambda x: length(x))), 0)::BIGINT AS marked FROM h"""),
+        "hydration_candidates": f"SELECT path FROM {_NEWEST} WHERE NOT contains(lower(path || basename || array_to_string(tags, ' ')), 'in the garden again') AND len(list_filter(map_keys(term_frequency), lambda k: k IN ('the', 'garden'))) = 2",
+        "late_bodies": _ranked('+"oven stone" -cellar', "SELECT path, round(lexical, 6) AS lexical_score FROM f"),
+        "snapshot_state": f"SELECT path, CASE WHEN size % 3 = 0 THEN mtime + 1 ELSE mtime END AS mtime, CASE WHEN size % 3 = 0 THEN token_count + 7 ELSE token_count END AS token_count, len(map_keys(term_frequency))::BIGINT AS n_terms FROM {_NEWEST} WHERE size % 6 <> 0",
+        "upserted_state": _sql("""SELECT docs.path, CASE WHEN note_id % 10 = 3 THEN 4 ELSE len(body) END::BIGINT AS token_count, CASE WHEN note_id % 10 = 3 THEN 4 ELSE len(list_distinct(body)) END::BIGINT AS n_terms FROM docs JOIN notes USING (path) WHERE note_id % 10 <> 4"""),
+        "refreshed_state": _sql(f""", e AS (SELECT docs.path, note_id % 7 AS k, docs.mtime, coalesce(notes.size, strlen(notes.content)) AS sized, len(body) AS tokens FROM docs JOIN notes USING (path) WHERE NOT ({_IGNORED.replace('path', 'docs.path')}))
+ SELECT path, CASE WHEN k = 3 THEN 'removed' WHEN sized IS NULL OR k = 1 THEN 'new' WHEN k = 2 THEN 'changed' ELSE 'unchanged' END AS status, CASE WHEN k <> 3 AND sized IS NOT NULL THEN mtime END AS stored_mtime,
+ CASE WHEN k <> 3 AND sized IS NOT NULL THEN CASE WHEN sized <= 1048576 THEN tokens ELSE 0 END END::BIGINT AS token_count FROM e WHERE NOT (k = 3 AND sized IS NULL)"""),
+        "followed_changes": _sql("""SELECT CASE WHEN note_id % 4 = 2 THEN 'Moved/' ELSE '' END || docs.path AS path, docs.mtime, len(body)::BIGINT AS token_count FROM docs JOIN notes USING (path) WHERE notes.size < 2000 AND note_id % 3 = 0 AND note_id % 4 <> 1"""),
+        "cascading_removal": """SELECT path, 'document' AS kind FROM notes WHERE note_id % 5 <> 0 UNION ALL SELECT path, 'removal' FROM notes WHERE note_id % 5 = 0
+ UNION ALL SELECT DISTINCT path, 'embedding' FROM note_vectors WHERE path NOT IN (SELECT path FROM notes WHERE note_id % 5 = 0)""",
+        "embedding_update": "SELECT path, 'hashing:64' AS provider_id, mtime, size, 64::BIGINT AS width FROM notes",
+        "pooled_vectors": f"""WITH u AS (SELECT concat_ws(':', path, len(vector)) AS path, list_transform({_V}, lambda x: x / sqrt(list_inner_product({_V}, {_V}))) AS u FROM note_vectors WHERE {_USABLE}),
+ x AS (SELECT path, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM u), m AS (SELECT path, i, sum(x) AS x FROM x GROUP BY path, i), n AS (SELECT path, count(*) AS width, sqrt(sum(x * x)) AS n, sum(x) AS total, min_by(x, i) AS first FROM m GROUP BY path)
+ SELECT path, width, round(first / n, 6) AS first, round(total / n, 6) AS total FROM n""",
+        "session_summary": """WITH l AS (SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS most, avg(value) AS mean, list_sort(list(value) FILTER (WHERE value IS NOT NULL)) AS v FROM events GROUP BY event_type)
+ SELECT event_type, n, least, most, round(mean, 6) AS mean, v[least(n - 1, floor(n * 0.5))::BIGINT + 1] AS median, v[least(n - 1, floor(n * 0.95))::BIGINT + 1] AS p95 FROM l""",
+        "file_sizes": "SELECT DISTINCT scan_id, size * 1000 AS bytes, CASE WHEN size >= 1000 THEN format('{:,.1f} MB', size / 1000) ELSE format('{:,.0f} KB', size::DOUBLE) END AS shown FROM file_scans WHERE size IS NOT NULL",
+        "listing_state": _sql("SELECT path, folder, len(body)::BIGINT AS token_count, mtime AS seen_mtime, size AS seen_size FROM docs"),
+        "parsed_queries": """WITH w(word, t, two) AS (VALUES ('alpha', 1, 0), ('two words', 2, 1), ('1-2', 2, 0)), z AS (SELECT *, CASE WHEN two = 1 THEN 1 ELSE t END AS head, 'expected a real date in YYYY-MM-DD format.' AS bad FROM w),
+ r AS (SELECT form, word, t, two, head, bad FROM z, (SELECT unnest(range(16)) AS form))
+ SELECT form, word, CASE WHEN form IN (0, 9, 10, 12, 15) THEN t WHEN form IN (3, 4, 5) THEN 0 WHEN form = 13 THEN t + 2 WHEN form = 14 THEN t + 1 ELSE two END::BIGINT AS terms, (form = 3)::BIGINT AS phrases,
+ CASE form WHEN 1 THEN head WHEN 4 THEN 1 ELSE 0 END::BIGINT AS required, CASE form WHEN 2 THEN head WHEN 5 THEN 1 ELSE 0 END::BIGINT AS excluded, (form IN (6, 7))::BIGINT AS filters, 0::BIGINT AS dates,
+ CASE form WHEN 8 THEN 'createdafter: ' || bad WHEN 9 THEN 'modifiedbefore: cannot be negated.' WHEN 10 THEN 'modifiedafter: ' || bad WHEN 11 THEN 'Unknown filter: nowhere:' WHEN 12 THEN 'Unclosed quote.' ELSE '' END AS errors FROM r""",
+        "recent_presets": "SELECT d AS days, (SELECT count(*) FROM notes WHERE mtime >= 1767000000000 - d * 86400000) AS notes FROM (SELECT unnest([1, 7, 30, 365])::BIGINT AS d)",
+        "result_digests": _ranked(SEARCH, """, t AS (SELECT path, row_number() OVER (ORDER BY f.score DESC, mtime DESC, path COLLATE en_us) AS i FROM f) SELECT sha256('[' || string_agg('"' || path || '"', ',' ORDER BY i) || ']') AS digest, count(*) AS n FROM t WHERE i <= 10"""),
         "p6_found": """WITH k AS (SELECT run_id, started_at, row_number() OVER (ORDER BY started_at, run_id) AS i FROM index_runs WHERE status = 'ok' AND finished_at IS NOT NULL AND started_at IS NOT NULL),
 s AS (SELECT path, mtime, size, (SELECT min(i) FROM k WHERE started_at >= seen_at) AS i, seen_at, scan_id FROM file_scans WHERE mtime IS NOT NULL AND size IS NOT NULL AND path IS NOT NULL),
 l AS (SELECT path, i, arg_max({'m': mtime, 's': size}, {'t': seen_at, 'n': scan_id}) AS v FROM s WHERE i IS NOT NULL GROUP BY path, i),
