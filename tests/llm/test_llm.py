@@ -36,6 +36,12 @@ def test_query_runs(spark, name):
     assert llm.queries()[name](spark, SF).count() > 0
 
 
+def test_forms_equal_sql(spark):
+    sql = llm.oracle_sql()
+    for name in ("p3_forms", "p3_classes", "p3_found"):
+        check(spark, llm.queries()[name], sql[name])
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
