@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import folder_of, tokens, with_normalized
@@ -18,7 +18,7 @@ def indexed(notes: DataFrame) -> DataFrame:
     """Derive every searchable column of ``notes``, one row per path.
 
     A null content is an empty body and null tags are none; null elements of tags are left out.
-    Rows are spread by path once; counting terms needs no other shuffle.
+    Rows are spread by path once and then worked on where they lie.
     """
     base = notes.select(
         *[c for c in NOTE if c != "tags"],
@@ -26,7 +26,7 @@ def indexed(notes: DataFrame) -> DataFrame:
         F.coalesce("content", F.lit("")).alias("content"),
     ).withColumn("_tags", F.array_join(F.transform("tags", lambda t: F.regexp_replace(t, "^#", "")), "\n"))
     names = {"norm_name": "basename", "norm_path": "path", "norm_ext": "extension", "_norm_tags": "_tags", "norm_content": "content"}
-    docs = with_normalized(base, names).repartition("path")
+    docs = with_normalized(base.repartition(shuffle_partitions(notes.sparkSession), "path"), names)
     docs = docs.withColumns({
         "norm_ext": F.regexp_replace("norm_ext", r"^\.", ""),
         "folder": folder_of(F.col("path")),
@@ -35,10 +35,15 @@ def indexed(notes: DataFrame) -> DataFrame:
     }).drop("_tags", "_norm_tags")
     meta = tokens(F.concat_ws(" ", "norm_name", "norm_path", F.array_join("norm_tags", " ")))
     docs = docs.withColumns({"token_count": F.size("_body").cast("bigint"), "tokens_all": F.array_union("_body", meta), "tokens_meta": F.array_distinct(meta)})
-    counts = docs.select("path", F.explode("_body").alias("term")).groupBy("path", "term").agg(F.count(F.lit(1)).alias("n"))
-    maps = counts.groupBy("path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "n")))).alias("tf"))
-    none = F.create_map().cast("map<string,bigint>")
-    return docs.drop("_body").join(maps, "path", "left").withColumn("tf", F.coalesce("tf", none))
+    return docs.withColumn("tf", counted(F.col("_body"))).drop("_body")
+
+
+def counted(values: Column) -> Column:
+    """map<string, bigint> of how often each value occurs in an array, in the order of values; without a shuffle."""
+    bound = F.transform(F.array(F.sort_array(values)), lambda s: F.struct(s.alias("s"), F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == F.size(s)) | (i == 0) | (F.get(s, i) != F.get(s, i - 1))).alias("at")))
+    runs = lambda x: F.zip_with(x["at"], F.slice(x["at"], F.lit(2), F.size(x["at"])), lambda a, b: F.struct(F.get(x["s"], a).alias("key"), (b - a).cast("bigint").alias("value")))
+    entries = F.transform(bound, lambda x: F.filter(runs(x), lambda e: e["value"].isNotNull()))
+    return F.when(F.size(values) > 0, F.map_from_entries(entries[0])).otherwise(F.create_map().cast("map<string,bigint>"))
 
 
 def restored(stored: DataFrame) -> DataFrame:

@@ -67,6 +67,21 @@ class Manifest:
         return out
 
 
+_REVISION = "d8c86521100d3556476a063fc2342036d45c106f"
+_BASE = f"https://huggingface.co/Snowflake/snowflake-arctic-embed-xs/resolve/{_REVISION}"
+# The pinned model's files with their sizes and digests.
+PINNED = Manifest(
+    f"snowflake-arctic-embed-xs-int8-{_REVISION[:12]}",
+    _REVISION,
+    (
+        Asset("config.json", f"{_BASE}/config.json", 737, "d7d071046ab952af96b7abad788db7ab3fc997b465e1b9914ff39707092254ec"),
+        Asset("tokenizer.json", f"{_BASE}/tokenizer.json", 711_649, "91f1def9b9391fdabe028cd3f3fcc4efd34e5d1f08c3bf2de513ebb5911a1854"),
+        Asset("tokenizer_config.json", f"{_BASE}/tokenizer_config.json", 1_433, "9ca59277519f6e3692c8685e26b94d4afca2d5438deff66483db495e48735810"),
+        Asset("onnx/model_int8.onnx", f"{_BASE}/onnx/model_int8.onnx", 22_972_992, "e6aa5e656466a73d7c3111e9a3378bd13e5b93af30eaac2b3f13fd56692589a1"),
+    ),
+)
+
+
 class AssetStore:
     """Installed manifests under ``root``, one folder each."""
 

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,5 +110,21 @@ def test_assets(tmp_path):
     assert len(bad.problems()) == 12
     with pytest.raises(ValueError):
         store.install(bad, lambda a: b"")
+    assert store.size(m) > m.total_bytes  # with the marker
+    fetched = []
+    many = AssetStore(str(tmp_path / "many"))
+    threads = [threading.Thread(target=lambda: many.install(m, lambda a: (fetched.append(a.path), data[a.path])[1])) for _ in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(fetched) == sorted(data) and many.status(m, True) == "ready"
+    os.makedirs(os.path.join(store.root, ".staging-dead"))
+    store.sweep(-1)
+    assert ".staging-dead" not in os.listdir(store.root)
     store.remove_all()
     assert store.status(m) == "not-installed"
+
+
+def test_pinned_manifest():
+    from lodeseek.sources.assets import PINNED
+
+    assert PINNED.problems() == [] and PINNED.total_bytes == 23_686_811 and len(PINNED.assets) == 4

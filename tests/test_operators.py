@@ -1,5 +1,8 @@
 import datetime
 import json
+import os
+import subprocess
+import sys
 import threading
 
 import numpy as np
@@ -272,6 +275,23 @@ def test_lifecycle(spark, tmp_path):
     assert [(r.seq, r.op, r.path) for r in store.log().collect()] == [(5, "remove", "a")]
 
 
+def test_the_package_can_be_shipped(spark, tmp_path):
+    """A driver elsewhere, whose executors have no path to the package, sends it to them."""
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()
+from lodeseek.runtime import ship
+from lodeseek.operators.embeddings import HashingProvider, embedded
+ship(s)
+print('rows', embedded(s.createDataFrame([('a', 'x')], 'path string, text string'), HashingProvider(4)).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 1" in done.stdout, done.stderr[-2000:]
+
+
 def test_scratch_deletes(spark):
     from lodeseek.runtime import materialize
 
