@@ -56,7 +56,7 @@ class VersionedTarget:
         base = max(self.folder.numbers("base"), default=0)
         paths = [f"{self.root}/base={base}"] * (base > 0) + [f"{self.root}/change={n}" for n in self.versions() if n > base]
         rest = [c for c in self.schema.names if c not in self.key]
-        return self._read(paths).groupBy(*self.key).agg(F.max_by(F.struct(*rest), "seq").alias("_s")).select(*self.key, *[F.col(f"_s.{c}") for c in rest])
+        return self._read(paths).groupBy(*self.key).agg(*[F.max_by(c, "seq").alias(c) for c in rest])  # column by column, so that numbers are aggregated by hash
 
     def pending(self, source: DataFrame) -> DataFrame:
         """Source rows whose key is new or whose version differs from the target's.

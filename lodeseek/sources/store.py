@@ -98,6 +98,12 @@ class IndexStore:
         snapshot = self.spark.read.schema(STORED).parquet(f"{self.root}/snapshot={numbers[-1]}/documents")
         return replay(valid_stored(snapshot), self.log().filter(F.col("seq") > meta["seq"]), "path", PAYLOAD)
 
+    def last(self) -> int:
+        """The last operation in the log or the newest snapshot, -1 for none; a rebuild takes it before it begins, and what is appended meanwhile is replayed on its snapshot."""
+        numbers = self._snapshots()
+        meta = self._meta(numbers[-1]) if numbers else None
+        return max([*self._upto().values(), meta["seq"] if meta else -1], default=-1)
+
     def operations(self) -> int:
         numbers = self._snapshots()
         meta = self._meta(numbers[-1]) if numbers else None
@@ -127,6 +133,6 @@ class IndexStore:
         """Compact if the policy says so; returns the new snapshot's number."""
         if not should_compact(self.operations(), idle_s, first_build, changed):
             return None
-        last = max(self._upto().values(), default=-1)  # operations appended from here on stay in the log
+        last = self.last()  # operations appended from here on stay in the log
         state = self.load(signature)
         return None if state is None else self.compact(state, signature, last)

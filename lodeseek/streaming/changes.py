@@ -32,6 +32,14 @@ def newest(ops: DataFrame) -> DataFrame:
     return ops.groupBy("path").agg(F.max_by(F.struct("seq", "op", "note"), "seq").alias("_o")).select("path", "_o.*")
 
 
+def still_there(ops: DataFrame, listing: DataFrame) -> DataFrame:
+    """``ops`` in which the writes of paths that ``listing`` (path) no longer holds have become removals."""
+    seen = listing.select("path", F.lit(True).alias("_seen")).distinct()
+    gone = (F.col("op") == "upsert") & F.col("_seen").isNull()
+    both = ops.join(seen, "path", "left")
+    return both.select("seq", F.when(gone, F.lit("remove")).otherwise(F.col("op")).alias("op"), "path", F.when(~gone, F.col("note")).alias("note"))
+
+
 def log_batch(store: IndexStore, events: DataFrame) -> None:
     """Index the newest change per path of one batch and append it to the store's log."""
     last = newest(operations(events)).persist()

@@ -380,6 +380,25 @@ def test_store_and_stream(spark, tmp_path):
     assert EVENT
 
 
+def test_changes_during_a_rebuild_are_kept(spark, tmp_path):
+    from lodeseek.streaming.changes import log_batch, newest, operations, still_there
+
+    note = lambda p, text: (p, p, "md", text, [], 1, 2, 3)
+    events = lambda *rows: spark.createDataFrame(list(rows), EVENT)
+    store, sign = IndexStore(spark, f"file://{tmp_path}/s"), Settings().signature()
+    empty = spark.createDataFrame([], "path string, basename string, extension string, tags array<string>, ctime bigint, mtime bigint, size bigint, term_frequency map<string,bigint>, token_count bigint")
+    assert store.last() == -1
+    store.compact(empty, sign, -1)
+    log_batch(store, events((1, "create", "a", None, note("a", "one"))))
+    before, built = store.last(), store.load(sign).persist()
+    assert before == 3 and built.count() == 1
+    log_batch(store, events((2, "modify", "a", None, note("a", "two")), (3, "create", "b", None, note("b", "x"))))
+    store.compact(built, sign, before)
+    assert {r.path: r.term_frequency for r in store.load(sign).collect()} == {"a": {"two": 1}, "b": {"x": 1}}
+    ops = newest(operations(events((1, "create", "a", None, note("a", "one")), (2, "create", "gone", None, note("gone", "x")))))
+    assert {r.path: (r.op, r.note is None) for r in still_there(ops, spark.createDataFrame([("a",)], "path string")).collect()} == {"a": ("upsert", False), "gone": ("remove", True)}
+
+
 def test_vault_of_an_odd_name(spark, tmp_path):
     root = tmp_path / "a(b)+[c]"
     root.mkdir()
