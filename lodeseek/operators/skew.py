@@ -1,4 +1,4 @@
-"""Joins of many rows with one or few rows per key, where some keys hold most of the rows."""
+"""Joins of many rows with one or few rows per key, where some keys hold most of the rows, and broadcasts of checked size."""
 
 from __future__ import annotations
 
@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 LOAD = 100_000
 
 
+#: Rows up to which a side is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with the hint to broadcast it where it has no more than ``rows`` rows, else as it is; counted, so ``df`` should be stored or small to make."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_keys(counts: DataFrame, keys: list[str], n: str, load: int | None = None) -> DataFrame:
     """(keys, _salts): the keys of ``counts`` with more than ``load`` rows.
 

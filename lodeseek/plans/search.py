@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions.text import clamp, snippet, verbose_snippet
 from lodeseek.operators.index import BODY, SLIM, Index
 from lodeseek.operators.maintenance import needs_body, with_bodies
+from lodeseek.operators.skew import hot_keys, salted_join
 from lodeseek.plans.compile import B, BODY_WEIGHT, K1, Joined, Whole, hard_constraints, lexical_score, recency, result_filters
 from lodeseek.plans.query import Query, parse_query
 from lodeseek.runtime import materialize
@@ -154,7 +155,8 @@ def batch_search(postings: DataFrame, queries: DataFrame, term_df: DataFrame, st
     """BM25 of many queries at once over the postings: (query_id, path, score, place), the best ``k`` each.
 
     ``queries`` has (query_id, terms array<string>); a term given twice counts
-    twice. Each query's terms meet the postings by a join on the term, scores
+    twice. Each query's terms meet the postings by a join on the term, in which the
+    postings of a term that very many documents hold are cut by path; scores
     are added up before and after the shuffle, and the k best are cut per task
     before they are ranked. Only exact terms are matched.
     """
@@ -163,7 +165,7 @@ def batch_search(postings: DataFrame, queries: DataFrame, term_df: DataFrame, st
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     average = F.greatest(F.lit(1.0), F.col("total_tokens") / F.col("n_docs"))
     asked = asked.select("query_id", "term", (F.col("times") * idf * BODY_WEIGHT).alias("w"), average.alias("average"))
-    hits = postings.join(asked, "term")
+    hits = salted_join(postings, asked, ["term"], hot_keys(term_df, ["term"], "df"), ["path"])
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / F.col("average")))
     scores = hits.groupBy("query_id", "path").agg(F.sum(part).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "path"))

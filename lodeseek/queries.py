@@ -172,9 +172,10 @@ def snippet_verbose(spark, sf):
 
 
 def batch_ranking(spark, sf):
-    docs = _docs(spark, sf)
-    asked = table(spark, sf, "search_queries").select("query_id", T.tokens(T.fold(F.coalesce("query_text", F.lit("")))).alias("terms"))
-    return batch_search(ix.postings(docs), asked, ix.document_frequency(docs), ix.corpus_stats(docs)).withColumn("score", F.round("score", 6))
+    own = _index(spark, sf)
+    asked = table(spark, sf, "search_queries").select("query_id", T.tokens(T.normalized(F.coalesce("query_text", F.lit("")))).alias("terms"))
+    stats = spark.createDataFrame([(own.n_docs, own.total_tokens)], "n_docs bigint, total_tokens bigint")
+    return batch_search(own.postings, asked, own.terms, stats).withColumn("score", F.round("score", 6))
 
 
 def cosine_topk(spark, sf):

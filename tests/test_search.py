@@ -126,3 +126,37 @@ def test_cycled_vault(spark):
     corpus = spark.createDataFrame(NOTES, SCHEMA).fillna("", ["content"])
     made = cycled_vault(spark, corpus, 7)
     assert made.count() == 7 and made.select("path").distinct().count() == 7
+
+
+def test_batch_search_cuts_hot_terms(spark, docs, monkeypatch):
+    from lodeseek.operators import skew
+    from lodeseek.plans.search import batch_search
+
+    asked = spark.createDataFrame([(1, ["garden", "soil"]), (2, ["soil", "soil", "nothing"]), (3, [])], "query_id bigint, terms array<string>")
+    run = lambda: sorted((r.query_id, r.path, round(r.score, 9), r.place) for r in batch_search(ix.postings(docs), asked, ix.document_frequency(docs), ix.corpus_stats(docs)).collect())
+    plain = run()
+    monkeypatch.setattr(skew, "LOAD", 1)
+    assert run() == plain and {r[0] for r in plain} == {1, 2}
+
+
+def test_sized_broadcasts(spark):
+    from lodeseek.operators.skew import sized
+
+    rows = spark.range(5)
+    plan = lambda n: spark.range(10).join(sized(rows, n), "id")._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan(5) and "strategy=broadcast" not in plan(4)
+
+
+def test_late_bodies_of_phrases_and_results(spark, docs):
+    thin = ix.restored(ix.stored_form(docs))
+    asked = []
+
+    def load(paths):
+        asked.append(sorted(r.path for r in paths.collect()))
+        return docs.join(paths, "path", "left_semi").select(*ix.BODY)
+
+    full, late = ix.Index.of(docs), ix.Index.of(thin, load)
+    for query in ('+"soil and"', 'garden -"needs care"', "garden"):
+        a, b = (search(i, query, now=5000).results.select("path", "score", "snippet", "highlight_terms").collect() for i in (full, late))
+        assert a == b and len(a) > 0
+    assert asked[0] == ["a/Garden plan.md", "b/Ｗater.md", "c.md"] and search(full, "garden", now=5000).facets.first().kind == "folder"
