@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.operators.skew import sized
 from lodeseek.runtime import materialize
 
 BLOCK = 20_000
@@ -85,7 +86,7 @@ def clean_targets(targets: DataFrame) -> DataFrame:
 def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: documents, size, target size and share, copies expected, and whether it can fill its share."""
     listed = clean_targets(targets)
-    have = sizes.join(F.broadcast(listed.select("source")), "source").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("size"))
+    have = sizes.join(sized(listed.select("source")), "source").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("size"))
     both = listed.join(have, "source", "left").fillna(0, ["documents", "size"])
     sums = both.agg(F.sum("size").alias("_size"), F.sum("weight").alias("_weight"))
     plan = both.crossJoin(F.broadcast(sums))
@@ -105,7 +106,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame,
     reach is the size of all texts of the listed sources; a source that cannot
     fill its share gives all copies it may. The report has the row of
     ``source_plan`` and the size and share actually reached, for each listed
-    source, with or without documents. The list of sources must fit a broadcast.
+    source, with or without documents. The list of sources is broadcast where it is short.
 
     Documents without a source, or of a source that is not listed, are not
     drawn; a null size counts 0; repeated ids are documents of their own; the
@@ -114,7 +115,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame,
     spark = sizes.sparkSession
     plan = materialize(source_plan(sizes, targets), "mix-plan")
     most = plan.agg(F.max("documents")).first()[0] or 0
-    per_doc = F.broadcast(plan.select("source", F.floor("copies").alias("base"), (F.col("copies") - F.floor("copies")).alias("part"), F.greatest(F.ceil(F.col("documents") / BLOCK), F.lit(1)).alias("_blocks")))
+    per_doc = sized(plan.select("source", F.floor("copies").alias("base"), (F.col("copies") - F.floor("copies")).alias("part"), F.greatest(F.ceil(F.col("documents") / BLOCK), F.lit(1)).alias("_blocks")))
     rows = sizes.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size")).join(per_doc, "source")
     rows = rows.withColumn("blk", F.expr("pmod(xxhash64(doc_id, size), _blocks)"))
     blocks = max(1, -(-most // BLOCK))
@@ -137,5 +138,5 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame,
     drawn = materialize(drawn.select("doc_id", "source", "size", (F.col("base") + F.col("take")).alias("copies")).filter(F.col("copies") > 0), "mix")
     reached = drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("reached_size"))
     total = reached.agg(F.sum("reached_size").alias("_all"))
-    report = plan.join(F.broadcast(reached), "source", "left").crossJoin(F.broadcast(total)).withColumn("reached_size", F.coalesce("reached_size", F.lit(0)))
+    report = plan.join(reached, "source", "left").crossJoin(F.broadcast(total)).withColumn("reached_size", F.coalesce("reached_size", F.lit(0)))
     return drawn, report.withColumn("reached_share", F.coalesce(F.col("reached_size") / F.col("_all"), F.lit(0.0))).drop("_all")
