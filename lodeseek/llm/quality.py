@@ -55,7 +55,8 @@ _LEADER = re.compile(r"(?:\.{2,}|[^\W\d_])\s*\d{1,4}\s*$")
 _LINKED = re.compile(r"\bhttps?://\S+\s*$")
 _GAP = re.compile(r"\S(?:\s{2,}|\t)(?=\S)")
 _LOG = re.compile(r"\d\d:\d\d:\d\d\S*\s+\[?(?:[A-Z]{3,}|\[)|\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b|^\s*at [\w.$]+\(|^\S+\[\d+\]:")
-_LOG_SIGNS = ("DEBUG", "INFO", "WARN", "ERROR", "FATAL", "TRACE", "at ", "]:")
+_LOG_SIGNS = ("DEBUG", "INFO", "WARN", "ERROR", "FATAL", "TRACE", "]:")
+_TIME = re.compile(r"\d:\d\d:\d\d")
 _DUMP = re.compile(r"^\s*(?:0x)?[0-9a-fA-F]{6,16}:?\s+(?:[0-9a-fA-F]{2,8}\s+){3,}|^[A-Za-z0-9+/=_-]{40,}$|^\s*[\[{<].*[\]}>],?\s*$")
 _MOJIBAKE = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf]|[\u00d0\u00d1\u00c3\u00c2](?=[\u00d0\u00d1\u00c3\u00c2\u0080-\u00bf\u20ac\u201a-\u2122])")
 _WRAP = re.compile(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)")
@@ -216,7 +217,7 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, i
     whole = sum(weights) or 1
     item = furniture = machine = 0
     flowing = _flowing(every, split, known)
-    logged = any(x in text for x in _LOG_SIGNS) or text.count(":") > 1
+    logged = any(x in text for x in _LOG_SIGNS) or (":" in text and _TIME.search(text)) or ("(" in text and "at " in text)  # what a line of a log holds
     for i, w, end in zip(lines, weights, ended):
         line, own = every[i], split[i]
         if _FURNITURE.match(line):
@@ -236,7 +237,7 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, i
         elif language == "ja" and len(lines) > 2 and len(line) <= 16 and not end:
             item += w
     repeat, sentences = _repeated(low)
-    unwrapped = _WRAP.sub(" ", low) if "\n" in low else low
+    unwrapped = _WRAP.sub(" ", low) if "\n" in low.replace("\n\n", "") else low
     if unwrapped != low:
         more, sentences = _repeated(unwrapped)
         repeat = max(repeat, more)
