@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.records import current_records, valid_terms
@@ -154,9 +154,9 @@ def distinctive_terms(docs: DataFrame) -> DataFrame:
     ``valid_terms``; a record without valid entries has no rows but counts in N.
     """
     spark = docs.sparkSession
-    records = current_records(docs).select("path", "term_frequency", "token_count")
-    terms = valid_terms(records).withColumn("_own", F.sum("tf").over(Window.partitionBy("path")))
-    terms = materialize(terms, "terms")  # read for the mean, the histograms and the result
+    own = F.aggregate(F.map_entries("term_frequency"), F.lit(0).cast("bigint"), lambda n, e: F.when((e["value"] >= 1) & (e["key"] != ""), n + e["value"]).otherwise(n))
+    records = current_records(docs).select("path", "term_frequency", "token_count", own.alias("_own"))
+    terms = materialize(valid_terms(records, ["_own"]), "terms")  # read for the mean, the histograms and the result
     size = docs.filter(F.col("path").isNotNull()).select("path").distinct().agg(F.count(F.lit(1)).alias("everyone"))
     length = F.when(F.col("token_count") >= 1, F.col("token_count")).otherwise(F.col("_own"))
     mean = terms.agg((F.sum("tf") / F.count_distinct("path")).alias("_mean"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def current_records(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("path").isNotNull()).groupBy("path").agg(F.max_by(row, order).alias("_r")).select("path", "_r.*")
 
 
-def valid_terms(records: DataFrame) -> DataFrame:
-    """(path, term, tf, token_count): void entries gone, terms in lower case, frequencies added up."""
-    entries = records.select("path", "token_count", F.explode("term_frequency").alias("_t", "_f"))
+def valid_terms(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, term, tf, token_count) and ``keep``: void entries gone, terms in lower case, frequencies added up."""
+    entries = records.select("path", "token_count", *keep, F.explode("term_frequency").alias("_t", "_f"))
     entries = entries.filter((F.col("_f") >= 1) & (F.col("_t") != ""))
-    return entries.groupBy("path", "token_count", F.lower("_t").alias("term")).agg(F.sum("_f").alias("tf"))
+    return entries.groupBy("path", "token_count", *keep, F.lower("_t").alias("term")).agg(F.sum("_f").alias("tf"))
