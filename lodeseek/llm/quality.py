@@ -101,6 +101,13 @@ def _classes() -> np.ndarray:
     return table
 
 
+#: First words of the phrases above.
+_FURNITURE_STARTS = frozenset(
+    "log login logout sign menu loading home about contact share back skip sort page comment comments accept reject next previous prev read show load subscribe search print privacy terms "
+    "cookie cookies all copyright advertisement follow register click tags categories archive newer older reply edit close".split()
+)
+
+
 def _ended(line: str) -> bool:
     return line.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS and bool(line.strip())
 
@@ -220,7 +227,7 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str, i
     logged = any(x in text for x in _LOG_SIGNS) or (":" in text and _TIME.search(text)) or ("(" in text and "at " in text)  # what a line of a log holds
     for i, w, end in zip(lines, weights, ended):
         line, own = every[i], split[i]
-        if _FURNITURE.match(line):
+        if (not own or own[0] in _FURNITURE_STARTS or "©" in line) and _FURNITURE.match(line):
             furniture += w
         elif (logged and _LOG.search(line)) or _DUMP.match(line):
             machine += w
