@@ -25,7 +25,7 @@ from lodeseek.llm.records import current_records, valid_terms
 from lodeseek.runtime import materialize, shuffle_partitions
 
 #: Steps at most, and the change of a parameter in a step below which a term's fit has ended.
-ROUNDS, TOLERANCE = 4_000, 1e-9
+ROUNDS, TOLERANCE = 4_000, 1e-7
 
 
 def _step(seg, x, n, zeros, everyone, mass, share, low, high):
@@ -159,12 +159,15 @@ def distinctive_terms(docs: DataFrame) -> DataFrame:
     terms = materialize(valid_terms(records, ["_own"]), "terms")  # read for the mean, the histograms and the result
     size = docs.filter(F.col("path").isNotNull()).select("path").distinct().agg(F.count(F.lit(1)).alias("everyone"))
     length = F.when(F.col("token_count") >= 1, F.col("token_count")).otherwise(F.col("_own"))
-    mean = terms.agg((F.sum("tf") / F.count_distinct("path")).alias("_mean"))
+    paths = F.round(F.sum(F.col("tf") / F.col("_own")))  # the shares of a record's terms add up to 1
+    mean = terms.agg((F.sum("tf") / paths).alias("_mean"))
     terms = terms.crossJoin(F.broadcast(mean)).withColumn("x", F.greatest(F.lit(1), F.round(F.col("tf") * F.col("_mean") / length)).cast("bigint"))
     histogram = terms.groupBy("term", "x").agg(F.count(F.lit(1)).alias("n"))
     by_term = histogram.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("_h"))
     by_term = by_term.crossJoin(F.broadcast(size)).select("term", "everyone", F.col("_h.x").alias("xs"), F.col("_h.n").alias("ns"))
-    fitted = by_term.repartition(shuffle_partitions(spark), "term").mapInPandas(_posteriors, _FIT)
+    # Equal histograms meet, as each is fitted once. The aggregation's own partitions would be coalesced by their few
+    # bytes; a quarter of their number, as the steps for a batch's last terms cost the same for few terms as for many.
+    fitted = by_term.repartition(max(1, shuffle_partitions(spark) // 4), F.xxhash64("xs", "ns")).mapInPandas(_posteriors, _FIT)
     scored = terms.join(fitted, (F.col("term") == F.col("_term")) & (F.col("x") == F.col("_x")))
     return scored.withColumn("score", F.col("elite_probability") * F.col("elite_weight")).select(
         "path", "term", "tf", "token_count", "df", "records", "elite_share", "ordinary_mean", "elite_mean", "elite_probability", "elite_weight", "converged", "two_components", "score"
