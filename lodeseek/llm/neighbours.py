@@ -12,6 +12,14 @@ squared distance scaled by D / d is tested against the bound widened by
 survives all columns has its exact distance, so a reported similarity is exact
 and only a pair abandoned wrongly is missed.
 
+All pairs within an angle (``links``) are found without that test, so none is missed.
+Lists that lie near each other make up blocks of rows, and two blocks that have
+lists within reach are one unit of work. A unit's rows are rounded to 16 bits, and
+of half the columns together with the length of the rest follows a bound on the
+cosine (Cauchy-Schwarz), which one matrix product gives for all pairs of a tile. The
+pairs left are decided by their rows in full precision, read once for each unit that
+has them. A unit holds one block and streams the other past it.
+
 There are up to ``TOP_LISTS`` lists per provider and width. A list that holds many
 more than ``LIST_ROWS`` vectors is cut into lists of its own, with centroids fitted on
 a sample of its members, so the number of lists grows with the rows and a query
@@ -23,14 +31,15 @@ and put back at the end.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.operators.skew import hot_keys, salted_join
+from lodeseek.operators.skew import hot_keys, salted_join, sized
 from lodeseek.runtime import materialize
 
 #: Vectors per (provider, width), and per list that is cut, the centroids are fitted on, at most about.
@@ -40,6 +49,18 @@ LIST_ROWS, CUT_ROWS, TOP_LISTS = 400, 1600, 1024
 BLOCK_ROWS = 2048
 COLUMNS = 16
 EPSILON = 2.1
+#: Rows of a block that a unit holds, at most about, and below which blocks are not made for the sake of more tasks.
+UNIT_ROWS, LEAST_UNIT_ROWS = 160_000, 16_384
+#: By how much a cosine can differ for rows rounded to 16 bits (2^-11 for each), and an angle, with what single precision adds.
+ROUNDED, ROUNDED_ANGLE = 0.0011, 0.01
+#: Rows that the lists inside a unit are fitted on, at most about, into how many rings a list is cut there, and rows streamed past a block at once.
+UNIT_SAMPLE, RINGS, STREAM_ROWS = 16_384, 12, 10_000
+#: Rows for which angles to all lists are held at once.
+CHUNK = 1024
+#: What a row is in a unit: of the block that is held, of the one that is streamed, or of a block that meets itself.
+HELD, STREAMED, WHOLE = 0, 1, 2
+#: Into how many parts a unit's pairs are cut for their exact cosines.
+SLICES = 16
 
 
 @lru_cache(maxsize=16)
@@ -130,16 +151,114 @@ def _angles(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(rows @ centroids.T, -1, 1))
 
 
+def _unrounded(blobs) -> np.ndarray:
+    """Rows of unit length in single precision from rows in 16 bits."""
+    rows = np.frombuffer(b"".join(blobs), dtype=np.float16).reshape(len(blobs), -1).astype(np.float32)
+    return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+
+
+def _prefix(rows: np.ndarray) -> np.ndarray:
+    """Half of the columns and the length of the rest; the product of two prefixes is at least that of the rows."""
+    width = rows.shape[1]
+    if width < 2 * COLUMNS:
+        return rows
+    seen = rows[:, : width // 2 - 1]
+    rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", seen, seen), 0))
+    return np.concatenate([seen, rest[:, None]], axis=1)
+
+
+def _close(q: np.ndarray, x: np.ndarray, bound: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of q, row of x) with a product of at least ``bound``, tile by tile."""
+    high, wide = 512, 1024
+    products = np.empty(min(len(q), high) * min(len(x), wide), np.float32)
+    for i in range(0, len(q), high):
+        for j in range(0, len(x), wide):
+            a, b = q[i : i + high], x[j : j + wide]
+            tile = np.dot(a, b.T, out=products[: len(a) * len(b)].reshape(len(a), len(b)))
+            at = np.flatnonzero(tile >= bound)
+            for k in range(0, len(at), 1 << 16):
+                qi, xi = np.divmod(at[k : k + (1 << 16)], len(b))
+                yield qi + i, xi + j
+
+
+class Block:
+    """Rows in lists of their own, so that rows streamed past them meet only members that can be near enough.
+
+    The angles of two rows with a centroid differ by their own angle at most, so of a list
+    whose members are in the order of falling angles a row meets the first few ``RINGS``.
+    """
+
+    def __init__(self, reps: np.ndarray, rows: np.ndarray, least: float):
+        self.bound, self.reach = least - ROUNDED, float(np.arccos(np.clip(least, -1, 1))) + ROUNDED_ANGLE
+        lists = max(1, min(len(rows) // LIST_ROWS, UNIT_SAMPLE // 16))
+        self.centroids = fit_centroids(rows[:: -(-len(rows) // UNIT_SAMPLE)], lists)
+        near = [rows[at : at + CHUNK] @ self.centroids.T for at in range(0, len(rows), CHUNK)]
+        near, best = np.concatenate([x.argmax(axis=1) for x in near]), np.concatenate([x.max(axis=1) for x in near])
+        order = np.lexsort((best, near))
+        self.reps, self.rows, self.prefix = reps[order], rows[order], _prefix(rows[order])
+        self.angles = np.arccos(np.clip(best[order], -1, 1))
+        self.starts = np.searchsorted(near[order], np.arange(len(self.centroids) + 1))
+
+    def near(self, rows: np.ndarray, prefix: np.ndarray, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row here, in a list from ``first`` on, and row of ``rows``) that may be similar enough."""
+        needed = np.arccos(np.clip(self.centroids[first:] @ rows.T, -1, 1)) - np.float32(self.reach)
+        for at, angles in enumerate(needed, first):
+            begin, end = self.starts[at], self.starts[at + 1]
+            if begin == end:
+                continue
+            edges = begin + np.arange(RINGS + 1) * (end - begin) // RINGS
+            rings = np.zeros(len(rows), np.uint8)
+            for least in self.angles[edges[:-1]]:
+                rings += angles <= least
+            order, ends = np.argsort(rings, kind="stable"), np.bincount(rings, minlength=RINGS + 1).cumsum()
+            meeting = prefix[order[ends[0] :]]
+            for ring in range(1, RINGS + 1):
+                for a, b in _close(self.prefix[begin : edges[ring]], meeting[ends[ring - 1] - ends[0] : ends[ring] - ends[0]], self.bound):
+                    a, b = a + begin, order[b + ends[ring - 1]]
+                    keep = np.einsum("ij,ij->i", self.rows[a], rows[b]) >= self.bound
+                    if keep.any():
+                        yield a[keep], b[keep]
+
+    def pairs(self, reps: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(id here, id of ``rows``) that may be similar enough."""
+        prefix = _prefix(rows)
+        for at in range(0, len(rows), STREAM_ROWS):
+            for a, b in self.near(rows[at : at + STREAM_ROWS], prefix[at : at + STREAM_ROWS]):
+                yield self.reps[a], reps[b + at]
+
+    def own_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of ids of this block that may be similar enough, each once."""
+        for at in range(0, len(self.rows), STREAM_ROWS):
+            first = int(np.searchsorted(self.starts, at, "right")) - 1
+            for a, b in self.near(self.rows[at : at + STREAM_ROWS], self.prefix[at : at + STREAM_ROWS], first):
+                later = a > b + at
+                yield self.reps[a[later]], self.reps[b[later] + at]
+
+
+def _chain(centroids: np.ndarray) -> list[int]:
+    """The lists in an order in which the next is the nearest that is left."""
+    near, at, out = centroids @ centroids.T, 0, []
+    for _ in range(len(near)):
+        out.append(at)
+        near[:, at] = -np.inf
+        at = int(near[at].argmax())
+    return out
+
+
 def usable_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, provider_id, width, vector, h1, h2) of the usable rows, one per ``vec_id``.
 
     Null, empty, zero and not finite vectors, null elements, null ids and null
     providers are not usable. Of rows with one id the greatest usable (provider, vector) counts.
     """
-    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    ok = F.col("vec_id").isNotNull() & F.col("provider_id").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda v: v != 0)
-    one = vectors.filter(F.coalesce(ok, F.lit(False))).groupBy("vec_id").agg(F.max(F.struct("provider_id", F.col("vector").cast("array<double>").alias("vector"))).alias("_v"))
-    return one.select("vec_id", "_v.provider_id", F.size("_v.vector").alias("width"), "_v.vector", F.xxhash64("_v.vector").alias("h1"), F.xxhash64(F.lit(17), "_v.vector").alias("h2"))
+    most, least, inf = F.array_max("vector"), F.array_min("vector"), F.lit(float("inf"))  # NaN is the greatest
+    finite = (most < inf) & (least > -inf) & F.forall("vector", lambda v: v.isNotNull())
+    ok = F.col("vec_id").isNotNull() & F.col("provider_id").isNotNull() & (F.size("vector") > 0) & finite & ((most != 0) | (least != 0))
+    rows = vectors.filter(F.coalesce(ok, F.lit(False))).select("vec_id", "provider_id", F.col("vector").cast("array<double>").alias("vector"))
+    twice = sized(materialize(rows.groupBy("vec_id").count().filter(F.col("count") > 1).select("vec_id"), "twice"))  # only their vectors are shuffled
+    one = rows.join(twice, "vec_id", "left_semi").groupBy("vec_id").agg(F.max(F.struct("provider_id", "vector")).alias("_v")).select("vec_id", "_v.provider_id", "_v.vector")
+    one = rows.join(twice, "vec_id", "left_anti").unionByName(one)
+    return one.select("vec_id", "provider_id", F.size("vector").alias("width"), "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(17), "vector").alias("h2"))
 
 
 _PLACED = "provider_id string, width int, list int, sub int, rep long, angle double, lists array<int>, v binary"
@@ -160,14 +279,16 @@ class VectorIndex:
     def __init__(self, vectors: DataFrame, probes: int = 12, epsilon: float | None = EPSILON):
         spark = vectors.sparkSession
         self.epsilon = epsilon
-        self.members = materialize(usable_vectors(vectors), "vectors")
-        same = [*_GROUP, "h1", "h2"]
-        reps = self.members.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.min_by("vector", "vec_id").alias("vector"))
-        self.classes = self.members.select(*same, "vec_id").join(reps.select(*same, "rep"), same).select("rep", "vec_id")
+        usable, same = usable_vectors(vectors), [*_GROUP, "h1", "h2"]
+        members = materialize(usable.select(*same, "vec_id"), "vectors")
+        reps = members.groupBy(*same).agg(F.min("vec_id").alias("rep"))
+        self.classes = materialize(members.join(reps, same).select("rep", "vec_id"), "classes")
         counts = {(r.provider_id, r.width): r["count"] for r in reps.groupBy(*_GROUP).count().filter(F.col("count") > LIST_ROWS).collect()}
+        copies = sized(self.classes.filter("rep <> vec_id").select("vec_id"))
+        distinct = usable.join(copies, "vec_id", "left_anti").withColumnRenamed("vec_id", "rep")
         shares = spark.createDataFrame([(p, w, min(1 << 20, int(SAMPLE / n * (1 << 20)) + 1)) for (p, w), n in counts.items()], "provider_id string, width int, share long")
         sample: dict[tuple, list] = {}
-        for r in reps.join(F.broadcast(shares), _GROUP).filter("pmod(h1, 1048576) < share").select(*_GROUP, "h1", "vector").collect():
+        for r in distinct.join(F.broadcast(shares), _GROUP).filter("pmod(h1, 1048576) < share").select(*_GROUP, "h1", "vector").collect():
             sample.setdefault((r.provider_id, r.width), []).append((r.h1, r.vector))
         centroids = {}
         for (p, w), n in counts.items():
@@ -176,25 +297,48 @@ class VectorIndex:
             centroids[p, w] = fit_centroids(unit(np.array(own)) @ rotation(w), lists)
         shared = spark.sparkContext.broadcast(centroids)
 
+        def nearest_lists(turned: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            near = turned @ known.T
+            first, best = near.argmax(axis=1), near.max(axis=1)
+            if near.shape[1] <= probes:
+                return first, best, np.tile(np.arange(near.shape[1]), (len(near), 1))
+            near[np.arange(len(near)), first] = np.inf
+            return first, best, np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+
         def assign(batches):
             for b in batches:
                 for (p, w), own in b.groupby(_GROUP, sort=False):
                     turned = unit(np.array(own["vector"].tolist(), dtype=np.float64)) @ rotation(int(w))
                     known = shared.value.get((p, int(w)))
-                    near = np.ones((len(own), 1)) if known is None else turned @ known.T
-                    lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"provider_id": p, "width": int(w), "list": lists[:, 0], "sub": 0, "rep": own["rep"].to_numpy(), "angle": np.arccos(np.clip(near.max(axis=1), -1, 1)), "lists": list(lists), "v": [row.tobytes() for row in turned]})
+                    if known is None:
+                        first, best, lists = np.zeros(len(own), np.int64), np.ones(len(own)), np.zeros((len(own), 1), np.int64)
+                    else:
+                        first, best, lists = map(np.concatenate, zip(*(nearest_lists(turned[at : at + CHUNK], known) for at in range(0, len(own), CHUNK))))
+                    yield pd.DataFrame({"provider_id": p, "width": int(w), "list": first, "sub": 0, "rep": own["rep"].to_numpy(), "angle": np.arccos(np.clip(best, -1, 1)), "lists": list(lists), "v": [row.tobytes() for row in turned]})
 
-        top = materialize(reps.select(*_GROUP, "rep", "vector").mapInPandas(assign, _PLACED), "placed")
+        self.top = materialize(distinct.select(*_GROUP, "rep", "vector").mapInPandas(assign, _PLACED), "placed")
         radii = {k: np.full(len(c), -np.inf) for k, c in centroids.items()}  # a list without members holds nothing
-        cut = []
-        for r in top.groupBy(*_GROUP, "list").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # at most TOP_LISTS for each of ``counts``
+        self.sizes = {k: np.zeros(len(c), np.int64) for k, c in centroids.items()}
+        self.crowded = []
+        for r in self.top.groupBy(*_GROUP, "list").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # at most TOP_LISTS for each of ``counts``
             if (r.provider_id, r.width) in radii:
                 radii[r.provider_id, r.width][r.list] = r.radius
+                self.sizes[r.provider_id, r.width][r.list] = r.n
                 if r.n > CUT_ROWS:
-                    cut.append((r.provider_id, r.width, r.list, -(-r.n // BLOCK_ROWS), min(-(-r.n // LIST_ROWS), CUT_SAMPLE // 8), min(1 << 20, int(CUT_SAMPLE / r.n * (1 << 20)) + 1)))
-        self.bounds = spark.sparkContext.broadcast((centroids, radii, {c[:3] for c in cut}))
-        self.placed, self.subs = (self._cut(top, cut) if cut else (top, None))
+                    self.crowded.append((r.provider_id, r.width, r.list, -(-r.n // BLOCK_ROWS), min(-(-r.n // LIST_ROWS), CUT_SAMPLE // 8), min(1 << 20, int(CUT_SAMPLE / r.n * (1 << 20)) + 1)))
+        self.bounds = spark.sparkContext.broadcast((centroids, radii, {c[:3] for c in self.crowded}))
+
+    @cached_property
+    def _lists(self) -> tuple[DataFrame, DataFrame | None]:
+        return self._cut(self.top, self.crowded) if self.crowded else (self.top, None)
+
+    @property
+    def placed(self) -> DataFrame:
+        return self._lists[0]
+
+    @property
+    def subs(self) -> DataFrame | None:
+        return self._lists[1]
 
     def _cut(self, top: DataFrame, cut: list[tuple]) -> tuple[DataFrame, DataFrame]:
         """The rows with the lists within their list, and (provider_id, width, list, sub, radius, c) of those."""
@@ -233,7 +377,7 @@ class VectorIndex:
 
         def reach(batches):
             for b in batches:
-                for (p, w), own in b.groupby(_GROUP, sort=False):
+                for (p, w), own in ((k, x.iloc[at : at + CHUNK // 8]) for k, x in b.groupby(_GROUP, sort=False) for at in range(0, len(x), CHUNK // 8)):
                     known, radii, cut = shared.value
                     group = (p, int(w))
                     near = np.ones((len(own), 1), dtype=bool)
@@ -310,19 +454,132 @@ class VectorIndex:
 
         return data.unionByName(asked).groupBy(*key, "db", "qb").applyInPandas(group, schema)
 
+    def _units(self, reach: float) -> tuple[DataFrame, int]:
+        """(provider_id, width, list, to) and the number of units: for each part of a list the units it goes to, and as what.
+
+        Units are numbered from the largest on. There are at most TOP_LISTS lists and a part
+        for each quarter of a block, for each provider and width.
+        """
+        spark = self.top.sparkSession
+        centroids, radii, _ = self.bounds.value
+        cores, costs, goes = spark.sparkContext.defaultParallelism, [], {}
+        for group, known in centroids.items():
+            n, radius = self.sizes[group], radii[group]
+            meets = _angles(known, known) <= radius[:, None] + radius + reach + 1e-6
+            blocks = max(-(-int(n.sum()) // UNIT_ROWS), min(cores, int(n.sum()) // LEAST_UNIT_ROWS), 1)
+            full = n.sum() / blocks
+            pieces = [(x, part, parts) for x in _chain(known) if n[x] for parts in [int(-(-4 * n[x] // full))] for part in range(parts)]
+            rows = np.array([n[x] / parts for x, _, parts in pieces])
+            place = np.minimum((np.cumsum(rows) - rows / 2) // full, blocks - 1)
+            held = [np.flatnonzero(place == i) for i in range(blocks)]
+            of = np.array([x for x, _, _ in pieces])
+            for i in range(blocks):
+                for j in range(i, blocks):
+                    near = meets[np.ix_(of[held[i]], of[held[j]])]
+                    a, b = held[i][near.any(axis=1)], held[j][near.any(axis=0)]
+                    if i == j:
+                        sides = [(WHOLE, held[i])]
+                        costs.append(rows[held[i]].sum() ** 2 / 2)
+                    elif len(a):
+                        sides = [(HELD, a), (STREAMED, b)]
+                        costs.append(rows[a].sum() * rows[b].sum())
+                    else:
+                        continue
+                    for side, some in sides:
+                        for at in some:
+                            x, part, parts = pieces[at]
+                            goes.setdefault((*group, x), [[] for _ in range(parts)])[part].append((len(costs) - 1, side))
+        number = np.empty(len(costs), np.int64)
+        number[np.argsort(-np.array(costs), kind="stable")] = np.arange(len(costs))
+        plan = [(p, w, int(x), [[(int(number[u]), side) for u, side in part] for part in to]) for (p, w, x), to in goes.items()]
+        return spark.createDataFrame(plan, "provider_id string, width int, list int, to array<array<struct<unit:int,side:int>>>"), len(costs)
+
+    def _candidates(self, least: float) -> DataFrame:
+        """(unit, rep_a, rep_b): the pairs of groups with more than ``LIST_ROWS`` vectors that may have at least ``least``, each once."""
+        plan, units = self._units(float(np.arccos(np.clip(least, -1, 1))))
+
+        def round_rows(batches):
+            for b in batches:
+                for _, own in b.groupby("width", sort=False):
+                    yield own.assign(v=[x.tobytes() for x in _rows(own["v"].tolist()).astype(np.float16)])
+
+        def found(unit: int, pairs) -> Iterator[pd.DataFrame]:
+            held, n = [], 0
+            for a, b in pairs:
+                held.append((a, b))
+                n += len(a)
+                if n > 100_000:
+                    yield frame(unit, held)
+                    held, n = [], 0
+            if n:
+                yield frame(unit, held)
+
+        def frame(unit: int, held: list) -> pd.DataFrame:
+            a, b = map(np.concatenate, zip(*held))
+            return pd.DataFrame({"unit": np.int32(unit), "rep_a": np.minimum(a, b), "rep_b": np.maximum(a, b)})
+
+        def block(parts: list) -> Block:
+            reps, rows = map(np.concatenate, zip(*parts))
+            parts.clear()
+            return Block(reps, rows, least)
+
+        def scan(batches):
+            unit, side, parts, held = -1, HELD, [], None
+            for b in batches:
+                units, sides, reps = (b[c].to_numpy() for c in ("unit", "side", "rep"))
+                cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(sides) != 0)) + 1
+                for begin, end in zip([0, *cuts], [*cuts, len(b)]):
+                    if begin == end:
+                        continue
+                    if units[begin] != unit:
+                        if side == WHOLE and parts:
+                            yield from found(unit, block(parts).own_pairs())
+                        unit, parts, held = units[begin], [], None
+                    side = sides[begin]
+                    rows = _unrounded(b["v"].iloc[begin:end].tolist())
+                    if side != STREAMED:
+                        parts.append((reps[begin:end], rows))
+                        continue
+                    held = held or block(parts)
+                    yield from found(unit, held.pairs(reps[begin:end], rows))
+            if side == WHOLE and parts:
+                yield from found(unit, block(parts).own_pairs())
+
+        rows = self.top.select(*_GROUP, "list", "rep", "v").mapInPandas(round_rows, "provider_id string, width int, list int, rep long, v binary")
+        part = F.get("to", F.pmod(F.xxhash64("rep", F.lit(3)), F.size("to")).cast("int"))
+        copies = rows.join(F.broadcast(plan), [*_GROUP, "list"]).select(F.explode(part).alias("_to"), "rep", "v").select("_to.unit", "_to.side", "rep", "v")
+        streams = copies.repartitionById(units, "unit").sortWithinPartitions("unit", "side")
+        return materialize(streams.mapInPandas(scan, "unit int, rep_a long, rep_b long"), "candidates")
+
     def links(self, least: float = 0.9) -> DataFrame:
         """(rep_a, rep_b, cosine): pairs of classes of copies with at least ``least``; the smallest id of a class stands for it."""
-        epsilon = self.epsilon
+        spark, schema, key = self.top.sparkSession, "rep_a long, rep_b long, cosine double", ["unit", "slice"]
 
-        def scan(qn, q, xn, x):
-            a, b, cosine = scan_range(q, x, least, epsilon)
-            a, b = qn[a], xn[b]
-            keep = a != b
-            return np.minimum(a, b)[keep], np.maximum(a, b)[keep], cosine[keep]
-
-        reach = float(np.arccos(np.clip(least, -1, 1)))
-        found = self._scan(self._reaching(self.placed.withColumn("reach", F.lit(reach)), True), scan, "rep_a long, rep_b long, cosine double")
-        return found.groupBy("rep_a", "rep_b").agg(F.max("cosine").alias("cosine"))
+        def small(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("rep")
+            reps, v = rows["rep"].to_numpy(), _rows(rows["v"].tolist())
+            a, b, cosine = scan_range(v, v, least, None)
+            keep = a < b
+            return pd.DataFrame({"rep_a": reps[a[keep]], "rep_b": reps[b[keep]], "cosine": cosine[keep]})
+
+        def exact(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(pairs):
+                return pd.DataFrame({"rep_a": [], "rep_b": [], "cosine": []})
+            rows = rows.sort_values("rep")
+            reps, v = rows["rep"].to_numpy(), _rows(rows["v"].tolist())
+            a, b = (np.searchsorted(reps, pairs[c].to_numpy()) for c in ("rep_a", "rep_b"))
+            step = 16 * CHUNK
+            cosine = np.concatenate([np.einsum("ij,ij->i", v[a[at : at + step]], v[b[at : at + step]]) for at in range(0, len(a), step)])
+            return pairs.assign(cosine=cosine)[["rep_a", "rep_b", "cosine"]][cosine >= least]
+
+        groups = spark.createDataFrame(list(self.sizes), "provider_id string, width int")
+        few = self.top.select(*_GROUP, "rep", "v").join(sized(groups), _GROUP, "left_anti").groupBy(*_GROUP).applyInPandas(small, schema)
+        if not self.sizes:
+            return few
+        pairs = self._candidates(least).withColumn("slice", F.pmod(F.xxhash64("rep_a"), F.lit(SLICES)))
+        needed = materialize(pairs.select(*key, F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct(), "needed")
+        rows = self.top.select("rep", "v").join(sized(needed.select("rep").distinct()), "rep", "left_semi").join(needed, "rep")
+        return few.unionByName(pairs.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(exact, schema))
 
     def similar_pairs(self, least: float = 0.9) -> DataFrame:
         """(vec_id_a, vec_id_b, cosine) of all pairs with at least ``least``, the smaller id first.
@@ -330,7 +587,7 @@ class VectorIndex:
         All lists that can hold such a vector are searched; exact copies have cosine 1.
         ``links`` and ``classes`` say the same without a row for each pair of copies.
         """
-        classes = materialize(self.classes, "classes")
+        classes = self.classes
         found = self.links(least)
         hot = hot_keys(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")), ["rep"], "_n")
         for x in "ab":
@@ -349,7 +606,7 @@ class VectorIndex:
         id. Ids that are unknown or not usable have no rows.
         """
         epsilon = self.epsilon
-        classes = materialize(self.classes, "classes")
+        classes = self.classes
         asked = classes.join(queries.select("vec_id").distinct(), "vec_id")
         reps = self.placed.join(asked.select("rep").distinct(), "rep", "left_semi")
 

@@ -411,6 +411,34 @@ def test_recall_with_few_of_many_lists(spark, monkeypatch):
     assert sum(r.cosine >= np.sort(exact[r.vec_id])[-10] - 1e-9 for r in near) >= 0.95 * 150 * 10
 
 
+def _shuffled(spark) -> int:
+    """Rows that the session's stages have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_links_do_not_copy_vectors_for_each_list(spark, monkeypatch):
+    from lodeseek.llm import neighbours
+
+    for name, value in (("LIST_ROWS", 20), ("UNIT_ROWS", 1500), ("LEAST_UNIT_ROWS", 100)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(12)
+    loose = rng.normal(size=(4000, 64))  # every list can hold a vector that is near
+    loose[3700:] = loose[:300] + rng.normal(size=(300, 64)) * rng.uniform(0.1, 0.6, size=(300, 1))
+    tight = rng.normal(size=(60, 64))[rng.integers(0, 60, 2000)] + rng.normal(size=(2000, 64)) * 0.3
+    v = unit(np.concatenate([loose, tight]))
+    df = spark.createDataFrame([(i, "p", "loose" if i < 4000 else "tight", 1, 1, r.tolist()) for i, r in enumerate(v)], VECTORS)
+    index, before = VectorIndex(df), _shuffled(spark)
+    got = index.links(0.9).toPandas()
+    assert _shuffled(spark) - before < 20 * len(v)
+    exact = v @ v.T
+    exact[:4000, 4000:] = -9
+    a, b = np.nonzero(np.triu(exact >= 0.9, 1))
+    assert set(zip(got["rep_a"], got["rep_b"])) == set(zip(a, b)) and len(got) == len(a) > 5000
+    assert np.allclose(exact[got["rep_a"], got["rep_b"]], got["cosine"], atol=1e-12)
+
+
 # ---------------------------------------------------------------- packing and mixing
 
 
