@@ -108,13 +108,16 @@ def pooled_chunks(chunks: DataFrame) -> DataFrame:
     """(path, vector): mean of each path's unit chunk vectors, at length 1; ``chunks`` has (path, vector).
 
     Sums are kept per element and combined before the shuffle. A chunk without a
-    usable vector, and a mean of length 0, are errors.
+    usable vector, and a mean of length 0, are errors. They are raised after the sums:
+    an array of ``posexplode`` that may raise gets filters inferred on it, which are
+    then tested together with the caller's and meet rows that those leave out.
     """
     must = lambda v, why: F.coalesce(v, F.raise_error(F.lit(why)).cast("array<double>"))
-    parts = chunks.withColumn("vector", must(unit(F.col("vector")), "a chunk has no usable vector")).select("path", F.posexplode("vector").alias("i", "v"))
+    parts = chunks.select("path", F.posexplode_outer(unit(F.col("vector"))).alias("i", "v"))  # an unusable vector has null for i
     sums = parts.groupBy("path", "i").agg(F.sum("v").alias("v"))
-    whole = sums.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_v"))
-    return whole.select("path", must(unit(F.transform("_v", lambda x: x["v"])), "the chunks of a path cancel out").alias("vector"))
+    whole = sums.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_v"))  # null for i comes first
+    usable = must(F.when(F.get("_v", F.lit(0))["i"].isNotNull(), F.transform("_v", lambda x: x["v"])), "a chunk has no usable vector")
+    return whole.select("path", usable.alias("_v")).select("path", must(unit(F.col("_v")), "the chunks of a path cancel out").alias("vector"))
 
 
 def first_token_vectors(hidden: np.ndarray, width: int) -> np.ndarray:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodeseek.functions.vectors import unit
 from lodeseek.operators.embeddings import HashingProvider, HttpProvider, embedded, first_token_vectors, pooled_chunks, query_scores, updated_cache, usable_cache
 from lodeseek.operators.evaluate import average_metrics, floor_rank, rank_metrics, summary
 from lodeseek.operators.incremental import VersionedTarget, replay_runs
@@ -215,6 +216,21 @@ def test_embeddings(spark):
     assert updated_cache(docs, cached, p, 2, progress=calls).count() == 3 and calls.value >= 2
 
 
+def test_pooled_chunks_of_filtered_rows(spark):
+    """The error of an unusable chunk must not be raised for rows that a filter leaves out."""
+    rows = [("a", [2.0, 0.0]), ("a", [0.0, 5.0]), ("a", [0.0, 0.0]), ("a", None), ("b", []), ("b", [0.0, 1.0]), ("b", [float("nan"), 1.0])]
+    path = fresh_dir(spark, "chunks")
+    spark.createDataFrame(rows, "path string, vector array<double>").write.parquet(path)
+    chunks = spark.read.parquet(path)
+    pooled = pooled_chunks(chunks.filter(unit(F.col("vector")).isNotNull()))
+    assert {r.path: [round(x, 6) for x in r.vector] for r in pooled.collect()} == {"a": [0.707107, 0.707107], "b": [0.0, 1.0]}
+    for unusable in ([0.0, 0.0], None, [], [float("inf"), 1.0]):
+        with pytest.raises(Exception, match="no usable vector"):
+            pooled_chunks(spark.createDataFrame([("a", [1.0, 2.0]), ("a", unusable)], "path string, vector array<double>")).collect()
+    with pytest.raises(Exception, match="cancel out"):
+        pooled_chunks(spark.createDataFrame([("a", [1.0, 2.0]), ("a", [-1.0, -2.0])], "path string, vector array<double>")).collect()
+
+
 def test_models(spark):
     from lodeseek.operators.models import LazyProvider, TokenModel, check_interface, check_size, mean_vector, provider_id
 
@@ -283,6 +299,7 @@ sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!
 from pyspark.sql import SparkSession
 s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()
 from lodeseek.runtime import ship
+from lodeseek.functions.vectors import unit
 from lodeseek.operators.embeddings import HashingProvider, embedded
 ship(s)
 print('rows', embedded(s.createDataFrame([('a', 'x')], 'path string, text string'), HashingProvider(4)).count())
