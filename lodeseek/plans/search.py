@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import clamp, snippet, verbose_snippet
+from lodeseek.operators.blocks import BEST, best_in_block
 from lodeseek.operators.index import BODY, SLIM, Index
 from lodeseek.operators.maintenance import needs_body, with_bodies
-from lodeseek.operators.skew import hot_keys, salted_join
+from lodeseek.operators.skew import sized
 from lodeseek.plans.compile import B, BODY_WEIGHT, K1, Joined, Whole, hard_constraints, lexical_score, recency, result_filters
 from lodeseek.plans.query import Query, parse_query
-from lodeseek.runtime import materialize
+from lodeseek.runtime import materialize, shuffle_partitions
 
 _RELEVANCE = lambda: [F.desc("score"), F.desc("mtime"), F.collate("path", "UNICODE").asc()]
 ORDERS = {
@@ -27,6 +30,8 @@ ORDERS = {
 RESULT = ["path", "folder", "title", "score", "lexical_score", "semantic_score", "snippet", "verbose_snippet", "tags", "ctime", "mtime", "highlight_terms"]
 #: Results up to this number have their bodies looked up by path instead of joined.
 LISTED = 1_000
+#: In batch search, documents and postings of a block at most, on average, and different queries that meet it in one task.
+BLOCK_DOCS, BLOCK_POSTINGS, BATCH_BAGS = 65_536, 1_000_000, 50_000
 
 
 @dataclass
@@ -155,18 +160,40 @@ def batch_search(postings: DataFrame, queries: DataFrame, term_df: DataFrame, st
     """BM25 of many queries at once over the postings: (query_id, path, score, place), the best ``k`` each.
 
     ``queries`` has (query_id, terms array<string>); a term given twice counts
-    twice. Each query's terms meet the postings by a join on the term, in which the
-    postings of a term that very many documents hold are cut by path; scores
-    are added up before and after the shuffle, and the k best are cut per task
-    before they are ranked. Only exact terms are matched.
+    twice. Only exact terms are matched. A row for each query, document and term they share
+    would be the product of queries and documents where terms are common. So queries
+    with the same terms are answered once, documents are dealt into blocks by a hash of the
+    path, and a task scores one block for a batch of queries in memory; what is
+    shuffled are the postings of the terms asked for, the queries once a block, and
+    the k best of each query and block.
     """
+    spark = postings.sparkSession
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.join(term_df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.select("query_id", F.struct("term", (F.col("times") * idf * BODY_WEIGHT).alias("w"), "df").alias("_t"))
+    bag_of = materialize(weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("_t")).alias("bag")), "asked")
+    bags = materialize(bag_of.select("bag").distinct().withColumn("bag_id", F.monotonically_increasing_id()), "bags")  # stored, so the numbers stay
+    terms = materialize(bags.select(F.explode("bag").alias("_t")).select("_t.term", "_t.df").distinct(), "terms")
+
+    n_bags, held, n_docs = bags.count(), terms.agg(F.sum("df")).first()[0] or 0, stats.first().n_docs
+    blocks = max(shuffle_partitions(spark), math.ceil(n_docs / BLOCK_DOCS), math.ceil(held / BLOCK_POSTINGS))
+    batches = max(1, math.ceil(n_bags / BATCH_BAGS))
+    tasks = blocks * batches
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     average = F.greatest(F.lit(1.0), F.col("total_tokens") / F.col("n_docs"))
-    asked = asked.select("query_id", "term", (F.col("times") * idf * BODY_WEIGHT).alias("w"), average.alias("average"))
-    hits = salted_join(postings, asked, ["term"], hot_keys(term_df, ["term"], "df"), ["path"])
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / F.col("average")))
-    scores = hits.groupBy("query_id", "path").agg(F.sum(part).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "path"))
-    return scores.withColumn("place", place).filter(F.col("place") <= k)
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / average))
+    rows = postings.join(sized(terms.select("term")), "term", "left_semi").crossJoin(F.broadcast(stats))
+    rows = rows.select("path", "term", part.alias("part"), F.pmod(F.xxhash64("path"), F.lit(blocks)).alias("_block"))
+    rows = rows.withColumn("_batch", each(batches)).select((F.col("_block") * batches + F.col("_batch")).cast("bigint").alias("unit"), "path", "term", "part")
+    parts = bags.select("bag_id", F.col("bag.term").alias("terms"), F.col("bag.w").alias("weights"), F.pmod(F.xxhash64("bag_id"), F.lit(batches)).alias("_batch"))
+    parts = parts.withColumn("_block", each(blocks)).select((F.col("_block") * batches + F.col("_batch")).cast("bigint").alias("unit"), "bag_id", "terms", "weights")
+
+    def best(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        return best_in_block(own, wanted, k)
+
+    met = rows.repartition(tasks, "unit").groupBy("unit").cogroup(parts.repartition(tasks, "unit").groupBy("unit")).applyInArrow(best, BEST)
+    place = F.row_number().over(Window.partitionBy("bag_id").orderBy(F.desc(F.round("score", 9)), "path"))
+    placed = met.withColumn("place", place).filter(F.col("place") <= k)
+    return placed.join(bags, "bag_id").join(bag_of, "bag").select("query_id", "path", "score", "place")

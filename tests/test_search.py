@@ -139,6 +139,72 @@ def test_batch_search_cuts_hot_terms(spark, docs, monkeypatch):
     assert run() == plain and {r[0] for r in plain} == {1, 2}
 
 
+def _most_rows(node):
+    """The most rows that an operator of an executed plan gave out."""
+    kind = node.getClass().getSimpleName()
+    below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    own = node.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_batch_search_makes_no_product(spark):
+    from lodeseek.plans.search import batch_search
+
+    n = 300
+    postings = spark.createDataFrame([(f"n{i:03}", 5, t, 1 + i % 3) for i in range(n) for t in ("the", f"w{i}")], "path string, token_count bigint, term string, tf bigint")
+    asked = spark.createDataFrame([(i, ["the", f"w{i}"]) for i in range(n)], "query_id bigint, terms array<string>")
+    found = batch_search(postings, asked, postings.groupBy("term").count().withColumnRenamed("count", "df"), spark.createDataFrame([(n, 5 * n)], "n_docs bigint, total_tokens bigint"), 2)
+    assert {r.path: r.query_id for r in found.collect() if r.place == 1} == {f"n{i:03}": i for i in range(n)}
+    assert _most_rows(found._jdf.queryExecution().executedPlan()) < n * n / 4
+
+
+def test_batch_search_against_brute_force(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from lodeseek.plans import search as engine
+
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    notes = {f"{'é' if i % 9 == 0 else 'z'}/{i % 7}/{i}": [words[int(40 * pick.random() ** 2.5)] for _ in range(pick.choice([3, 3, 8]))] for i in range(400)}
+    asks = {i: [pick.choice(words[: 2 if i % 5 == 0 else 40]) for _ in range(i % 5)] for i in range(60)} | {90: ["w0"], 91: ["w0"], 92: ["w1", "w0", "w0"], None: ["w39", "gone"]}
+    df = Counter(t for v in notes.values() for t in set(v))
+    average = sum(map(len, notes.values())) / len(notes)
+
+    def score(words, asked):
+        own = Counter(words)
+        return sum(math.log(1 + (400 - df[t] + 0.5) / (df[t] + 0.5)) * 3 * own[t] * 2.35 / (own[t] + 1.35 * (0.3 + 0.7 * len(words) / average)) for t in asked if own[t])
+
+    want = []
+    for q, asked in asks.items():
+        ranked = sorted((-round(score(v, asked), 9), p.encode(), p) for p, v in notes.items() if set(v) & set(asked))[:10]
+        want += [(q, p, -s, i + 1) for i, (s, _, p) in enumerate(ranked)]
+    rows = [(p, len(v), t, c) for p, v in notes.items() for t, c in Counter(v).items()]
+    postings = spark.createDataFrame(rows, "path string, token_count bigint, term string, tf bigint").repartition(5)
+    queries = spark.createDataFrame(list(asks.items()), "query_id bigint, terms array<string>")
+    terms, stats = spark.createDataFrame(list(df.items()), "term string, df bigint"), spark.createDataFrame([(400, sum(map(len, notes.values())))], "n_docs bigint, total_tokens bigint")
+    by = lambda r: (str(r[0]), r[3])
+    for docs, batch in ((65_536, 50_000), (30, 9)):
+        monkeypatch.setattr(engine, "BLOCK_DOCS", docs)
+        monkeypatch.setattr(engine, "BATCH_BAGS", batch)
+        got = [(r.query_id, r.path, round(r.score, 9), r.place) for r in engine.batch_search(postings, queries, terms, stats).collect()]
+        assert sorted(got, key=by) == sorted(want, key=by)
+
+
+def test_best_in_block_keeps_ties_by_path():
+    import pyarrow as pa
+
+    from lodeseek.operators.blocks import best_in_block
+
+    paths = [f"p{i:04}" for i in range(3000)]
+    part = [1.0 + (i % 3 == 0) * 4e-10 - (i % 3 == 1) * 1e-12 for i in range(3000)]  # equal at 9 decimals
+    postings = pa.table({"path": paths[::-1] + ["p0007"], "term": ["a"] * 3001, "part": part[::-1] + [0.5]})
+    bags = pa.table({"bag_id": [4, 5], "terms": [["a"], ["none"]], "weights": [[1.0], [1.0]]})
+    assert best_in_block(postings, bags, 4)["path"].to_pylist() == ["p0007", "p0000", "p0001", "p0002"]
+    assert best_in_block(postings.slice(0, 0), bags, 4).num_rows == 0
+
+
 def test_sized_broadcasts(spark):
     from lodeseek.operators.skew import sized
 
