@@ -8,6 +8,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,16 +106,39 @@ def query_scores(cache: DataFrame, query: list[float], provider: str) -> DataFra
     return cache.filter(same).select("path", F.greatest(F.lit(0.0), dot(F.col("vector"), v)).alias("score"))
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (path, vector) with a path's vectors added up within its batch; rows with null for the vector stay."""
+    for b in batches:
+        codes = pc.dictionary_encode(b["path"], null_encoding="encode")
+        code = codes.indices.to_numpy()
+        usable = pc.is_valid(b["vector"]).to_numpy(zero_copy_only=False)
+        again = usable & (np.bincount(code[usable], minlength=len(codes.dictionary))[code] > 1) if len(code) else usable
+        yield b.filter(pa.array(~again))
+        if again.any():
+            vectors = b["vector"].filter(pa.array(again))
+            lengths = pc.list_value_length(vectors).to_numpy()
+            most, begins = int(lengths.max()), np.cumsum(lengths) - lengths
+            keys = np.repeat(code[again].astype(np.int64) * most - begins, lengths) + np.arange(lengths.sum())
+            keys, at = np.unique(keys, return_inverse=True)
+            sums = np.bincount(at, vectors.flatten().to_numpy())
+            paths, widths = np.unique(keys // most, return_counts=True)
+            added = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(widths)), pa.int32()), pa.array(sums))
+            yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(paths)), added.cast(b.schema.field("vector").type)], schema=b.schema)
+
+
 def pooled_chunks(chunks: DataFrame) -> DataFrame:
     """(path, vector): mean of each path's unit chunk vectors, at length 1; ``chunks`` has (path, vector).
 
-    Sums are kept per element and combined before the shuffle. A chunk without a
-    usable vector, and a mean of length 0, are errors. They are raised after the sums:
-    an array of ``posexplode`` that may raise gets filters inferred on it, which are
-    then tested together with the caller's and meet rows that those leave out.
+    A path's vectors are added up within each batch before the shuffle, so a path with
+    very many chunks sends one row a batch; whole vectors are shuffled, once, and summed
+    per element where they arrive. A chunk without a usable vector, and a mean of length
+    0, are errors. They are raised after the sums: an array of ``posexplode`` that may
+    raise gets filters inferred on it, which are then tested together with the
+    caller's and meet rows that those leave out.
     """
     must = lambda v, why: F.coalesce(v, F.raise_error(F.lit(why)).cast("array<double>"))
-    parts = chunks.select("path", F.posexplode_outer(unit(F.col("vector"))).alias("i", "v"))  # an unusable vector has null for i
+    added = chunks.select("path", unit(F.col("vector")).alias("vector")).mapInArrow(_summed, "path string, vector array<double>").repartition("path")
+    parts = added.select("path", F.posexplode_outer("vector").alias("i", "v"))  # an unusable vector has null for i
     sums = parts.groupBy("path", "i").agg(F.sum("v").alias("v"))
     whole = sums.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_v"))  # null for i comes first
     usable = must(F.when(F.get("_v", F.lit(0))["i"].isNotNull(), F.transform("_v", lambda x: x["v"])), "a chunk has no usable vector")

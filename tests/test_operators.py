@@ -231,6 +231,21 @@ def test_pooled_chunks_of_filtered_rows(spark):
         pooled_chunks(spark.createDataFrame([("a", [1.0, 2.0]), ("a", [-1.0, -2.0])], "path string, vector array<double>")).collect()
 
 
+def test_pooled_chunks_of_many_and_few_chunks(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 2 else f"p{i % 40}", rng.normal(size=3 if i % 7 else 5).tolist()) for i in range(400)] + [(None, [3.0, 4.0]), (None, [3.0, 4.0])]
+    want = {}
+    for path, v in rows:
+        total = want.setdefault(path, np.zeros(5))
+        total[: len(v)] += np.array(v) / np.linalg.norm(v)
+    pooled = pooled_chunks(spark.createDataFrame(rows, "path string, vector array<double>").repartition(6))
+    got = {r.path: r.vector for r in pooled.collect()}
+    assert got.keys() == want.keys() and got[None] == [0.6, 0.8]
+    assert all(np.allclose(np.pad(v, (0, 5 - len(v))), want[p] / np.linalg.norm(want[p])) for p, v in got.items())
+    plan = pooled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(path") == 1
+
+
 def test_models(spark):
     from lodeseek.operators.models import LazyProvider, TokenModel, check_interface, check_size, mean_vector, provider_id
 
