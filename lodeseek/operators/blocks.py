@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+COUNTED = "path string, token_count bigint, terms array<string>, tf array<bigint>"
 BEST = "bag_id bigint, path string, score double"
 _SCHEMA = pa.schema([("bag_id", pa.int64()), ("path", pa.string()), ("score", pa.float64())])
 #: A term is held as one value per document where it is in at least one of so many; rarer ones as a list.
@@ -18,6 +20,30 @@ GROUPS = 512
 APART = 2e-9
 
 
+def counted_terms(batches: Iterator[pa.RecordBatch], known: list[str] | None) -> Iterator[pa.RecordBatch]:
+    """(path, token_count, terms, tf) from (path, terms): how often each document has each of the ``known`` terms, or each of all."""
+    schema = pa.schema([("path", pa.string()), ("token_count", pa.int64()), ("terms", pa.list_(pa.string())), ("tf", pa.list_(pa.int64()))])
+    for b in batches:
+        tokens, lengths = b["terms"].flatten(), pc.list_value_length(b["terms"]).to_numpy().astype(np.int64)
+        values = pc.unique(tokens) if known is None else pa.array(known, tokens.type)
+        code = pc.fill_null(pc.index_in(tokens, value_set=values), -1).to_numpy()
+        row = np.repeat(np.arange(len(lengths)), lengths)[code >= 0]
+        keys, tf = np.unique(row * max(1, len(values)) + code[code >= 0], return_counts=True)
+        row, code = np.divmod(keys, max(1, len(values)))
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(lengths)))), pa.int32())
+        terms = values.take(pa.array(code)).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([b["path"].cast(pa.string()), pa.array(lengths), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], schema=schema)
+
+
+def flat_postings(rows: pa.Table) -> pa.Table:
+    """(path, term, part) from (path, terms, parts)."""
+    if not rows.num_rows:
+        return rows.select(["path"]).append_column("term", rows["path"]).append_column("part", pa.array([], pa.float64()))
+    terms, parts = rows["terms"].combine_chunks(), rows["parts"].combine_chunks()
+    at = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy())
+    return pa.table({"path": rows["path"].combine_chunks().dictionary_encode().take(pa.array(at)), "term": terms.flatten(), "part": parts.flatten()})
+
+
 def _rounded(scores: np.ndarray) -> np.ndarray:
     """At 9 decimals, half up, as Spark's round does."""
     values, at = np.unique(scores, return_inverse=True)
@@ -45,7 +71,8 @@ def best_in_block(postings: pa.Table, bags: pa.Table, k: int) -> pa.Table:
     """
     if not postings.num_rows or not bags.num_rows:
         return _SCHEMA.empty_table()
-    paths = postings["path"].combine_chunks().dictionary_encode()
+    paths = postings["path"].combine_chunks()
+    paths = paths if pa.types.is_dictionary(paths.type) else paths.dictionary_encode()
     names = [p.encode() for p in paths.dictionary.to_pylist()]
     order = np.array(sorted(range(len(names)), key=names.__getitem__))
     place = np.empty(len(names), np.int64)

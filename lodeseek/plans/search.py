@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import clamp, snippet, verbose_snippet
-from lodeseek.operators.blocks import BEST, best_in_block
+from lodeseek.operators.blocks import BEST, COUNTED, best_in_block, counted_terms, flat_postings
 from lodeseek.operators.index import BODY, SLIM, Index
 from lodeseek.operators.maintenance import needs_body, with_bodies
-from lodeseek.operators.skew import sized
+from lodeseek.operators.skew import BROADCAST_ROWS, sized
 from lodeseek.plans.compile import B, BODY_WEIGHT, K1, Joined, Whole, hard_constraints, lexical_score, recency, result_filters
 from lodeseek.plans.query import Query, parse_query
 from lodeseek.runtime import materialize, shuffle_partitions
@@ -167,7 +168,34 @@ def batch_search(postings: DataFrame, queries: DataFrame, term_df: DataFrame, st
     shuffled are the postings of the terms asked for, the queries once a block, and
     the k best of each query and block.
     """
-    spark = postings.sparkSession
+
+    def scored(terms: DataFrame, part: Callable[[Column, Column], Column]) -> DataFrame:
+        held = postings.join(sized(terms), "term", "left_semi")
+        return held.select("path", F.array("term").alias("terms"), F.array(part(F.col("tf"), F.col("token_count"))).alias("parts"))
+
+    return _answered(scored, queries, term_df, stats, k)
+
+
+def batch_search_texts(texts: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``batch_search`` without an index, over the tokens of each document: (path, terms array<string>), with repeats.
+
+    Only counts of the terms asked for are stored and shuffled, a row for each document.
+    """
+    wanted = [r.term for r in queries.select(F.explode("terms").alias("term")).distinct().limit(BROADCAST_ROWS + 1).collect()]
+    known = sorted(wanted) if len(wanted) <= BROADCAST_ROWS else None  # too many to send to each task: terms not asked for stay
+    docs = materialize(texts.select("path", "terms").mapInArrow(lambda batches: counted_terms(batches, known), COUNTED), "counted")
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"))
+    term_df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def scored(_: DataFrame, part: Callable[[Column, Column], Column]) -> DataFrame:
+        return docs.filter(F.size("terms") > 0).select("path", "terms", F.transform("tf", lambda tf: part(tf, F.col("token_count"))).alias("parts"))
+
+    return _answered(scored, queries, term_df, materialize(stats, "stats"), k)
+
+
+def _answered(scored: Callable[[DataFrame, Callable[[Column, Column], Column]], DataFrame], queries: DataFrame, term_df: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """``scored`` gives (path, terms, parts) from the terms asked for and the function of tf and token count that makes a part."""
+    spark = queries.sparkSession
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.join(term_df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -176,22 +204,21 @@ def batch_search(postings: DataFrame, queries: DataFrame, term_df: DataFrame, st
     bags = materialize(bag_of.select("bag").distinct().withColumn("bag_id", F.monotonically_increasing_id()), "bags")  # stored, so the numbers stay
     terms = materialize(bags.select(F.explode("bag").alias("_t")).select("_t.term", "_t.df").distinct(), "terms")
 
-    n_bags, held, n_docs = bags.count(), terms.agg(F.sum("df")).first()[0] or 0, stats.first().n_docs
+    n_bags, held, (n_docs, n_tokens) = bags.count(), terms.agg(F.sum("df")).first()[0] or 0, stats.select("n_docs", "total_tokens").first()
     blocks = max(shuffle_partitions(spark), math.ceil(n_docs / BLOCK_DOCS), math.ceil(held / BLOCK_POSTINGS))
     batches = max(1, math.ceil(n_bags / BATCH_BAGS))
     tasks = blocks * batches
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    average = F.greatest(F.lit(1.0), F.col("total_tokens") / F.col("n_docs"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / average))
-    rows = postings.join(sized(terms.select("term")), "term", "left_semi").crossJoin(F.broadcast(stats))
-    rows = rows.select("path", "term", part.alias("part"), F.pmod(F.xxhash64("path"), F.lit(blocks)).alias("_block"))
-    rows = rows.withColumn("_batch", each(batches)).select((F.col("_block") * batches + F.col("_batch")).cast("bigint").alias("unit"), "path", "term", "part")
+    average = max(1.0, (n_tokens or 0) / n_docs) if n_docs else 1.0
+    rows = scored(terms.select("term"), lambda tf, count: tf * (K1 + 1) / (tf + K1 * (1 - B + B * count / average)))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("path"), F.lit(blocks))).withColumn("_batch", each(batches))
+    rows = rows.select((F.col("_block") * batches + F.col("_batch")).cast("bigint").alias("unit"), "path", "terms", "parts")
     parts = bags.select("bag_id", F.col("bag.term").alias("terms"), F.col("bag.w").alias("weights"), F.pmod(F.xxhash64("bag_id"), F.lit(batches)).alias("_batch"))
     parts = parts.withColumn("_block", each(blocks)).select((F.col("_block") * batches + F.col("_batch")).cast("bigint").alias("unit"), "bag_id", "terms", "weights")
 
     def best(own: pa.Table, wanted: pa.Table) -> pa.Table:
-        return best_in_block(own, wanted, k)
+        return best_in_block(flat_postings(own), wanted, k)
 
     met = rows.repartition(tasks, "unit").groupBy("unit").cogroup(parts.repartition(tasks, "unit").groupBy("unit")).applyInArrow(best, BEST)
     place = F.row_number().over(Window.partitionBy("bag_id").orderBy(F.desc(F.round("score", 9)), "path"))

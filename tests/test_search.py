@@ -192,6 +192,20 @@ def test_batch_search_against_brute_force(spark, monkeypatch):
         assert sorted(got, key=by) == sorted(want, key=by)
 
 
+def test_batch_search_of_texts_equals_that_of_postings(spark, docs, monkeypatch):
+    from lodeseek.functions.text import tokens
+    from lodeseek.plans import search as engine
+
+    texts = docs.select("path", tokens(F.col("norm_content")).alias("terms"))
+    asked = spark.createDataFrame([(1, ["garden", "soil"]), (2, ["soil", "soil", "nothing"]), (3, []), (4, ["nothing"])], "query_id bigint, terms array<string>")
+    rows = lambda df: sorted((r.query_id, r.path, round(r.score, 9), r.place) for r in df.collect())
+    want = rows(engine.batch_search(ix.postings(docs), asked, ix.document_frequency(docs), ix.corpus_stats(docs)))
+    assert want and rows(engine.batch_search_texts(texts, asked)) == want
+    assert rows(engine.batch_search_texts(texts, asked.filter("query_id > 2"))) == []
+    monkeypatch.setattr(engine, "BROADCAST_ROWS", 1)
+    assert rows(engine.batch_search_texts(texts, asked)) == want
+
+
 def test_best_in_block_keeps_ties_by_path():
     import pyarrow as pa
 
